@@ -6,7 +6,7 @@ import importlib
 
 from maskwork.catalog.base import Catalog
 
-MODULES = ("detect",)
+MODULES = ("detect", "redact")
 
 
 def build() -> Catalog:

@@ -26,9 +26,9 @@ def quote(text: str) -> str:
 
 def luhn_sql(raw: str) -> str:
     d = f"regexp_replace({raw}, '[^0-9]', '', 'g')"
-    digit = f"cast(substr(reverse({d}), i, 1) as integer)"
+    digit = f"cast(substr(reverse({d}), j, 1) as integer)"
     total = (
-        f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: case when i % 2 = 1 then {digit} "
+        f"list_sum(list_transform(range(1, length({d}) + 1), lambda j: case when j % 2 = 1 then {digit} "
         f"when {digit} > 4 then {digit} * 2 - 9 else {digit} * 2 end))"
     )
     return f"coalesce(length({d}) between 13 and 19 and {total} % 10 = 0, false)"

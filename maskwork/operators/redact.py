@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwork.functions.kinds import choose, default_action, tier
 from maskwork.functions.masking import one_way_replacement
 from maskwork.functions.patterns import BUILTIN, Pattern
-from maskwork.operators.detect import detect
+from maskwork.operators.detect import findings
 from maskwork.operators.vault import build_vault
 
 # Kinds of the first-tier redaction in the order of its passes.
@@ -116,6 +116,16 @@ def tier1_segments(text: Column, kinds: Sequence[str]) -> Column:
     return segs
 
 
+def may_match(text: Column, kinds: Sequence[str]) -> Column:
+    """Whether any of the patterns occurs at all, before validation."""
+    found = F.lit(False)
+    for p in BUILTIN:
+        if p.kind in kinds:
+            hit = F.rlike(text, F.lit(p.java))
+            found = found | (hit if p.gate is None else p.gate(text) & hit)
+    return F.coalesce(found, F.lit(False))
+
+
 def tier1_findings(
     parts: DataFrame,
     keys: Sequence[str],
@@ -159,7 +169,10 @@ def redact_tier1(
     as a whole); redact_one_way passes through unchanged unless ``one_way`` is set.  Parts
     without findings never leave their task.
     """
-    found = tier1_findings(parts, keys, text, by_kind, default, carry=[session, *order])
+    active = [k for k in TIER1_KINDS if (by_kind.get(k) or default) != "allow"]
+    suspect = may_match(F.col(text), active)
+    held = parts.filter(suspect)
+    found = tier1_findings(held, keys, text, by_kind, default, carry=[session, *order])
     tokenized = found.filter(F.col("action").isin("redact", "warn"))
     vault = build_vault(tokenized, session, [*order, "pass_no", "pos"], salt)
     named = tokenized.join(
@@ -171,17 +184,16 @@ def redact_tier1(
         )
         named = named.unionByName(masked)
     swaps = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "__new"))).alias("__swap"))
-    active = [k for k in TIER1_KINDS if (by_kind.get(k) or default) != "allow"]
     segs = tier1_segments(F.col(text), active)
     rebuilt = F.array_join(
         F.transform(segs, lambda s, i: F.coalesce(F.try_element_at(F.col("__swap"), i), s["text"])), ""
     )
     redacted = (
-        parts.join(swaps, list(keys), "left")
+        held.join(swaps, list(keys), "left")
         .withColumn(text, F.when(F.col("__swap").isNull(), F.col(text)).otherwise(rebuilt))
         .drop("__swap")
     )
-    return redacted, found, vault
+    return parts.filter(~suspect).unionByName(redacted), found, vault
 
 
 # --- replacement pairs --------------------------------------------------------------------
@@ -266,10 +278,7 @@ def size_guard(text: Column, max_bytes: int = MAX_PART_BYTES) -> Column:
 
 def find_leaks(before: DataFrame, after: DataFrame, keys: Sequence[str], text: str, kinds: Sequence[str]) -> DataFrame:
     """Values of the kinds found before that still occur after. Must be empty."""
-    found = None
-    for kind in kinds:
-        one = detect(before, keys, text, kind)
-        found = one if found is None else found.unionByName(one)
+    found = findings(before, keys, text, kinds=kinds)
     values = found.select(*keys, "kind", F.col("text").alias("value")).dropDuplicates()
     return (
         values.join(after.select(*keys, F.col(text).alias("__after")), list(keys))

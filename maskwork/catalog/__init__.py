@@ -6,7 +6,7 @@ import importlib
 
 from maskwork.catalog.base import Catalog
 
-MODULES = ("detect", "redact")
+MODULES = ("detect", "redact", "chat", "traffic")
 
 
 def build() -> Catalog:

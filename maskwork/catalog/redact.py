@@ -131,14 +131,16 @@ def optedout(s, d):
 
 def register(c: Catalog) -> None:
     base = lambda s, d: D.scan_all(documents(s, d), ["doc_id"], "text")
-    k = F.col("kind")
-    c.add("kind_tier", lambda s, d: base(s, d).groupBy("kind", K.tier(k).alias("tier")).agg(F.count("*").alias("n")),
+    def k():
+        return F.col("kind")
+
+    c.add("kind_tier", lambda s, d: base(s, d).groupBy("kind", K.tier(k()).alias("tier")).agg(F.count("*").alias("n")),
           f"select kind, {TIER_SQL} as tier, count(*) as n from {FINDINGS} group by 1, 2")
     c.add("kind_default_action",
-          lambda s, d: base(s, d).groupBy("kind", K.default_action(k).alias("action")).agg(F.count("*").alias("n")),
+          lambda s, d: base(s, d).groupBy("kind", K.default_action(k()).alias("action")).agg(F.count("*").alias("n")),
           f"select kind, {DEFAULT_SQL} as action, count(*) as n from {FINDINGS} group by 1, 2")
     c.add("kind_marker",
-          lambda s, d: base(s, d).groupBy("kind", K.static_marker(k).alias("marker")).agg(F.count("*").alias("n")),
+          lambda s, d: base(s, d).groupBy("kind", K.static_marker(k()).alias("marker")).agg(F.count("*").alias("n")),
           f"select kind, {MARKER_SQL} as marker, count(*) as n from {FINDINGS} group by 1, 2")
     names = "array('allow','warn','redact','block','redact_one_way','mask','one_way','Mask','')"
     c.add(
@@ -157,7 +159,7 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "one_way_replacement",
-        lambda s, d: base(s, d).select("doc_id", "kind", "start", "end", M.one_way_replacement(k, F.col("text")).alias("marker")),
+        lambda s, d: base(s, d).select("doc_id", "kind", "start", "end", M.one_way_replacement(k(), F.col("text")).alias("marker")),
         f"select doc_id, kind, start, \"end\", {ONE_WAY_SQL} as marker from {FINDINGS}",
     )
     key = "'sk-gw-' || repeat('k', cast(c_custkey % 9 as int)) || lpad(cast(c_custkey as string), 4, '0')"
@@ -185,7 +187,7 @@ def register(c: Catalog) -> None:
     c.add(
         "resolve_action",
         lambda s, d: base(s, d).select(
-            "doc_id", "kind", "ord", R.resolve_action(k, {"ssn": "block", "email": "unknown", "phone": "warn"}, "allow").alias("action")
+            "doc_id", "kind", "ord", R.resolve_action(k(), {"ssn": "block", "email": "unknown", "phone": "warn"}, "allow").alias("action")
         ),
         f"select doc_id, kind, ord, case kind when 'ssn' then 'block' when 'phone' then 'warn' else 'allow' end as action from {FINDINGS}",
     )

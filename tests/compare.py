@@ -1,5 +1,6 @@
 """Run registered queries against their SQL in DuckDB: python tests/compare.py [sf] [name ...]"""
 
+import importlib
 import os
 import sys
 import time
@@ -68,17 +69,23 @@ def compare(spark, con, folder, fn, sql):
 
 def main():
     import __spark_entry__ as entry
+    from maskwork.catalog.base import Catalog
     from maskwork.session import build_session
 
     args = sys.argv[1:]
     sf = args[0] if args else "0.01"
     folder = f"/root/testdata/sf{sf}"
+    queries, oracles = entry.queries(), entry.oracle_sql()
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                          "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
-    queries, oracles = entry.queries(), entry.oracle_sql()
     names = args[1:] or list(queries)
+    modules = [n[1:] for n in names if n.startswith("@")]
+    for m in modules:  # @traffic: every query of that catalog module
+        part = Catalog()
+        importlib.import_module(f"maskwork.catalog.{m}").register(part)
+        names += list(part.queries)
     wanted = [q for q in queries if any(q == n or (n.endswith("*") and q.startswith(n[:-1])) for n in names)]
     failed = []
     for name in wanted:

@@ -65,21 +65,21 @@ def rebuilt_sql(source: str, text: str, pattern: str, lookup: str, out: str) ->
     )
 
 
-def tier1_sql() -> dict[str, str]:
+def tier1_sql(source: str = PARTS_SQL) -> dict[str, str]:
     """Findings, vault and redacted texts of the first-tier passes over the chat parts."""
     keys = f"{KEY_SQL}"
-    t1 = f"(select *, regexp_replace(text, {quote(P.SSN)}, '[]', 'g') as t1 from {PARTS_SQL})"
+    t1 = f"(select *, regexp_replace(text, {quote(P.SSN)}, '[]', 'g') as t1 from {source})"
     valid = luhn_sql("$M")
     t2 = rebuilt_sql(t1, "t1", P.CREDIT_CARD, f"case when {valid} then '[]' end", "t2")
 
-    def hits(source: str, text: str, pattern: str, kind: str, no: int, where: str = "") -> str:
+    def hits(rows: str, text: str, pattern: str, kind: str, no: int, where: str = "") -> str:
         return (
             f"select {keys}, {no} as pass_no, i as pos, '{kind}' as kind, m[i] as value from (select *, unnest(range(1, len(m) + 1)) as i from "
-            f"(select {keys}, regexp_extract_all({text}, {quote(pattern)}, 0) as m from {source})) {where}"
+            f"(select {keys}, regexp_extract_all({text}, {quote(pattern)}, 0) as m from {rows})) {where}"
         )
 
     found = (
-        "(" + hits(PARTS_SQL, "text", P.SSN, "ssn", 0) + " union all "
+        "(" + hits(source, "text", P.SSN, "ssn", 0) + " union all "
         + hits(t1, "t1", P.CREDIT_CARD, "credit_card", 1, f"where {luhn_sql('m[i]')}") + " union all "
         + hits(t2, "t2", P.EMAIL, "email", 2) + ")"
     )
@@ -93,7 +93,7 @@ def tier1_sql() -> dict[str, str]:
     )
     maps = f"(select session_id as sid, map_from_entries(list((plaintext, pseudonym))) as mp from {vault} group by session_id)"
     look = "map_extract(mp, $M)[1]"
-    r1 = rebuilt_sql(f"(select * from {PARTS_SQL} p left join {maps} v on p.session_id = v.sid)", "text", P.SSN, look, "r1")
+    r1 = rebuilt_sql(f"(select * from {source} p left join {maps} v on p.session_id = v.sid)", "text", P.SSN, look, "r1")
     r2 = rebuilt_sql(r1, "r1", P.CREDIT_CARD, look, "r2")
     r3 = f"(select {keys}, r3 as text from {rebuilt_sql(r2, 'r2', P.EMAIL, look, 'r3')})"
     return {"found": found, "vault": vault, "redacted": r3}

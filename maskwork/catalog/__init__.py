@@ -6,7 +6,7 @@ import importlib
 
 from maskwork.catalog.base import Catalog
 
-MODULES = ("detect", "redact", "chat", "traffic", "wire")
+MODULES = ("detect", "redact", "chat", "traffic", "wire", "streams")
 
 
 def build() -> Catalog:

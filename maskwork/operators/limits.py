@@ -67,6 +67,25 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 _MAX = (1 << 62)
 
 
+def _in_order(runs: DataFrame) -> DataFrame:
+    """Runs spread over tasks, each run whole and in event order within its task."""
+    return runs.repartition("k", "run").sortWithinPartitions("k", "run", "us", "tie")
+
+
+def _stretches(pdf: pd.DataFrame) -> Iterator[tuple[int, int, tuple, int]]:
+    """(from, to, run, entry state) of the stretches of one run within an Arrow batch.
+
+    A run may go on in the next batch, so the fold keeps its state between batches and holds
+    one batch in memory at a time.
+    """
+    if not len(pdf):
+        return
+    k, run, entry = pdf["k"].to_numpy(), pdf["run"].to_numpy(), pdf["entry"].to_numpy(np.int64)
+    starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (run[1:] != run[:-1])) + 1))
+    for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
+        yield int(lo), int(hi), (k[lo], int(run[lo])), int(entry[lo])
+
+
 # --- token bucket -------------------------------------------------------------------------
 
 
@@ -166,17 +185,22 @@ def token_bucket(
         upto, shift, fixed = bucket_summary(v, unit, capacity)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "run": [pdf["run"].iloc[0]], "upto": [upto], "shift": [shift], "fixed": [fixed]})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        v = pdf["us"].to_numpy(np.int64) * scale
-        allowed, missing, _ = bucket_fold(v, int(pdf["entry"].iloc[0]), unit, capacity)
-        return pd.DataFrame({
-            "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
-            "retry_after": missing / (scale * 1_000_000.0),
-        })
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, full_at = None, _NONE
+        for pdf in batches:
+            v = pdf["us"].to_numpy(np.int64) * scale
+            allowed, missing = np.zeros(len(v), dtype=bool), np.zeros(len(v), dtype=np.int64)
+            for lo, hi, run, entry in _stretches(pdf):
+                if run != here:
+                    here, full_at = run, entry
+                allowed[lo:hi], missing[lo:hi], full_at = bucket_fold(v[lo:hi], full_at, unit, capacity)
+            yield pd.DataFrame({
+                "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
+                "retry_after": missing / (scale * 1_000_000.0),
+            })
 
     entered = _with_entry(runs, summarise, _chain)
-    out = entered.groupBy("k", "run").applyInPandas(
+    out = _in_order(entered).mapInPandas(
         fold, f"k {typ}, us bigint, tie {tie_typ}, allowed boolean, retry_after double"
     )
     return out.select(F.col("k").alias(key), F.col("us").alias(us), F.col("tie").alias(tie), "allowed", "retry_after")
@@ -240,13 +264,20 @@ def fold_storms(
         upto, shift, fixed = storm_summary(t, window_us)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "run": [pdf["run"].iloc[0]], "upto": [upto], "shift": [shift], "fixed": [fixed]})
 
-    def emits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        at = list(storm_emits(pdf["us"].to_numpy(np.int64), int(pdf["entry"].iloc[0]), window_us))
-        return pdf.iloc[at][["k", "us", "tie", "r"]]
+    def emits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, _NONE
+        for pdf in batches:
+            t, at = pdf["us"].to_numpy(np.int64), []
+            for lo, hi, run, entry in _stretches(pdf):
+                if run != here:
+                    here, last = run, entry
+                at += [lo + i for i in storm_emits(t[lo:hi], last, window_us)]
+                if at and at[-1] >= lo:
+                    last = int(t[at[-1]])
+            yield pdf.iloc[at][["k", "us", "tie", "r"]]
 
     entered = _with_entry(runs, summarise, _chain)
-    out = entered.groupBy("k", "run").applyInPandas(emits, f"k {typ}, us bigint, tie {tie_typ}, r bigint")
+    out = _in_order(entered).mapInPandas(emits, f"k {typ}, us bigint, tie {tie_typ}, r bigint")
     # The count is the distance in rank to the emit before, over all runs of the key.
     counted = sliced_previous(out, ["k"], ["us", "tie"], "r", F.floor(F.col("us") / (slice_us * 60)))
     return counted.select(

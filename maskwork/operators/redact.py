@@ -167,12 +167,13 @@ def redact_tier1(
 
     redact and warn put a pseudonym in place; block leaves the text (the request is rejected
     as a whole); redact_one_way passes through unchanged unless ``one_way`` is set.  Parts
-    without findings never leave their task.
+    without findings never leave their task.  The findings are persisted; unpersist them when done.
     """
     active = [k for k in TIER1_KINDS if (by_kind.get(k) or default) != "allow"]
     suspect = may_match(F.col(text), active)
     held = parts.filter(suspect)
-    found = tier1_findings(held, keys, text, by_kind, default, carry=[session, *order])
+    # Vault, swaps and the returned table all read the findings; the texts are searched once.
+    found = tier1_findings(held, keys, text, by_kind, default, carry=[session, *order]).persist()
     tokenized = found.filter(F.col("action").isin("redact", "warn"))
     vault = build_vault(tokenized, session, [*order, "pass_no", "pos"], salt)
     named = tokenized.join(

@@ -54,4 +54,5 @@ def inspect_audit(bodies: DataFrame, prefs: DataFrame, rules: DataFrame) -> Data
 def inspect_bodies(bodies: DataFrame, prefs: DataFrame, rules: DataFrame, salt: str) -> DataFrame:
     """request_id, body: chat bodies redacted, all others as they were."""
     _, found = inspect_findings(bodies, prefs, rules)
+    found = found.persist()  # read by the numbering, the masks and the pairs
     return redact_json_bodies(bodies.select("request_id", "body"), "request_id", "body", found, salt)

@@ -11,6 +11,7 @@ from maskwork.functions.masking import mask_preview
 from maskwork.functions.patterns import luhn_valid, register_pattern
 from maskwork.functions.text import line_and_column
 from maskwork.operators import detect as D
+from maskwork.operators.metrics import findings_by_kind, findings_rollup
 from maskwork.sources.corpus import read_table, scan_corpus
 
 RAW = {
@@ -205,3 +206,30 @@ def register(c: Catalog) -> None:
         "decode(encode(text)[1:3]) || repeat('*', strlen(text) - 6) || decode(encode(text)[strlen(text) - 2:strlen(text)]) end as text "
         f"from {FINDINGS}",
     )
+    bucket = (
+        "case when kind in ('api_key','aws_key','github_token','private_key','password') then 'secret' "
+        "when kind in ('email','phone','ssn','credit_card') then 'pii' else 'other' end"
+    )
+    tier = (
+        "case when kind in ('api_key','aws_key','github_token','private_key','credit_card','password') then 'high' "
+        "when kind = 'ssn' then 'medium' else 'low' end"
+    )
+
+    def by_source(s, d):
+        return D.findings(documents(s, d), ["doc_id", "source"], "text")
+
+    sourced = f"(select f.kind, d.source from {FINDINGS} f join documents d using (doc_id))"
+    c.add("findings_by_kind", lambda s, d: findings_by_kind(by_source(s, d), ["source"]),
+          f"select source, kind, {tier} as tier, {bucket} as bucket, count(*) as n from {sourced} group by all")
+    c.add("findings_rollup", lambda s, d: findings_rollup(by_source(s, d), "source"),
+          f"select source, kind, count(*) as n from {sourced} group by rollup (source, kind)")
+    c.add(
+        "detect_api_key_any_case",
+        lambda s, d: D.findings(
+            documents(s, d).withColumn("text", F.expr("text || ' Token-' || repeat('Z', cast(16 + doc_id % 60 as int)) || ' SK_abcdefghijklmnop'")),
+            ["doc_id"], "text", kinds=["api_key"], patterns=register_pattern(P.BUILTIN, "api_key", P.API_KEY_ANY_CASE),
+        ).drop("seq"),
+        "select * from " + kind_sql(
+            "api_key", f"(select doc_id, text || ' Token-' || repeat('Z', cast(16 + doc_id % 60 as integer)) || ' SK_abcdefghijklmnop' as text from {DOCUMENTS_SQL})",
+            "doc_id", pattern=P.API_KEY_ANY_CASE),
+    )

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 # The detection patterns (must equal the specified detectors).
 API_KEY = r"\b(?:sk|pk|api[_-]?key|token|secret)[_-][A-Za-z0-9\-]{16,64}\b"
+# The editor's form of the same pattern takes any case.
+API_KEY_ANY_CASE = (
+    r"\b(?:[sS][kK]|[pP][kK]|[aA][pP][iI][_-]?[kK][eE][yY]|[tT][oO][kK][eE][nN]|[sS][eE][cC][rR][eE][tT])"
+    r"[_-][A-Za-z0-9\-]{16,64}\b"
+)
 AWS_KEY = r"\bAKIA[0-9A-Z]{16}\b"
 GITHUB_TOKEN = r"\b(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}\b"
 PRIVATE_KEY = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----"

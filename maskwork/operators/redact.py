@@ -232,18 +232,13 @@ def redact_one_way(scanned: DataFrame, text: str, kinds: Sequence[str] | None =
     return scanned.withColumn(text, replace_pairs(F.col(text), old, new))
 
 
-def redaction_stats(found: DataFrame, last_turn: DataFrame, request: str, msg: str) -> DataFrame:
-    """Counters per request over the last user message only.
+def turn_stats(found: DataFrame, request: str) -> DataFrame:
+    """Counters per request over the findings given (kind, action, seq).
 
-    ``found`` has kind, action and seq for all user messages; ``last_turn`` has one row
-    (request, msg) per request.  Requests without findings there get zeros.
+    Findings are counted per kind first, so no list is longer than the list of kinds.
     """
-    marked = last_turn.select(request, F.col(msg).alias("__last"))
-    scoped = found.join(
-        last_turn.select(request, msg), [request, msg], "left_semi"
-    )
     a = F.col("action")
-    per_kind = scoped.groupBy(request, "kind").agg(
+    per_kind = found.groupBy(request, "kind").agg(
         F.count("*").alias("n"),
         F.count_if(a == "redact_one_way").alias("one_way"),
         F.count_if(a.isin("redact", "warn")).alias("tokenized"),
@@ -253,7 +248,7 @@ def redaction_stats(found: DataFrame, last_turn: DataFrame, request: str, msg: s
         F.min(F.when(a == "block", F.col("seq"))).alias("first_block"),
     )
     allowed = F.col("n") - F.col("one_way") - F.col("tokenized") - F.col("skipped") - F.col("blocked")
-    stats = per_kind.groupBy(request).agg(
+    return per_kind.groupBy(request).agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "n"))), ",").alias("kinds"),
         F.sum("one_way").alias("n_one_way"),
         F.sum("tokenized").alias("n_tokenized"),
@@ -262,14 +257,25 @@ def redaction_stats(found: DataFrame, last_turn: DataFrame, request: str, msg: s
         F.min_by("kind", "first_one_way").alias("notify_kind"),
         F.min_by("kind", "first_block").alias("block_kind"),
     )
+
+
+def with_turn_stats(requests: DataFrame, stats: DataFrame, request: str) -> DataFrame:
+    """Requests with their counters; those without findings get zeros and empty strings."""
     zero = F.lit(0).cast("bigint")
-    return marked.join(stats, request, "left").select(
-        request,
-        F.coalesce("kinds", F.lit("")).alias("kinds"),
-        *[F.coalesce(c, zero).alias(c) for c in ("n_one_way", "n_tokenized", "n_allowed", "n_skipped")],
-        F.coalesce("notify_kind", F.lit("")).alias("notify_kind"),
-        F.coalesce("block_kind", F.lit("")).alias("block_kind"),
-    )
+    counts = ("n_one_way", "n_tokenized", "n_allowed", "n_skipped")
+    names = ("kinds", "notify_kind", "block_kind")
+    filled = {**{c: F.coalesce(c, zero) for c in counts}, **{c: F.coalesce(c, F.lit("")) for c in names}}
+    return requests.join(stats, request, "left").withColumns(filled)
+
+
+def redaction_stats(found: DataFrame, last_turn: DataFrame, request: str, msg: str) -> DataFrame:
+    """Counters per request over the last user message only.
+
+    ``found`` has kind, action and seq for all user messages; ``last_turn`` has one row
+    (request, msg) per request.
+    """
+    scoped = found.join(last_turn.select(request, msg), [request, msg], "left_semi")
+    return with_turn_stats(last_turn.select(request), turn_stats(scoped, request), request)
 
 
 def size_guard(text: Column, max_bytes: int = MAX_PART_BYTES) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwork.functions.classify import extract_model, is_chat_endpoint
 from maskwork.functions.kinds import tier
 from maskwork.operators.bodies import body_findings, body_texts, redact_json_bodies
-from maskwork.operators.redact import redaction_stats, resolve_action_layered
+from maskwork.operators.redact import resolve_action_layered, turn_stats, with_turn_stats
 
 
 def inspect_findings(bodies: DataFrame, prefs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,21 +32,20 @@ def inspect_audit(bodies: DataFrame, prefs: DataFrame, rules: DataFrame) -> Data
 
     Statistics and blocking look at the newest user message only.
     """
-    texts, found = inspect_findings(bodies, prefs, rules)
-    last = texts.filter("is_last").select("request_id", "msg_idx").distinct()
+    _, found = inspect_findings(bodies, prefs, rules)
     # seq counts within a text; put the block in front so the first finding is the first block's.
-    placed = found.withColumn("seq", F.struct("blk_idx", "seq"))
-    stats = redaction_stats(placed, last, "request_id", "msg_idx")
-    chat = bodies.filter(is_chat_endpoint(F.col("path"))).select("request_id", "path", extract_model(F.col("body")).alias("model"))
-    blocked = F.coalesce("block_kind", F.lit("")) != ""
-    changed = F.coalesce(F.col("n_one_way") + F.col("n_tokenized"), F.lit(0)) > 0
-    zero = F.lit(0).cast("bigint")
-    counts = [F.coalesce(c, zero).alias(c) for c in ("n_one_way", "n_tokenized", "n_allowed", "n_skipped")]
-    names = [F.coalesce(c, F.lit("")).alias(c) for c in ("kinds", "notify_kind", "block_kind")]
+    placed = found.filter("is_last").withColumn("seq", F.struct("blk_idx", "seq"))
+    chat = bodies.filter(is_chat_endpoint(F.col("path"))).select(
+        "request_id", F.col("path").alias("endpoint"), extract_model(F.col("body")).alias("model")
+    )
+    rows = with_turn_stats(chat, turn_stats(placed, "request_id"), "request_id")
+    blocked = F.col("block_kind") != ""
+    changed = F.col("n_one_way") + F.col("n_tokenized") > 0
     # A blocked request records the blocking kind alone.
-    kinds = F.when(blocked, F.col("block_kind")).otherwise(F.regexp_replace(F.coalesce("kinds", F.lit("")), "=[0-9]+", ""))
-    return chat.join(stats, "request_id", "left").select(
-        "request_id", F.col("path").alias("endpoint"), "model", kinds.alias("dlp_findings"), *names, *counts,
+    kinds = F.when(blocked, F.col("block_kind")).otherwise(F.regexp_replace("kinds", "=[0-9]+", ""))
+    return rows.select(
+        "request_id", "endpoint", "model", kinds.alias("dlp_findings"), "kinds", "notify_kind", "block_kind",
+        "n_one_way", "n_tokenized", "n_allowed", "n_skipped",
         F.when(blocked, "blocked_dlp").when(changed, "redacted").otherwise("allowed").alias("verdict"),
     )
 

@@ -1 +1,8 @@
 """Sensitive-data and model-traffic analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get the functions themselves, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -39,18 +39,27 @@ def _key_type(df: DataFrame) -> str:
 
 
 def _with_entry(runs: DataFrame, summarise, chain) -> DataFrame:
-    """Add the entry state of each run. Keys with one run need no summaries."""
-    none = F.lit(_NONE).cast("bigint")
+    """Runs with the entry state of every later run as one more row, which sorts first in its run.
+
+    The states come in by union and not by a join: the folds below rely on a run being whole
+    in one task, and a join before them lets adaptive execution drop their repartitioning and
+    split a skewed run over tasks.
+    """
+    plain = runs.withColumn("entry", F.lit(_NONE).cast("bigint"))
     if runs.filter(F.col("run") > 0).isEmpty():
-        return runs.withColumn("entry", none)
-    key = _key_type(runs)
+        return plain
+    types = dict(runs.dtypes)
     last = runs.groupBy("k").agg(F.max("run").alias("__last")).filter(F.col("__last") > 0)
     long = runs.join(last, "k").filter(F.col("run") < F.col("__last")).drop("__last")
     maps = long.groupBy("k", "run").applyInPandas(
-        summarise, f"k {key}, run bigint, upto array<bigint>, shift array<bigint>, fixed array<boolean>"
+        summarise, f"k {types['k']}, run bigint, upto array<bigint>, shift array<bigint>, fixed array<boolean>"
+    )
+    entries = maps.groupBy("k").applyInPandas(chain, f"k {types['k']}, run bigint, entry bigint")
+    marks = entries.select(
+        "k", F.lit(_NONE).cast("bigint").alias("us"), F.lit(0).cast(types["tie"]).alias("tie"),
+        F.lit(0).cast("bigint").alias("r"), "run", "entry",
     )
-    entries = maps.groupBy("k").applyInPandas(chain, f"k {key}, run bigint, entry bigint")
-    return runs.join(entries, ["k", "run"], "left").withColumn("entry", F.coalesce("entry", none))
+    return plain.unionByName(marks)
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,14 +85,15 @@ def _stretches(pdf: pd.DataFrame) -> Iterator[tuple[int, int, tuple, int]]:
     """(from, to, run, entry state) of the stretches of one run within an Arrow batch.
 
     A run may go on in the next batch, so the fold keeps its state between batches and holds
-    one batch in memory at a time.
+    one batch in memory at a time.  The row that brings the entry state is not in the stretch.
     """
     if not len(pdf):
         return
-    k, run, entry = pdf["k"].to_numpy(), pdf["run"].to_numpy(), pdf["entry"].to_numpy(np.int64)
+    k, run = pdf["k"].to_numpy(), pdf["run"].to_numpy()
+    us, entry = pdf["us"].to_numpy(np.int64), pdf["entry"].to_numpy(np.int64)
     starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (run[1:] != run[:-1])) + 1))
     for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
-        yield int(lo), int(hi), (k[lo], int(run[lo])), int(entry[lo])
+        yield int(lo) + int(us[lo] == _NONE), int(hi), (k[lo], int(run[lo])), int(entry[lo])
 
 
 # --- token bucket -------------------------------------------------------------------------
@@ -188,16 +198,17 @@ def token_bucket(
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, full_at = None, _NONE
         for pdf in batches:
-            v = pdf["us"].to_numpy(np.int64) * scale
+            v = pdf["us"].where(pdf["us"] != _NONE, 0).to_numpy(np.int64) * scale
             allowed, missing = np.zeros(len(v), dtype=bool), np.zeros(len(v), dtype=np.int64)
             for lo, hi, run, entry in _stretches(pdf):
                 if run != here:
                     here, full_at = run, entry
                 allowed[lo:hi], missing[lo:hi], full_at = bucket_fold(v[lo:hi], full_at, unit, capacity)
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
                 "retry_after": missing / (scale * 1_000_000.0),
             })
+            yield out[pdf["us"] != _NONE]
 
     entered = _with_entry(runs, summarise, _chain)
     out = _in_order(entered).mapInPandas(

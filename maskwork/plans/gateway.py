@@ -15,6 +15,7 @@ from maskwork.operators.ordering import daily_budget
 from maskwork.operators.quality import KNOWN_MODALITIES, MODES
 from maskwork.operators.redact import MAX_PART_BYTES, TIER1_KINDS, tier1_segments
 from maskwork.operators.routing import SHIPPED_POLICIES, Policy, route
+from maskwork.session import materialise
 
 # The only columns an audit row may have. Content is not among them.
 AUDIT_COLUMNS = (
@@ -23,6 +24,12 @@ AUDIT_COLUMNS = (
 )
 
 
+PART_COLUMNS = (
+    "n_parts", "n_not_text", "n_large", "text_bytes", "injection_score", "injection_rules",
+    "finding_kinds", "warning_kinds", "dlp_blocked",
+)
+
+
 @dataclass(frozen=True)
 class GatewayPolicy:
     actions: dict[str, str] = field(default_factory=dict)
@@ -115,7 +122,15 @@ def gateway_audit(
         F.when(~auth_ok, "auth_failed")
         .when(~mode_ok | (F.coalesce("n_parts", F.lit(0)) == 0), "config_invalid")
     )
-    staged = seen.withColumn("__early", early)
+    # Written once, without keys or content: the texts are read by one job, and the budget
+    # replay and everything after it work on these narrow rows.
+    staged = materialise(
+        seen.select(
+            "request_id", "us", "endpoint", "mode", "model", "snapshot", "send_error", "duration_ms",
+            "tenant_id", "key_id", "budget_ref", *PART_COLUMNS, early.alias("__early"),
+        ),
+        "gateway",
+    )
     spent = daily_budget(
         staged.filter(F.col("__early").isNull()).select("request_id", "us", "budget_ref"), limits, "budget_ref", "us", "request_id"
     ).select("request_id", "allowed")

@@ -95,3 +95,32 @@ def test_running_sum(spark):
         total += sum(i for i in range(500) if i % 50 == b)
         want[b] = total
     assert got == want
+
+
+FORCED_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+@pytest.fixture
+def forced_skew(spark):
+    old = {k: spark.conf.get(k, None) for k in FORCED_SKEW}
+    for k, v in FORCED_SKEW.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_folds_hold_when_joins_split_skewed_partitions(forced_skew):
+    rows = events(21, n=4000)
+    df = forced_skew.createDataFrame(rows, "key string, us bigint, tie bigint").repartition(8, "tie")
+    got = {(r.key, r.tie): r.allowed for r in T.token_bucket(df, "key", "us", "tie", 1, 3, run_rows=700).collect()}
+    assert got == {k: v[0] for k, v in bucket_by_hand(rows, 1, 3).items()}
+    lines = {(r.key, r.tie): r["count"] for r in T.fold_storms(df, "key", "us", "tie", 2_000_000, run_rows=700).collect()}
+    assert lines == storms_by_hand(rows, 2_000_000)

@@ -17,6 +17,9 @@ from maskwork.streaming.run import read_stream, run_to_table
 
 
 def event_stream(s, d):
+    if s.sparkContext.master.startswith("local"):
+        # Every shuffle partition of a stateful stream opens a state store: one per core will do here.
+        s.conf.set("spark.sql.shuffle.partitions", s.sparkContext.defaultParallelism)
     df = read_stream(s, f"{d}/events.parquet")
     return df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 

@@ -10,7 +10,6 @@ from maskwork.catalog.detect import FINDINGS, findings_sql
 from maskwork.catalog.redact import DEFAULT_SQL, ONE_WAY_SQL, TIER_SQL, SALT, pseudonym_sql, tier1_sql
 from maskwork.catalog.traffic import AUDIT, SENDS, SQL_FAILED, Derived, pick
 from maskwork.functions import classify as C
-from maskwork.operators import detect as D
 from maskwork.operators import routing as R
 from maskwork.operators import stages as X
 from maskwork.plans import corpus, gateway, inspection

@@ -12,7 +12,7 @@ from maskwork.functions.classify import verdict
 from maskwork.operators.injection import BUILTIN_RULES, DEFAULT_THRESHOLD, InjectionRule, matched_rules, score_of
 from maskwork.operators.joins import resolve_principal
 from maskwork.operators.ordering import daily_budget
-from maskwork.operators.quality import KNOWN_MODALITIES, MODES
+from maskwork.operators.quality import MODES
 from maskwork.operators.redact import MAX_PART_BYTES, TIER1_KINDS, tier1_segments
 from maskwork.operators.routing import SHIPPED_POLICIES, Policy, route
 from maskwork.session import materialise

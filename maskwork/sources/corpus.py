@@ -13,8 +13,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for heavy per-row work on an input with few splits.
 
-    A file with one row group arrives as one task.  Inputs with at least one split per
-    core, which is any large corpus, are left alone: there this adds no shuffle.
+    A file with one row group arrives as one task.  Inputs with at least two splits
+    per core, which is any large corpus, are left alone: there this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores * 2:

@@ -11,6 +11,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.decontaminate import leaks
+
+    return leaks(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.secrets import digest, findings
+
+    return digest(findings(_table(spark, folder, "documents"), "doc_id"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from maskwork.llm.toxicity import toxicity
 
@@ -25,5 +37,7 @@ def op9_near_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> tuple[dict, dict[str, str]]:
     """Queries and, where SQL can express them on whole tables, their SQL."""
-    queries = {fn.__name__: fn for fn in (op7_toxicity, op9_near_join)}
-    return queries, {}
+    from maskwork.llm import secrets
+
+    queries = {fn.__name__: fn for fn in (op4_decontaminate, op6_secrets, op7_toxicity, op9_near_join)}
+    return queries, {"op6_secrets": secrets.oracle_sql()}

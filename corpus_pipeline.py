@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskwork.llm.decontaminate import drop_leaks
 from maskwork.llm.near_join import keep_one_of_each
+from maskwork.llm.packing import pack
+from maskwork.llm.secrets import mask_secrets
 from maskwork.llm.toxicity import reject_toxic
 from maskwork.session import materialise, prepare
 
@@ -23,7 +26,25 @@ def near_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_join", near_join)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret masked."""
+    return mask_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents with their sequence and offset."""
+    import public_tokenizers
+
+    return pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("near_join", near_join), ("decontaminate", decontaminate), ("secrets", secrets),
+          ("packing", packing)]
 
 # The fitted scores and the tokenizer are beyond SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None

@@ -35,9 +35,18 @@ def op9_near_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_classes(_table(spark, folder, "documents"))
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskwork.llm.packing import pack
+
+    return pack(spark, _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def registered() -> tuple[dict, dict[str, str]]:
     """Queries and, where SQL can express them on whole tables, their SQL."""
     from maskwork.llm import secrets
 
-    queries = {fn.__name__: fn for fn in (op4_decontaminate, op6_secrets, op7_toxicity, op9_near_join)}
+    queries = {fn.__name__: fn for fn in (op4_decontaminate, op6_secrets, op7_toxicity, op9_near_join,
+                                        op10_packing)}
     return queries, {"op6_secrets": secrets.oracle_sql()}

@@ -229,7 +229,8 @@ def near_classes(documents: DataFrame) -> DataFrame:
     placed = placed.join(sizes.select("component", blocks.alias("blocks")), "component")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    members = placed.join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # both sides grow with the corpus, so neither is ever broadcast
+    members = placed.hint("merge").join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("component", "node", "text", "block", F.least("block", "with").alias("bi"),
                              F.greatest("block", "with").alias("bj"))
 
@@ -252,5 +253,5 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """
     names = documents.columns
     kept = near_classes(documents).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    chosen = documents.join(kept, F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"]).select(*names)
+    chosen = documents.join(kept.hint("merge"), F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"]).select(*names)
     return chosen.union(documents.where("doc_id is null").select(*names))

@@ -17,6 +17,12 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(spark, _table(spark, folder, "documents")).drop("kept")
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from maskwork.llm.secrets import digest, findings
 
@@ -47,6 +53,6 @@ def registered() -> tuple[dict, dict[str, str]]:
     """Queries and, where SQL can express them on whole tables, their SQL."""
     from maskwork.llm import secrets
 
-    queries = {fn.__name__: fn for fn in (op4_decontaminate, op6_secrets, op7_toxicity, op9_near_join,
+    queries = {fn.__name__: fn for fn in (op4_decontaminate, op5_substring_dedup, op6_secrets, op7_toxicity, op9_near_join,
                                         op10_packing)}
     return queries, {"op6_secrets": secrets.oracle_sql()}

@@ -78,11 +78,11 @@ def with_blobs(versions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
-                text: str = "text") -> DataFrame:
+                text: str = "text", keep: str | None = None) -> DataFrame:
     """(blob, found): spans by kind of each blob, from the ledger or from a scan.
 
     ``found`` is an array of (kind, version, scanned, spans) in the order of ``rules``; ``scanned`` tells the new
-    pairs, which is what ``ledger_rows`` appends.
+    pairs, which is what ``ledger_rows`` appends. ``keep`` names a column for the text itself.
     """
     blobs = with_blobs(versions.select(F.col(text).alias("__text")), "__text").dropDuplicates(["blob"])
     if ledger is None:
@@ -97,7 +97,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
         old = F.try_element_at(F.col("__seen"), F.lit(f"{rule.kind}:{rule.version}"))
         found.append(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), old.isNull().alias("scanned"),
                               F.when(old.isNotNull(), old).otherwise(spans_of(body, rule)).alias("spans")))
-    return blobs.select("blob", F.array(*found).alias("found"))
+    kept = [body.alias(keep)] if keep else []
+    return blobs.select("blob", *kept, F.array(*found).alias("found"))
 
 
 def ledger_rows(scanned: DataFrame) -> DataFrame:
@@ -145,29 +146,29 @@ def digest(found: DataFrame, path: str = "doc_id") -> DataFrame:
 def mask_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span replaced by ``mark`` (spans that overlap by one) and ``n_chars`` set anew.
 
-    Every row stays, with the columns it came with; texts without a span stay as they are. The
-    text is scanned where it is a row of the table; only one copy of each blob is moved.
+    Every row stays, with the columns it came with; texts without a span, null ones too, stay as they
+    are. Each blob is moved, scanned and masked once and joined to the other columns of its rows.
     """
     names = documents.columns
-    blobs = with_blobs(documents)
-    scanned = scan_unseen(documents)
+    scanned = scan_unseen(documents, keep="__text")
     spans = flat_spans(F.col("found"), tuple(r.kind for r in RULES))
-    hits = scanned.select("blob", spans.alias("__spans")).where(F.size("__spans") > 0)
-    merged = blobs.join(hits, "blob", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("__text")
 
     def step(acc: Column, span: Column) -> Column:
         fresh = span["start"] >= acc["at"]
-        before = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
+        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(fresh, before).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = F.col("__spans").isNotNull()
-    out = merged.withColumn("__clean", F.when(changed, clean).otherwise(F.col("text")))
-    columns = {"text": F.col("__clean"), "n_chars": F.when(changed, F.length("__clean").cast("bigint")).otherwise(F.col("n_chars"))
-               if "n_chars" in names else None}
-    return out.select(*[columns[n].alias(n) if columns.get(n) is not None else F.col(n) for n in names])
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.size("__spans") > 0
+    masked = scanned.withColumn("__spans", spans).select("blob", hit.alias("__hit"), F.when(hit, clean).otherwise(text).alias("__text"))
+    narrow = with_blobs(documents).withColumn("__null", F.col("text").isNull()).drop("text")
+    out = narrow.join(masked.hint("merge"), "blob")
+    columns = {"text": F.when(~F.col("__null"), F.col("__text"))}
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(F.col("__hit"), F.length("__text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.select(*[columns[n].alias(n) if n in columns else F.col(n) for n in names])
 
 
 def oracle_sql(table: str = "documents") -> str:

@@ -11,6 +11,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.html_text import extract
+
+    return extract(_table(spark, folder, "pages"))
+
+
+def op2_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from maskwork.llm.fertility import quality_rules
+
+    return quality_rules(_table(spark, folder, "documents"), public.path("byte_bpe_50k.tiktoken"), public.path("piece_bpe_32k.model"),
+                         public.PATTERN)
+
+
+def op3_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.resampling import resample
+
+    return resample(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from maskwork.llm.decontaminate import leaks
 
@@ -35,6 +56,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from maskwork.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, folder, "documents"), public.path("piece_bpe_32k.model"))
+
+
 def op9_near_join(spark: SparkSession, folder: str) -> DataFrame:
     from maskwork.llm.near_join import near_classes
 
@@ -53,6 +82,7 @@ def registered() -> tuple[dict, dict[str, str]]:
     """Queries and, where SQL can express them on whole tables, their SQL."""
     from maskwork.llm import secrets
 
-    queries = {fn.__name__: fn for fn in (op4_decontaminate, op5_substring_dedup, op6_secrets, op7_toxicity, op9_near_join,
-                                        op10_packing)}
+    queries = {fn.__name__: fn for fn in (
+        op1_html_text, op2_fertility, op3_resampling, op4_decontaminate, op5_substring_dedup, op6_secrets, op7_toxicity,
+        op8_token_counts, op9_near_join, op10_packing)}
     return queries, {"op6_secrets": secrets.oracle_sql()}

@@ -188,43 +188,41 @@ def _decide(block: _Block, stops: list[frozenset]) -> str:
     return "near" if share >= FEW_STOPS else "bad"
 
 
+def _fate(block: _Block, near: list[tuple[int, bool, _Block]]) -> str:
+    """Label of an undecided block from its nearest decided neighbours (distance, whether after, block)."""
+    if not near:
+        return "good" if block.article else "bad"
+    labels = {n[2].label for n in near}
+    if len(labels) == 1:
+        return labels.pop()
+    if block.label == "near" or block.article:
+        return "good"
+    if block.heading:
+        return near[-1][2].label  # a heading goes with what follows
+    least = min(n[0] for n in near)
+    closest = [n[2] for n in near if n[0] == least]
+    # between two at one distance, a part of the page's frame does not pull
+    return "bad" if any(n.label == "bad" and not n.away for n in closest) or len(closest) == 1 and closest[0].label == "bad" else "good"
+
+
 def label(blocks: list[_Block], stops: list[frozenset]) -> None:
+    """Pass one, then pass two: longer undecided blocks first, so that short ones can follow them."""
     for block in blocks:
         block.label = _decide(block, stops)
-    decided = [b.label in ("good", "bad") for b in blocks]
-    before, after = [-1] * len(blocks), [-1] * len(blocks)
-    last = -1
-    for i in range(len(blocks)):
-        before[i] = last
-        if decided[i]:
-            last = i
-    last = -1
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = last
-        if decided[i]:
-            last = i
-    fates = []
-    for i, block in enumerate(blocks):
-        if decided[i]:
-            fates.append(block.label)
-            continue
-        # a neighbour on the other side of an article's edge has no say
-        near = [(abs(j - i), j > i, blocks[j].label) for j in (before[i], after[i]) if j >= 0 and blocks[j].article == block.article]
-        labels = {name for _, _, name in near}
-        if not near:
-            fates.append("good" if block.article else "bad")
-        elif len(labels) == 1:
-            fates.append(near[0][2])
-        elif block.label == "near" or block.article:
-            fates.append("good")
-        elif block.heading:
-            fates.append(max(near, key=lambda n: n[1])[2])  # a heading goes with what follows
-        else:
-            least = min(n[0] for n in near)
-            closest = {n[2] for n in near if n[0] == least}
-            fates.append("good" if closest == {"good"} else "bad")
-    for block, fate in zip(blocks, fates):
-        block.label = fate
+    for kind in ("near", "short"):
+        decided = [b.label in ("good", "bad") for b in blocks]
+        around: list[list[tuple[int, bool, _Block]]] = [[] for _ in blocks]
+        for after, order in ((False, range(len(blocks))), (True, range(len(blocks) - 1, -1, -1))):
+            last: dict[bool, int] = {}  # a neighbour on the other side of an article's edge has no say
+            for i in order:
+                if decided[i]:
+                    last[blocks[i].article] = i
+                elif blocks[i].article in last:
+                    j = last[blocks[i].article]
+                    around[i].append((abs(j - i), after, blocks[j]))
+        fates = [(b, _fate(b, near)) for b, near in zip(blocks, around) if b.label == kind]
+        for block, fate in fates:
+            block.label = fate
 
 
 def main_text(page: str | None, stops: list[frozenset] | None = None) -> str:

@@ -229,7 +229,8 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WIND
     rows = _rows(documents)
     heavy = _heavy(rows, window, gram)
     segments = materialise(_segments(rows, heavy, window, gram), "segments")
-    several = segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join reads two plain shuffles and a key with a third of the segments can be split
+    several = materialise(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     shared = materialise(segments.join(several, "key", "left_semi"), "shared")
     distinct = shared.groupBy("key", "content").agg(
         F.min(F.struct("doc", "mark", "first", "windows")).alias("one"), F.count("*").alias("n"))

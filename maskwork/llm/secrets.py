@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwork.session import materialise
+
 
 class Rule(NamedTuple):
     """A pattern; with ``group`` its matches count only if that group has ``least`` characters."""
@@ -126,7 +128,8 @@ def findings(versions: DataFrame, path: str, ledger: DataFrame | None = None, ru
 
     Null and empty texts have no spans; repeated rows and copies get the same; null paths stay.
     """
-    scanned = scan_unseen(versions, ledger, rules, text)
+    # written like the ledger it extends; a blob that a third of the paths have then splits in the join
+    scanned = materialise(scan_unseen(versions, ledger, rules, text), "scanned")
     spans = flat_spans(F.col("found"), tuple(r.kind for r in rules))
     narrow = with_blobs(versions.select(F.col(path), F.col(text).alias("__text")), "__text").drop("__text")
     return narrow.join(scanned.select("blob", spans.alias("spans")), "blob").select(path, "blob", "spans")

@@ -15,13 +15,13 @@ from maskwork.session import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung on the node's smallest neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("least")), "least")  # a hot node then splits in the join
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are hung on the smallest one."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -38,6 +38,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
-        before, now = state, materialise(_small_star(_large_star(now)), "edges")
+        before, now = state, materialise(_small_star(materialise(_large_star(now), "stars")), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

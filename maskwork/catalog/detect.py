@@ -168,8 +168,8 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "scan_corpus",
-        lambda s, d: scan_corpus(documents(s, d), "text", 16384).select("doc_id", F.octet_length("text").alias("bytes")),
-        f"select doc_id, cast(strlen(text) as integer) as bytes from {DOCUMENTS_SQL} where strlen(text) <= 16384",
+        lambda s, d: scan_corpus(documents(s, d), "text", 16384).select("doc_id", F.octet_length("text").alias("bytes"), "oversized"),
+        f"select doc_id, cast(strlen(text) as integer) as bytes, strlen(text) > 16384 as oversized from {DOCUMENTS_SQL}",
     )
     c.add(
         "union_findings",

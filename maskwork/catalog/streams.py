@@ -6,21 +6,33 @@ from pyspark.sql import functions as F
 
 from maskwork.catalog.base import DOCUMENTS_SQL, EVENTS_SQL, PARTS_SQL, Catalog, events, suffix_sql
 from maskwork.catalog.detect import FINDINGS, findings_sql
-from maskwork.catalog.redact import SALT, tier1
-from maskwork.catalog.traffic import AUDIT, BUDGET, LIMITS, RATE, STORM, Derived, _budget_sql, _storm_sql, _token_bucket_sql
+from maskwork.catalog.redact import tier1
+from maskwork.catalog.traffic import AUDIT, BUCKET, BUDGET, LIMITS, RATE, STORM, Derived, _budget_sql, _storm_sql, _token_bucket_sql
 from maskwork.operators import joins as J
 from maskwork.operators import metrics as A
-from maskwork.session import materialise
+from maskwork.session import materialise, prepare, shared_dir
+from maskwork.sources.corpus import read_table
 from maskwork.streaming import flows, state
-from maskwork.streaming.run import read_stream, run_to_table
+from maskwork.streaming.run import read_stream, run_complete, run_to_table, run_updates
 
 
 
+def slices(s, df, name: str, order: str, n: int = 4) -> str:
+    """The whole table as ``n`` files in the order of a column, written one after another: a stream of one file
+    per micro-batch then takes them in that order."""
+    path = shared_dir(s, name)
+    kept = materialise(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), name)
+    for i in range(n):
+        kept.where(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def sliced_stream(s, d, name: str, order: str):
+    return read_stream(s, slices(s, read_table(prepare(s), d, name), name, order), 1)
+
+
 def event_stream(s, d):
-    if s.sparkContext.master.startswith("local"):
-        # Every shuffle partition of a stateful stream opens a state store: one per core will do here.
-        s.conf.set("spark.sql.shuffle.partitions", s.sparkContext.defaultParallelism)
-    df = read_stream(s, f"{d}/events.parquet")
+    df = sliced_stream(s, d, "events", "ts")
     return df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
@@ -32,31 +44,18 @@ CHUNKS = Derived(
     "user_id as stream", "event_id as seq", "event_type as delta",
     "case when event_id % 97 = 0 then 'provider' end as err",
 )
-OPS = Derived(
-    "case when event_id % 400 = 7 then '' else cast(user_id % 20 as string) end as sid", "us", "event_id",
-    "case event_id % 8 when 0 then 'begin' when 1 then 'tokenize' when 2 then 'tokenize' when 3 then 'transition' when 4 then 'restore' when 5 then 'tokenize' when 6 then 'restore' "
-    "else case when event_id % 5 = 0 then 'close' else 'transition' end end as op",
-    "case event_id % 3 when 0 then 'ssn' when 1 then 'email' else 'credit_card' end as kind",
-    "case event_id % 8 when 3 then 'streaming' when 7 then case event_id % 3 when 0 then 'draining' when 1 then 'failed' else 'closed' end "
-    "when 4 then '[SSN_1_x]' else 'v' || cast(event_id % 6 as string) end as value",
-)
-APPROVALS = Derived(
-    "cast(user_id % 3 as string) as instance", "cast(floor(us / 200.0) as bigint) as us", "event_id",
-    "case event_id % 5 when 0 then 'put' when 1 then 'put' when 2 then 'peek' when 3 then 'take' else 'drop' end as op",
-    "cast(user_id % 30 as string) as session",
-)
 
 
 def register(c: Catalog) -> None:
     c.add("stream_token_bucket",
-          lambda s, d: run_to_table(state.token_bucket_stream(derived(RATE, s, d), "user_id", "us", "event_id", 2, 3), "bucket"),
-          _token_bucket_sql(2, 3))
+          lambda s, d: run_to_table(state.token_bucket_stream(derived(RATE, s, d), "user_id", "us", "event_id", *BUCKET), "bucket"),
+          _token_bucket_sql(*BUCKET))
     c.add(
         "stream_token_bucket_pruned",
         lambda s, d: run_to_table(state.token_bucket_stream(
             derived(RATE, s, d).withColumn("at", F.timestamp_micros("us")).withWatermark("at", "1 hour"),
-            "user_id", "us", "event_id", 2, 3, event_time="at", max_idle_ms=3_600_000), "pruned"),
-        _token_bucket_sql(2, 3),
+            "user_id", "us", "event_id", *BUCKET, event_time="at", max_idle_ms=6_000_000), "pruned"),
+        _token_bucket_sql(*BUCKET),
     )
     c.add("stream_fold_storms",
           lambda s, d: run_to_table(state.fold_storms_stream(derived(STORM, s, d), "key", "us", "event_id"), "storm"),
@@ -77,20 +76,14 @@ def register(c: Catalog) -> None:
     c.add("cut_on_error", lambda s, d: state.cut_on_error(CHUNKS.df(s, d), "stream", "seq", "err"), cut_sql)
     c.add("stream_cut_on_error",
           lambda s, d: run_to_table(state.cut_on_error_stream(derived(CHUNKS, s, d), "stream", "seq", "delta", "err"), "cut"), cut_sql)
-    c.add("stream_session_vault",
-          lambda s, d: run_to_table(state.session_vault_stream(derived(OPS, s, d), "sid", "us", "event_id", "op", "kind", "value", SALT), "vault"))
-    c.add("stream_pending_approvals",
-          lambda s, d: run_to_table(state.pending_approvals_stream(derived(APPROVALS, s, d), "instance", "us", "event_id", "op", "session"), "approvals"))
-
     def redacted_stream(s, d):
         """The redacted chat turns as a stream of chunks beside the vault that made them."""
         redacted, _, vault = tier1(s, d)
-        written = materialise(redacted.select("request_id", "msg_idx", "session_id", "text"), "chunks")
-        return written, vault
+        path = slices(s, redacted.select("request_id", "msg_idx", "session_id", "text"), "chunks", "request_id")
+        return read_stream(s, path, 1), vault
 
     def restored(s, d):
-        written, vault = redacted_stream(s, d)
-        chunks = s.readStream.schema(written.schema).parquet(written.inputFiles()[0].rsplit("/", 1)[0])
+        chunks, vault = redacted_stream(s, d)
         return flows.restore_stream(chunks, ["request_id", "msg_idx"], "session_id", "text", materialise(vault, "vault"))
 
     c.add("stream_restore", lambda s, d: restored(s, d).select("request_id", "msg_idx", "text"),
@@ -109,7 +102,7 @@ def register(c: Catalog) -> None:
           f"select request_id, cast(0 as bigint) as block, string_agg(text, '' order by msg_idx) as text from {PARTS_SQL} group by 1")
 
     def document_stream(s, d):
-        df = read_stream(s, f"{d}/documents.parquet")
+        df = sliced_stream(s, d, "documents", F.floor(F.col("doc_id") / 3))  # versions of a document in one batch
         return df.select("doc_id", "source", "n_chars", F.expr(f"text || {suffix_sql('doc_id', True)}").alias("text"))
 
     c.add("stream_scan", lambda s, d: run_to_table(flows.scan_stream(document_stream(s, d), ["doc_id"], "text"), "scan"),
@@ -125,11 +118,10 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "stream_window_counts",
-        lambda s, d: run_to_table(flows.window_counts(
-            event_stream(s, d).withColumn("at", F.timestamp_micros("us")), "at", ["event_type"]), "windows"
+        lambda s, d: run_updates(flows.window_counts(
+            event_stream(s, d).withColumn("at", F.timestamp_micros("us")), "at", ["event_type"]), "windows", ["window_start", "event_type"]
         ).select(F.unix_micros("window_start").alias("window_us"), "event_type", "n"),
-        f"select * from (select us // 600000000 * 600000000 as window_us, event_type, count(*) as n from {EVENTS_SQL} group by 1, 2) "
-        f"where window_us + 600000000 <= (select max(us) // 1000 * 1000 - 600000000 from {EVENTS_SQL})",
+        f"select us // 600000000 * 600000000 as window_us, event_type, count(*) as n from {EVENTS_SQL} group by 1, 2",
     )
     c.add(
         "window_counts",
@@ -139,7 +131,7 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "stream_live_totals",
-        lambda s, d: flows.run_batches(derived(AUDIT, s, d), "totals", flows.live_totals),
+        lambda s, d: run_complete(flows.live_totals(derived(AUDIT, s, d)), "totals"),
         "select count(*) as total, " + ", ".join(f"count(*) filter (where verdict = '{v}') as {v}" for v in A.VERDICTS) + f" from {AUDIT.sql}",
     )
     c.add(

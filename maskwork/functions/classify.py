@@ -208,7 +208,7 @@ def session_key(auth: Column, api_key: Column) -> Column:
 
 def extract_bearer(header: Column) -> Column:
     h = F.coalesce(header, F.lit(""))
-    return F.when(F.lower(F.substring(h, 1, 7)) == "bearer ", trim_space(F.substring(h, 8, 1 << 20))).otherwise("")
+    return F.when(F.lower(F.substring(h, 1, 7)) == "bearer ", trim_space(F.substr(h, F.lit(8)))).otherwise("")
 
 
 def request_key(auth: Column, api_key: Column) -> Column:

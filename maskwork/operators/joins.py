@@ -6,6 +6,8 @@ its threshold and otherwise shuffles, splitting skewed partitions at run time.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,43 +98,93 @@ IPV4_RANGES = (
     ("private", "192.168.0.0", 16),
     ("private", "100.64.0.0", 10),
 )
-IPV6_RANGES = (
-    ("link_local", r"^fe[89ab][0-9a-f]:|^ff[0-9a-f]2:"),
-    ("multicast", r"^ff[0-9a-f]{2}:"),
-    ("unspecified", r"^(0{1,4}:){7}0{1,4}$|^::$|^::0$"),
-    ("loopback", r"^::1$|^(0{1,4}:){7}0{0,3}1$"),
-    ("private", r"^f[cd][0-9a-f]{2}:"),
-)
-_IPV4 = r"^(?:::ffff:)?(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+_GROUP = r"^[0-9a-f]{1,4}$"
 
 
 def ipv4_number(ip: Column) -> Column:
-    """Dotted quad -> number, NULL for anything else; an IPv4 address mapped to IPv6 counts."""
-    low = F.lower(ip)
-    o = [F.regexp_extract(low, _IPV4, i).try_cast("bigint") for i in range(1, 5)]
-    ok = (o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255)
-    return F.when(ok, ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3])
+    """Dotted quad -> number, NULL for anything else; octets have no leading zeros."""
+    o = [F.regexp_extract(ip, _IPV4, i).try_cast("bigint") for i in range(1, 5)]
+    return ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3]
 
 
-def ip_class(ip: Column) -> Column:
-    """link_local, multicast, unspecified, broadcast, loopback, private, public or invalid.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address, NULL for anything else.
 
-    The ranges are a handful of constants, so this is a CASE and not a range join.
+    One ``::`` stands for one or more zero groups, and a dotted quad may stand for the last two.
     """
-    n = ipv4_number(ip)
-    v4 = None
+
+    def whole(low: Column) -> Column:
+        tail = F.regexp_extract(low, r"([0-9.]*\.[0-9.]*)$", 1)
+        return bound(F.struct(tail.alias("text"), ipv4_number(tail).alias("quad")), lambda t: bound(
+            F.when(t["text"] == "", low).otherwise(F.concat(  # NULL if the quad is not valid
+                F.substr(low, F.lit(1), F.length(low) - F.length(t["text"])),
+                F.lower(F.hex(F.shiftright(t["quad"], 16))), F.lit(":"), F.lower(F.hex(t["quad"] % 65536)))),
+            lambda plain: bound(F.split(plain, "::", -1), sides)))
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+    def sides(s: Column) -> Column:
+        right = groups(F.coalesce(F.try_element_at(s, F.lit(2)), F.lit("")))
+        return bound(F.struct(groups(s[0]).alias("left"), right.alias("right"), F.size(s).alias("n")), lambda p: bound(
+            F.lit(8) - F.size(p["left"]) - F.size(p["right"]), lambda missing: bound(
+                F.when(
+                    F.when(p["n"] == 1, missing == 0).otherwise((p["n"] == 2) & (missing >= 1)),
+                    F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), p["right"])),
+                lambda full: F.when(F.forall(full, lambda g: F.rlike(g, F.lit(_GROUP))),
+                                    F.transform(full, lambda g: F.conv(g, 16, 10).cast("bigint"))))))
+
+    return bound(F.lower(ip), whole)
+
+
+def _ipv4_class(n: Column) -> Column:
+    klass = None
     for name, base, bits in IPV4_RANGES:
         lo = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0)))
-        hi = lo + (1 << (32 - bits)) - 1
-        cond = n.between(lo, hi)
-        v4 = F.when(cond, name) if v4 is None else v4.when(cond, name)
-    low = F.lower(ip)
-    v6 = None
-    for name, pattern in IPV6_RANGES:
-        cond = F.rlike(low, F.lit(pattern))
-        v6 = F.when(cond, name) if v6 is None else v6.when(cond, name)
-    is_v6 = F.rlike(low, F.lit(r"^[0-9a-f:.]*:[0-9a-f:.]*$"))
-    return F.when(n.isNotNull(), v4.otherwise("public")).when(is_v6, v6.otherwise("public")).otherwise("invalid")
+        cond = n.between(lo, lo + (1 << (32 - bits)) - 1)
+        klass = F.when(cond, name) if klass is None else klass.when(cond, name)
+    return klass.otherwise("public")
+
+
+def _ipv6_class(g: Column) -> Column:
+    def zero(count: int) -> Column:
+        return F.forall(F.slice(g, 1, count), lambda x: x == 0)
+
+    first = g[0]
+    own = (
+        F.when(first.between(0xFE80, 0xFEBF), "link_local")
+        .when(first.between(0xFF00, 0xFFFF) & (first % 16 == 2), "link_local")
+        .when(first.between(0xFF00, 0xFFFF), "multicast")
+        .when(zero(8), "unspecified")
+        .when(zero(7) & (g[7] == 1), "loopback")
+        .when(first.between(0xFC00, 0xFDFF), "private")
+        .otherwise("public")
+    )
+    mapped = bound(g[6] * 65536 + g[7], _ipv4_class)
+    return F.when(zero(5) & (g[5] == 0xFFFF), mapped).otherwise(own)
+
+
+def ip_class(ip: Column) -> Column:
+    """link_local, multicast, unspecified, broadcast, loopback, private, public or invalid.
+
+    The ranges are a handful of constants, so this is a CASE and not a range join. IPv6 addresses are
+    expanded and compared as numbers; an IPv4 address mapped to IPv6 has the class of the IPv4 one.
+    """
+
+    def six(g: Column) -> Column:
+        return F.when(g.isNotNull(), _ipv6_class(g)).otherwise("invalid")
+
+    def four(text: Column) -> Column:
+        return bound(ipv4_number(text), lambda n: F.when(n.isNotNull(), _ipv4_class(n)).otherwise(bound(ipv6_groups(text), six)))
+
+    return bound(ip, four)
 
 
 def egress_allowed(klass: Column, host_allowed: Column, allow_loopback: Column, allow_private: Column) -> Column:

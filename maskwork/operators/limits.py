@@ -46,8 +46,6 @@ def _with_entry(runs: DataFrame, summarise, chain) -> DataFrame:
     split a skewed run over tasks.
     """
     plain = runs.withColumn("entry", F.lit(_NONE).cast("bigint"))
-    if runs.filter(F.col("run") > 0).isEmpty():
-        return plain
     types = dict(runs.dtypes)
     last = runs.groupBy("k").agg(F.max("run").alias("__last")).filter(F.col("__last") > 0)
     long = runs.join(last, "k").filter(F.col("run") < F.col("__last")).drop("__last")
@@ -186,19 +184,24 @@ def token_bucket(
     scale, unit, capacity = bucket_units(rate, burst)
     runs = _in_runs(events, key, us, tie, run_rows, slice_us)
     typ, tie_typ = _key_type(runs), dict(runs.dtypes)["tie"]
+    # Times count from the first event, so that they stay small when multiplied.
+    base, last = runs.agg(F.min("us"), F.max("us")).first()
+    base = base or 0
+    if ((last or 0) - base) * scale + capacity >= _MAX // 2:
+        raise ValueError("the log is too long for exact counts at this rate; cut it or round the rate")
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.sort_values(["us", "tie"])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = ordered(pdf)["us"].to_numpy(np.int64) * scale
+        v = (ordered(pdf)["us"].to_numpy(np.int64) - base) * scale
         upto, shift, fixed = bucket_summary(v, unit, capacity)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "run": [pdf["run"].iloc[0]], "upto": [upto], "shift": [shift], "fixed": [fixed]})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, full_at = None, _NONE
         for pdf in batches:
-            v = pdf["us"].where(pdf["us"] != _NONE, 0).to_numpy(np.int64) * scale
+            v = (pdf["us"].where(pdf["us"] != _NONE, base).to_numpy(np.int64) - base) * scale
             allowed, missing = np.zeros(len(v), dtype=bool), np.zeros(len(v), dtype=np.int64)
             for lo, hi, run, entry in _stretches(pdf):
                 if run != here:

@@ -47,10 +47,11 @@ def budget_remaining(events: DataFrame, limits: DataFrame, ref: str, us: str, da
     )
 
 
-def recent(df: DataFrame, ts: str, tie: str, n: int | None = 20, capacity: int = 1000) -> DataFrame:
-    """Newest n rows, newest first; n out of range means the whole capacity."""
-    n = capacity if n is None or n <= 0 or n > capacity else n
-    return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
+def recent(df: DataFrame, ts: str, tie: str, n: int | None = 20, capacity: int | None = None) -> DataFrame:
+    """Newest n rows, newest first. n out of range means the whole capacity, which is all rows unless given."""
+    ordered = df.orderBy(F.col(ts).desc(), F.col(tie).desc())
+    wanted = [x for x in (n, capacity) if x is not None and x > 0]
+    return ordered.limit(min(wanted)) if wanted else ordered
 
 
 def last_user_turn(parts: DataFrame, request: str, msg: str, role: str, text: str) -> DataFrame:
@@ -60,14 +61,15 @@ def last_user_turn(parts: DataFrame, request: str, msg: str, role: str, text: st
 
 
 def assemble_text(
-    df: DataFrame, key: str, seq: str, text: str, sep: str = "", block: int = 4096
+    df: DataFrame, key: str, seq: str, text: str, sep: str = "", block: int | None = None
 ) -> DataFrame:
-    """Texts joined in order as (key, block, text).
+    """Texts joined in order as (key, block, text): one row per key, with block 0.
 
-    A key with fewer than ``block`` pieces gives one row with block 0; a longer one gives
-    one row per block of sequence numbers, so no task ever holds a whole giant key.
+    The row holds the key's whole text. With ``block``, a key gives one row per so many sequence
+    numbers instead, for keys whose text is too long for one row.
     """
-    blocks = df.withColumn("block", F.floor(F.col(seq) / block).cast("bigint"))
+    number = F.floor(F.col(seq) / block) if block else F.lit(0)
+    blocks = df.withColumn("block", number.cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))
     return blocks.groupBy(key, "block").agg(
         F.array_join(F.transform(ordered, lambda x: F.coalesce(x["t"], F.lit(""))), sep).alias(text)
@@ -124,6 +126,6 @@ def keep_newest(df: DataFrame, group: Sequence[str], name: str, keep: int) -> Da
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max(keep, 1)).drop("__rn")
 
 
-def tail_lines(logs: DataFrame, ts: str, tie: str, n: int = 200) -> DataFrame:
-    """Newest log lines, 200 by default and at most 5000."""
-    return recent(logs, ts, tie, min(n, 5000) if n > 0 else 200, 5000)
+def tail_lines(logs: DataFrame, ts: str, tie: str, n: int | None = 200) -> DataFrame:
+    """Newest log lines, 200 unless another number is given; all if it is None or not positive."""
+    return recent(logs, ts, tie, n)

@@ -8,12 +8,20 @@ task is bounded by a slice however many rows one key has.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the keys come from the left side."""
+    other = right.select(*[F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def _totals_before(totals: DataFrame, keys: Sequence[str], slice_: str, coarse: Column, value: str) -> DataFrame:
     """Sum of ``value`` over earlier slices of the key, in two levels (coarse group, slice)."""
     grouped = totals.withColumn("__coarse", coarse)
@@ -22,7 +30,7 @@ def _totals_before(totals: DataFrame, keys: Sequence[str], slice_: str, coarse:
     tops = tops.withColumn("__above", F.coalesce(F.sum("__top").over(above), F.lit(0))).drop("__top")
     inside = Window.partitionBy(*keys, "__coarse").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
     within = grouped.withColumn("__within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = within.join(tops, [*keys, "__coarse"])
+    joined = join_null_safe(within, tops, [*keys, "__coarse"])
     return joined.select(*keys, slice_, (F.col("__above") + F.col("__within")).alias("__before"))
 
 
@@ -35,14 +43,14 @@ def sliced_rank(
     out: str = "rank",
 ) -> DataFrame:
     """1-based position of each row within its key. ``slice_`` must be an integer that
-    never decreases along ``order``; keys must not be NULL."""
+    never decreases along ``order``. NULL keys are a key, and NULL order values come first."""
     sliced = df.withColumn("__slice", slice_.cast("bigint"))
     totals = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
     before = _totals_before(totals, keys, "__slice", F.floor(F.col("__slice") / fanout), "__n")
     w = Window.partitionBy(*keys, "__slice").orderBy(*order)
     ranked = sliced.withColumn("__local", F.row_number().over(w))
     return (
-        ranked.join(before, [*keys, "__slice"])
+        join_null_safe(ranked, before, [*keys, "__slice"])
         .withColumn(out, (F.col("__before") + F.col("__local")).cast("bigint"))
         .drop("__slice", "__local", "__before")
     )
@@ -54,7 +62,7 @@ def running_sum(
     """Running total per key over integer buckets ``at``; the rows are summed per bucket first."""
     totals = df.groupBy(*keys, at).agg(F.sum(value).alias(value))
     before = _totals_before(totals, keys, at, F.floor(F.col(at) / fanout), value)
-    return totals.join(before, [*keys, at]).select(*keys, at, (F.col("__before") + F.col(value)).alias(out))
+    return join_null_safe(totals, before, [*keys, at]).select(*keys, at, (F.col("__before") + F.col(value)).alias(out))
 
 
 def sliced_previous(
@@ -75,7 +83,7 @@ def sliced_previous(
     w = Window.partitionBy(*keys, "__slice").orderBy(*order)
     marked = sliced.withColumn("__lag", F.lag(value).over(w)).withColumn("__first", F.row_number().over(w) == 1)
     return (
-        marked.join(carried, [*keys, "__slice"])
+        join_null_safe(marked, carried, [*keys, "__slice"])
         .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag")))
         .drop("__slice", "__lag", "__first", "__carry")
     )

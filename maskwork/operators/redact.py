@@ -11,6 +11,7 @@ from maskwork.functions.kinds import choose, default_action, tier
 from maskwork.functions.masking import one_way_replacement
 from maskwork.functions.patterns import BUILTIN, Pattern
 from maskwork.operators.detect import findings
+from maskwork.operators.ranking import join_null_safe
 from maskwork.operators.vault import build_vault
 
 # Kinds of the first-tier redaction in the order of its passes.
@@ -28,17 +29,30 @@ def resolve_action(kind: Column, by_kind: dict[str, str], default: str = "redact
 def resolve_action_layered(found: DataFrame, prefs: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``action``: preference, else rule, else the tier default of the kind.
 
-    ``prefs`` and ``rules`` are (kind, action) tables with one row per kind.
+    ``prefs`` and ``rules`` are (kind, action) tables. They are configuration, one row per kind, and become
+    part of the expression, so findings are not shuffled on their few kinds. A table with more than
+    ``MAX_POLICY_ROWS`` rows, or with two actions for one kind, is an error.
     """
-    p = prefs.select("kind", F.nullif("action", F.lit("")).alias("__pref"))
-    r = rules.select(
-        "kind", F.when(~F.col("action").isin("", "unknown"), F.col("action")).alias("__rule")
-    )
-    return (
-        found.join(p, "kind", "left").join(r, "kind", "left")
-        .withColumn("action", F.coalesce("__pref", "__rule", default_action(F.col("kind"))))
-        .drop("__pref", "__rule")
-    )
+    pref = {k: a for k, a in policy_of(prefs).items() if a}
+    rule = {k: a for k, a in policy_of(rules).items() if a not in ("", "unknown")}
+    action = default_action(F.col("kind"))
+    for known in (rule, pref):
+        action = choose(F.col("kind"), known, action) if known else action
+    return found.withColumn("action", action)
+
+
+MAX_POLICY_ROWS = 1000
+
+
+def policy_of(table: DataFrame) -> dict[str, str]:
+    """A (kind, action) table as a dict, checked to be small and free of contradictions."""
+    rows = table.select("kind", "action").where("kind is not null").distinct().limit(MAX_POLICY_ROWS + 1).collect()
+    known = {r["kind"]: r["action"] or "" for r in rows}
+    if len(rows) > MAX_POLICY_ROWS:
+        raise ValueError(f"a policy table has more than {MAX_POLICY_ROWS} rows")
+    if len(known) < len(rows):
+        raise ValueError("a policy table has two actions for one kind")
+    return known
 
 
 def apply_optout(found: DataFrame, flag: str = "opted_out") -> DataFrame:
@@ -176,24 +190,27 @@ def redact_tier1(
     found = tier1_findings(held, keys, text, by_kind, default, carry=[session, *order]).persist()
     tokenized = found.filter(F.col("action").isin("redact", "warn"))
     vault = build_vault(tokenized, session, [*order, "pass_no", "pos"], salt)
-    named = tokenized.join(
-        vault.select(session, F.col("plaintext").alias("text"), "pseudonym"), [session, "text"]
-    ).select(*keys, "pos", F.col("pseudonym").alias("__new"))
+    named = join_null_safe(
+        tokenized, vault.select(session, F.col("plaintext").alias("text"), "pseudonym"), [session, "text"]
+    ).select(*keys, "text", F.col("pseudonym").alias("__new"))
     if one_way:
         masked = found.filter(F.col("action") == "redact_one_way").select(
-            *keys, "pos", one_way_replacement(F.col("kind"), F.col("text")).alias("__new")
+            *keys, "text", one_way_replacement(F.col("kind"), F.col("text")).alias("__new")
         )
         named = named.unionByName(masked)
-    swaps = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "__new"))).alias("__swap"))
-    segs = tier1_segments(F.col(text), active)
-    rebuilt = F.array_join(
-        F.transform(segs, lambda s, i: F.coalesce(F.try_element_at(F.col("__swap"), i), s["text"])), ""
-    )
-    redacted = (
-        held.join(swaps, list(keys), "left")
-        .withColumn(text, F.when(F.col("__swap").isNull(), F.col(text)).otherwise(rebuilt))
-        .drop("__swap")
-    )
+    # One name per value and part, so that parts whose keys repeat do not clash.
+    named = named.groupBy(*keys, "text").agg(F.min("__new").alias("__new"))
+    swaps = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("text", "__new"))).alias("__swap"))
+    hidden = [k for k in active if (by_kind.get(k) or default) in ("redact", "warn")]
+
+    def fate(s: Column) -> Column:
+        # A value that should have a name and has none is masked: nothing passes for want of a row.
+        masked = F.when(s["kind"].isin(*hidden), one_way_replacement(s["kind"], s["text"])) if hidden else F.lit(None)
+        swap = F.when(s["kind"].isNotNull(), F.try_element_at(F.col("__swap"), s["text"]))
+        return F.coalesce(swap, masked, s["text"])
+
+    rebuilt = F.array_join(F.transform(tier1_segments(F.col(text), active), fate), "")
+    redacted = join_null_safe(held, swaps, list(keys), "left").withColumn(text, rebuilt).drop("__swap")
     return parts.filter(~suspect).unionByName(redacted), found, vault
 
 
@@ -286,9 +303,8 @@ def size_guard(text: Column, max_bytes: int = MAX_PART_BYTES) -> Column:
 def find_leaks(before: DataFrame, after: DataFrame, keys: Sequence[str], text: str, kinds: Sequence[str]) -> DataFrame:
     """Values of the kinds found before that still occur after. Must be empty."""
     found = findings(before, keys, text, kinds=kinds)
-    values = found.select(*keys, "kind", F.col("text").alias("value")).dropDuplicates()
-    return (
-        values.join(after.select(*keys, F.col(text).alias("__after")), list(keys))
-        .filter(F.contains("__after", F.col("value")))
-        .drop("__after")
-    )
+    values = found.groupBy(*keys).agg(F.collect_set(F.struct("kind", F.col("text").alias("value"))).alias("__values"))
+    # The values of a part travel as one list to its text, which is copied for none of them.
+    beside = join_null_safe(after.select(*keys, F.col(text).alias("__after")), values, list(keys))
+    left = F.filter("__values", lambda v: F.contains(F.col("__after"), v["value"]))
+    return beside.select(*keys, F.explode(left).alias("__left")).select(*keys, "__left.kind", "__left.value")

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.functions.patterns import PSEUDONYM
-from maskwork.operators.ranking import sliced_rank
+from maskwork.operators.ranking import join_null_safe, sliced_rank
 
 SUFFIX_CHARS = 12
 
 
 def pseudonym(kind: Column, n: Column, owner: Column, plaintext: Column, salt: str) -> Column:
+    # concat_ws leaves a NULL owner out, which no other owner does
     seed = F.concat_ws("|", F.lit(salt), owner.cast("string"), n.cast("string"), plaintext)
     return F.concat(
         F.lit("["), F.upper(F.replace(kind, F.lit("-"), F.lit("_"))), F.lit("_"), n.cast("string"), F.lit("_"),
@@ -57,7 +58,7 @@ def build_local_vault(
     part = [request, *order[:-1]]
     firsts = named.groupBy(*part, "text").agg(F.min("n").alias("__first"))
     return (
-        named.join(firsts, [*part, "text"])
+        join_null_safe(named, firsts, [*part, "text"])
         .withColumn("effective", F.col("n") == F.col("__first"))
         .drop("__first")
     )
@@ -92,12 +93,12 @@ def restore(texts: DataFrame, keys: Sequence[str], session: str, text: str, vaul
     )
     known = vault.select(F.col(session).alias("__session"), "pseudonym", "plaintext")
     maps = (
-        tokens.join(known, ["__session", "pseudonym"])
+        join_null_safe(tokens, known, ["__session", "pseudonym"])
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "plaintext"))).alias("__map"))
     )
     done = (
-        held.join(maps, list(keys), "left")
+        join_null_safe(held, maps, list(keys), "left")
         .withColumn(
             text,
             F.when(F.col("__map").isNull(), F.col(text)).otherwise(

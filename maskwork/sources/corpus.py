@@ -11,31 +11,26 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for heavy per-row work on an input with few splits.
+    """Deal rows out to as many tasks as the session setting ``SPREAD`` says; without it, which is
+    the rule, the file splits decide and nothing is moved.
 
-    A file with one row group arrives as one task.  Inputs with at least two splits
-    per core, which is any large corpus, are left alone: there this adds no shuffle.
+    One small file with one row group arrives as one task; tests and bench set this for them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * 2:
-        return df
-    return df.repartition(cores * 2, *keys)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
-def scan_corpus(df: DataFrame, text: str, max_bytes: int = 8 << 20) -> DataFrame:
-    """Documents no longer than ``max_bytes``; longer ones are another job's input, see ``oversized``."""
-    return df.filter(F.octet_length(text) <= max_bytes)
+SPREAD = "spark.maskwork.spread.partitions"
 
 
-def oversized(df: DataFrame, text: str, max_bytes: int = 8 << 20) -> DataFrame:
-    return df.filter(F.octet_length(text) > max_bytes)
+def scan_corpus(df: DataFrame, text: str, max_bytes: int | None = None) -> DataFrame:
+    """All documents, with ``oversized`` for those over ``max_bytes`` (none if no bound is given)."""
+    too_long = F.octet_length(text) > max_bytes if max_bytes else F.lit(False)
+    return df.withColumn("oversized", F.coalesce(too_long, F.lit(False)))
 
 
-def read_text_files(spark: SparkSession, path: str, max_bytes: int = 8 << 20) -> DataFrame:
-    """Whole text files as (source, text); oversized files are skipped before they are read."""
-    files = (
-        spark.read.format("binaryFile").load(path)
-        .filter(F.col("length") <= max_bytes)
-        .select(F.col("path").alias("source"), F.col("content"))
-    )
-    return files.select("source", F.decode("content", "UTF-8").alias("text"))
+def read_text_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Whole text files as (source, text, oversized); files over ``max_bytes`` have a NULL text."""
+    files = spark.read.format("binaryFile").load(path)
+    too_long = F.col("length") > max_bytes if max_bytes else F.lit(False)
+    return files.select(F.col("path").alias("source"), F.when(~too_long, F.decode("content", "UTF-8")).alias("text"), too_long.alias("oversized"))

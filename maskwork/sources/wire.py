@@ -173,7 +173,7 @@ def _cut_and_number(
 
 def _payloads(lines: DataFrame, stream: str, line_no: str, line: str) -> DataFrame:
     data = lines.filter(F.col(line).startswith(_DATA)).select(
-        stream, line_no, F.substring(F.col(line), len(_DATA) + 1, 1 << 30).alias("__payload")
+        stream, line_no, F.substr(F.col(line), F.lit(len(_DATA) + 1)).alias("__payload")
     )
     return data.withColumn("__doc", F.try_parse_json("__payload"))
 

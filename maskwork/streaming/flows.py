@@ -11,7 +11,7 @@ from maskwork.operators.detect import explode_findings, with_findings
 from maskwork.operators.metrics import VERDICTS
 from maskwork.operators.ordering import assemble_text, recent
 from maskwork.operators.vault import restore
-from maskwork.streaming.run import run_batches
+from maskwork.streaming.run import run_batches, run_folded
 
 
 def restore_stream(chunks: DataFrame, keys: Sequence[str], session: str, text: str, vault: DataFrame) -> DataFrame:
@@ -67,5 +67,5 @@ def live_totals(audit: DataFrame) -> DataFrame:
 
 
 def live_board(audit: DataFrame, ts: str, tie: str, n: int = 8) -> DataFrame:
-    """Newest entries to show: n of the ten newest of each micro-batch."""
-    return run_batches(audit, "board", lambda df: recent(recent(df, ts, tie, 10), ts, tie, n))
+    """The one board after the last micro-batch: the newest n entries of all batches so far."""
+    return run_folded(audit, "board", lambda board, df: recent(df if board is None else board.unionByName(df), ts, tie, n))

@@ -7,7 +7,6 @@ in the RocksDB store, so it may outgrow memory.
 
 from __future__ import annotations
 
-import hashlib
 from typing import Iterator
 
 import numpy as np
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwork.operators.limits import _NONE, bucket_fold, bucket_units, storm_emits
-from maskwork.operators.ordering import DAY_US, LEGAL_STEPS
-from maskwork.operators.vault import SUFFIX_CHARS
+from maskwork.operators.ordering import DAY_US
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -45,18 +43,23 @@ class _Bucket(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("bucket", "full_at bigint, last_ms bigint")
+        self.state = handle.getValueState("bucket", "full_us bigint, part bigint, last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _ordered(rows)
         old = self.state.get() if self.state.exists() else None
-        v = pdf["us"].to_numpy(np.int64) * self.scale
-        allowed, missing, full_at = bucket_fold(v, old[0] if old else _NONE, self.unit, self.capacity)
-        last_ms = max(int(pdf["us"].iloc[-1]) // 1000, old[1] if old else 0)
-        self.state.update((int(full_at), last_ms))
+        # Times count from the batch's first event; between batches the state is a whole number of
+        # microseconds and a rest, so nothing grows beyond 64 bits.
+        base = int(pdf["us"].iloc[0])
+        full_at = max((old[0] - base) * self.scale + old[1], _NONE) if old else _NONE
+        v = (pdf["us"].to_numpy(np.int64) - base) * self.scale
+        allowed, missing, full_at = bucket_fold(v, full_at, self.unit, self.capacity)
+        last_ms = max(int(pdf["us"].iloc[-1]) // 1000, old[2] if old else 0)
+        whole, part = divmod(int(full_at), self.scale)
+        self.state.update((base + whole, part, last_ms))
         if self.idle_ms is not None:
             if old:
-                self.handle.deleteTimer(old[1] + self.idle_ms)
+                self.handle.deleteTimer(old[2] + self.idle_ms)
             self.handle.registerTimer(last_ms + self.idle_ms)
         yield pd.DataFrame({
             "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
@@ -243,138 +246,3 @@ def cut_on_error_stream(chunks: DataFrame, stream: str, seq: str, delta: str, er
     seq_type = dict(rows.dtypes)["seq"]
     out = _run(rows, _Cut(), f"k {k}, seq {seq_type}, delta string, err string")
     return out.withColumnsRenamed({"k": stream, "seq": seq, "delta": delta, "err": err})
-
-
-class _Vault(StatefulProcessor):
-    """Session vault: begin, tokenize, restore, transition and close as rows."""
-
-    def __init__(self, salt: str, ttl_ms: int | None):
-        self.salt, self.ttl_ms = salt, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.meta = handle.getValueState("meta", "state string, n bigint", self.ttl_ms)
-        self.forward = handle.getMapState("forward", "pseudonym string", "plaintext string", self.ttl_ms)
-        self.reverse = handle.getMapState("reverse", "plaintext string", "pseudonym string", self.ttl_ms)
-
-    def _step(self, sid, op: str, kind: str, value: str) -> tuple[bool, str]:
-        meta = self.meta.get() if self.meta.exists() else None
-        if op == "begin":
-            if sid == "" or meta:
-                return False, "empty session" if sid == "" else "already open"
-            self.meta.update(("open", 0))
-            return True, "open"
-        if op == "close":
-            self.meta.clear()
-            self.forward.clear()
-            self.reverse.clear()
-            return True, "closed"
-        if not meta:
-            return False, "unknown session"
-        state, n = meta
-        if op == "transition":
-            legal = state != "closed" if value == "failed" else value in LEGAL_STEPS.get(state, ())
-            if not legal:
-                return False, "illegal transition"
-            self.meta.update((value, n))
-            return True, value
-        if op == "tokenize":
-            if state not in ("open", "streaming"):
-                return False, f"tokenize in state {state}"
-            if self.reverse.containsKey((value,)):
-                return True, self.reverse.getValue((value,))[0]
-            n += 1
-            seed = f"{self.salt}|{sid}|{n}|{value}"
-            suffix = hashlib.sha256(seed.encode()).hexdigest()[:SUFFIX_CHARS]
-            name = f"[{kind.upper().replace('-', '_')}_{n}_{suffix}]"
-            self.meta.update((state, n))
-            self.forward.updateValue((name,), (value,))
-            self.reverse.updateValue((value,), (name,))
-            return True, name
-        if op == "restore":
-            if state not in ("streaming", "draining"):
-                return False, f"restore in state {state}"
-            if not self.forward.containsKey((value,)):
-                return False, "unknown pseudonym"
-            return True, self.forward.getValue((value,))[0]
-        return False, "unknown operation"
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows)
-        done = [self._step(key[0], r.op, r.kind or "", r.value or "") for r in pdf.itertuples(index=False)]
-        yield pd.DataFrame({
-            "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "op": pdf["op"],
-            "ok": [d[0] for d in done], "result": [d[1] for d in done],
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def session_vault_stream(
-    stream: DataFrame, session: str, us: str, tie: str, op: str, kind: str, value: str, salt: str, ttl_ms: int | None = None
-) -> DataFrame:
-    """Vault operations in event order: session, us, tie, op, ok, result.
-
-    Closing a session wipes its state; ``ttl_ms`` (processing time, for streams that keep
-    running) wipes sessions nobody closes.
-    """
-    rows = _narrow(stream, session, us, tie, F.col(op).alias("op"), F.col(kind).alias("kind"), F.col(value).alias("value"))
-    k, t = _types(rows)
-    mode = "ProcessingTime" if ttl_ms else "None"
-    out = _run(rows, _Vault(salt, ttl_ms), f"k {k}, us bigint, tie {t}, op string, ok boolean, result string", mode)
-    return out.withColumnsRenamed({"k": session, "us": us, "tie": tie})
-
-
-class _Approvals(StatefulProcessor):
-    """Pending approvals of one gateway instance: at most ``cap``, each for ``ttl_us``."""
-
-    def __init__(self, cap: int, ttl_us: int):
-        self.cap, self.ttl_us = cap, ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getMapState("pending", "session string", "created bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows)
-        held = {k[0]: v[0] for k, v in self.pending.iterator()} if self.pending.exists() else {}
-        before = dict(held)
-        results = []
-        for r in pdf.itertuples(index=False):
-            if r.op == "put":
-                # Expired entries still take room until somebody looks; the oldest goes first.
-                if len(held) >= self.cap:
-                    del held[min(held, key=lambda s: held[s])]
-                held[r.session] = int(r.us)
-                results.append("stored")
-                continue
-            if r.op == "drop":
-                results.append("dropped" if held.pop(r.session, None) is not None else "none")
-                continue
-            held = {s: c for s, c in held.items() if r.us - c <= self.ttl_us}
-            # A sole pending entry answers any session.
-            found = r.session if r.session in held else next(iter(held)) if len(held) == 1 else None
-            if found is not None and r.op == "take":
-                del held[found]
-            results.append(found or "none")
-        for s in before:
-            if s not in held:
-                self.pending.removeKey((s,))
-        for s, c in held.items():
-            if before.get(s) != c:
-                self.pending.updateValue((s,), (c,))
-        yield pd.DataFrame({
-            "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "op": pdf["op"], "session": pdf["session"], "result": results,
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def pending_approvals_stream(
-    stream: DataFrame, instance: str, us: str, tie: str, op: str, session: str, cap: int = 16, ttl_us: int = 60_000_000
-) -> DataFrame:
-    """put, peek, take and drop per gateway instance, which is what the cap is for."""
-    rows = _narrow(stream, instance, us, tie, F.col(op).alias("op"), F.col(session).cast("string").alias("session"))
-    k, t = _types(rows)
-    out = _run(rows, _Approvals(cap, ttl_us), f"k {k}, us bigint, tie {t}, op string, session string, result string")
-    return out.withColumnsRenamed({"k": instance, "us": us, "tie": tie})

@@ -76,7 +76,7 @@ def main():
     sf = args[0] if args else "0.01"
     folder = f"/root/testdata/sf{sf}"
     queries, oracles = entry.queries(), entry.oracle_sql()
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.maskwork.spread.partitions": "16", "spark.ui.showConsoleProgress": "false",
                                          "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)

@@ -13,7 +13,7 @@ from maskwork.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "local[*]", "tests",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.maskwork.spread.partitions": "16", "spark.ui.showConsoleProgress": "false",
            "spark.driver.memory": "8g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("OFF")

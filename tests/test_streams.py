@@ -5,10 +5,10 @@ import random
 import pandas as pd
 import pytest
 
-from maskwork.operators.ordering import LEGAL_STEPS
+from maskwork.operators.limits import token_bucket
 from maskwork.session import shared_dir
 from maskwork.streaming import flows, state
-from maskwork.streaming.run import read_stream, run_to_table
+from maskwork.streaming.run import read_stream, run_complete, run_to_table
 from test_folds import bucket_by_hand, events, storms_by_hand
 
 
@@ -37,83 +37,6 @@ def test_storms_over_batches(spark):
     assert {(r.key, r.tie): r["count"] for r in out.collect()} == storms_by_hand(rows, 3_000_000)
 
 
-def vault_by_hand(rows):
-    sessions, out = {}, {}
-    for sid, us, tie, op, kind, value in rows:
-        s = sessions.get(sid)
-        if op == "begin":
-            ok = s is None and sid != ""
-            if ok:
-                sessions[sid] = {"state": "open", "names": {}}
-        elif op == "close":
-            ok = True
-            sessions.pop(sid, None)
-        elif s is None:
-            ok = False
-        elif op == "transition":
-            ok = s["state"] != "closed" if value == "failed" else value in LEGAL_STEPS.get(s["state"], ())
-            if ok:
-                s["state"] = value
-        elif op == "tokenize":
-            ok = s["state"] in ("open", "streaming")
-            if ok:
-                n = s["names"].setdefault(value, len(s["names"]) + 1)
-                out[tie] = (ok, n)
-                continue
-        else:
-            ok = False  # no test row restores a token that exists
-        out[tie] = (ok, None)
-    return out
-
-
-def test_vault_over_batches(spark):
-    rng = random.Random(3)
-    rows = []
-    for i in range(150):
-        op = rng.choice(["begin", "tokenize", "tokenize", "tokenize", "transition", "restore", "close"])
-        value = rng.choice(["streaming", "draining", "failed", "closed"]) if op == "transition" else f"v{rng.randrange(4)}"
-        rows.append((rng.choice(["a", "b", ""]), i * 10, i, op, "ssn", value))
-    schema = "sid string, us bigint, tie bigint, op string, kind string, value string"
-    stream = as_stream(spark, rows, schema)
-    out = run_to_table(state.session_vault_stream(stream, "sid", "us", "tie", "op", "kind", "value", "salt"), "v")
-    got = {}
-    for r in out.collect():
-        number = int(r.result.split("_")[1]) if r.ok and r.op == "tokenize" else None
-        got[r.tie] = (r.ok, number)
-    assert got == vault_by_hand(rows)
-
-
-def approvals_by_hand(rows, cap, ttl):
-    held, out = {}, {}
-    for inst, us, tie, op, session in rows:
-        h = held.setdefault(inst, {})
-        if op == "put":
-            if len(h) >= cap:
-                del h[min(h, key=lambda s: h[s])]
-            h[session] = us
-            out[tie] = "stored"
-        elif op == "drop":
-            out[tie] = "dropped" if h.pop(session, None) is not None else "none"
-        else:
-            for s in [s for s, c in h.items() if us - c > ttl]:
-                del h[s]
-            hit = session if session in h else next(iter(h)) if len(h) == 1 else None
-            if hit and op == "take":
-                del h[hit]
-            out[tie] = hit or "none"
-    return out
-
-
-def test_approvals_over_batches(spark):
-    rng, t, rows = random.Random(5), 0, []
-    for i in range(200):
-        t += rng.randint(1, 9)
-        rows.append((rng.choice("xy"), t, i, rng.choice(["put", "put", "peek", "take", "drop"]), f"s{rng.randrange(8)}"))
-    stream = as_stream(spark, rows, "inst string, us bigint, tie bigint, op string, session string")
-    out = run_to_table(state.pending_approvals_stream(stream, "inst", "us", "tie", "op", "session", cap=3, ttl_us=40), "p")
-    assert {r.tie: r.result for r in out.collect()} == approvals_by_hand(rows, 3, 40)
-
-
 def test_a_token_split_over_chunks_is_restored_only_when_assembled(spark):
     vault = spark.createDataFrame([("s", "[SSN_1_ab]", "123-45-6789")], "sid string, pseudonym string, plaintext string")
     pieces = [("r", "s", 0, "it is [SSN_"), ("r", "s", 1, "1_ab] ok [SSN_1_ab]")]
@@ -128,3 +51,32 @@ def test_a_token_split_over_chunks_is_restored_only_when_assembled(spark):
 def test_latest_version_wins(spark):
     df = spark.createDataFrame(pd.DataFrame({"doc": [1, 1, 2], "v": [1, 2, 1], "text": ["a", "b", "c"]}))
     assert sorted(tuple(r) for r in flows.latest_versions(df, "doc", "v").collect()) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_totals_and_board_over_batches(spark):
+    rows = [(i, i * 10, "allowed" if i % 3 else "redacted") for i in range(12)]
+    schema = "request_id bigint, us bigint, verdict string"
+    totals = run_complete(flows.live_totals(as_stream(spark, rows, schema, pieces=4)), "t").collect()
+    assert [(r.total, r.allowed, r.redacted) for r in totals] == [(12, 8, 4)]
+    board = flows.live_board(as_stream(spark, rows, schema, pieces=4), "us", "request_id", 5)
+    assert sorted(r.request_id for r in board.collect()) == [7, 8, 9, 10, 11]
+
+
+@pytest.mark.parametrize("rate, burst", [(7001, 2), (9999, 1), (0.3, 2)])
+def test_bucket_with_present_day_times(spark, rate, burst):
+    from fractions import Fraction
+
+    start, rng = 1_790_000_000_000_000, random.Random(1)
+    rows = [("k", start + i * 90 + rng.randrange(60), i) for i in range(400)]
+    level, last, want = Fraction(burst), rows[0][1], {}
+    for _, us, tie in sorted(rows, key=lambda r: (r[1], r[2])):
+        level = min(Fraction(burst), level + Fraction(us - last, 1_000_000) * Fraction(str(rate)))
+        last = us
+        want[tie] = level >= 1
+        level -= want[tie]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for run_rows in (500_000, 50):
+        got = token_bucket(df, "key", "us", "tie", rate, burst, run_rows=run_rows)
+        assert {r.tie: r.allowed for r in got.collect()} == want
+    out = run_to_table(state.token_bucket_stream(as_stream(spark, rows, SCHEMA), "key", "us", "tie", rate, burst), "b")
+    assert {r.tie: r.allowed for r in out.collect()} == want

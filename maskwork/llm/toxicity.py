@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from maskwork.llm.words import Powers, Words, chunks, plain_table
 
 PREFIXES = (4, 5)
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 BITS = 17
 
 
@@ -107,39 +107,39 @@ class FactorizationMachine:
         return self
 
 
-def term_rows(documents: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> list:
-    """(buckets, label) of at most ``fit_rows`` labelled documents outside the held-out fifth."""
+def term_rows(documents: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> pa.Table:
+    """draw, terms and toxic of at most ``fit_rows`` labelled documents outside the held-out fifth, those of the
+    least draws (hashes of the id)."""
     chosen = (
         labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        .withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(fit_rows)
     )
-    # at most fit_rows rows of two numbers: small enough to broadcast whatever the table's size
+    # at most fit_rows rows of three numbers: small enough to broadcast whatever the table's size
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def terms(batches):
         table, powers = plain_table(), Powers()
         for batch in batches:
-            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic")
+            texts, toxic, draw = batch.column("text").to_pylist(), batch.column("toxic"), batch.column("draw")
             for a, b in chunks(texts):
                 found, bounds = text_terms(texts[a:b], table, powers, bits)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists, toxic.slice(a, b - a).cast(pa.int32())], ["terms", "toxic"])
+                yield pa.RecordBatch.from_arrays([draw.slice(a, b - a), lists, toxic.slice(a, b - a).cast(pa.int32())],
+                                                 ["draw", "terms", "toxic"])
 
-    return rows.mapInArrow(terms, "terms array<int>, toxic int").toArrow()
+    return rows.mapInArrow(terms, "draw bigint, terms array<int>, toxic int").toArrow()
 
 
 def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
     """The machine for these labels. Repeated ids take their highest label; none at all gives an even score."""
     table = term_rows(documents, labels, bits, fit_rows)
-    lists = table.column("terms").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
-    rows = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    label = table.column("toxic").to_numpy().astype(np.float64)
-    # rows come back in no fixed order; sort them so that every run fits the same machine
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), label[i]))
+    rows, label, draw = [], table.column("toxic").to_numpy().astype(np.float64), table.column("draw").to_numpy()
+    for chunk in table.column("terms").chunks:
+        bounds, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        rows += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    # rows come back in no fixed order; by draw, every run fits the same machine
+    order = sorted(range(len(rows)), key=lambda i: (draw[i], label[i], len(rows[i])))
     return FactorizationMachine(bits).fit([rows[i] for i in order], label[order])
 
 

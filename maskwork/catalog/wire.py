@@ -114,14 +114,37 @@ RESP = Derived(
 )
 
 # --- inspection
-INSPECT = Derived(
-    "request_id", "i", "text", "role", "i % 4 = 1 as opted_out",
-    pick("i", ("/v1/messages", "/v1/chat/completions", "/v1/models", "/v1/messages", "/health")) + " as path",
-    "'first ' || text as t1",
-    "case when i % 17 = 3 then 'broken' else '{\"model\":\" m1 \",\"n\":1,\"messages\":[{\"role\":\"user\",\"content\":\"first ' || text || '\"},{\"role\":\"assistant\",\"content\":\"' || text || '\"},"
-    "{\"role\":\"user\",\"content\":[{\"type\":\"image\",\"text\":\"a@b.co\"},{\"type\":\"text\",\"text\":\"' || text || '\"},{\"type\":\"text\",\"text\":\"again ' || text || '\"}],\"k\":true}]}' end as body",
-    source=lambda s, d: CLEAN_PARTS.df(s, d), source_sql=CLEAN_PARTS.sql,
-)
+class _Inspect(Derived):
+    """Chat bodies as JSON texts; both engines write string literals with their own function."""
+
+    _BODY = (
+        "case when i % 17 = 3 then 'broken' when i % 17 = 5 then '{\"messages\":[],\"big\":12345678901234567890123456789012345678901234567890, \"messages\" : [{\"content\":\"x\",\"role\":\"user\",\"content\":' || $A || '}]}' "
+        "else '{\"model\":\" m1 \",\"n\":1e3,\"messages\":[{\"role\":\"user\",\"content\":' || $A || '},{\"role\":\"assistant\",\"content\":' || $T || '},"
+        "{\"role\":\"user\",\"content\":[{\"type\":\"image\",\"text\":\"a@b.co\"},{\"type\":\"text\",\"text\":' || $B || '},{\"type\":\"text\",\"text\":' || $C || '}],\"k\":true}]}' end as body"
+    )
+    _COLS = (
+        "request_id", "i", "text", "role", "i % 4 = 1 as opted_out",
+        pick("i", ("/v1/messages", "/v1/chat/completions", "/v1/models", "/v1/messages", "/health")) + " as path",
+    )
+
+    @classmethod
+    def body(cls, literal: str, a: str = "'first ' || text", b: str = "text", c: str = "'again ' || text") -> str:
+        out = cls._BODY
+        for name, value in (("$A", a), ("$B", b), ("$C", c), ("$T", "text")):
+            out = out.replace(name, literal.format(value))
+        return out
+
+    def df(self, s, d):
+        return parts(s, d).selectExpr("request_id * 100 + msg_idx as request_id", "request_id * 7 + msg_idx as i", "role", "text").selectExpr(
+            *self._COLS, self.body("substring(to_json(named_struct('t', {0})), 6, length(to_json(named_struct('t', {0}))) - 6)"))
+
+    @property
+    def sql(self) -> str:
+        source = f"(select request_id * 100 + msg_idx as request_id, request_id * 7 + msg_idx as i, role, text from {PARTS_SQL})"
+        return f"(select {', '.join(self._COLS)}, {self.body('cast(to_json({0}) as varchar)')} from {source})"
+
+
+INSPECT = _Inspect()
 
 
 def policy_rows(s):
@@ -133,14 +156,14 @@ def policy_rows(s):
 CHAT_SQL = f"(select * from {INSPECT.sql} where path in ('/v1/messages', '/v1/chat/completions'))"
 INSPECT_TEXTS = (
     "(" + " union all ".join(
-        f"select request_id, opted_out, {m} as msg_idx, {b} as blk_idx, {t} as text from {CHAT_SQL} where i % 17 <> 3"
-        for m, b, t in ((0, -1, "'first ' || text"), (2, 1, "text"), (2, 2, "'again ' || text"))
+        f"select request_id, i % 17 = 5 as one_turn, opted_out, {m} as msg_idx, {b} as blk_idx, {t} as text from {CHAT_SQL} where {w}"
+        for m, b, t, w in ((0, -1, "'first ' || text", "i % 17 <> 3"), (2, 1, "text", "i % 17 not in (3, 5)"), (2, 2, "'again ' || text", "i % 17 not in (3, 5)"))
     ) + ")"
 )
 INSPECT_FOUND = (
     f"(select *, case when opted_out and {TIER_SQL} = 'high' then 'skip' when kind = 'phone' then 'warn' when kind = 'url_path' then 'block' "
     f"when kind = 'ip_address' then 'redact' else {DEFAULT_SQL} end as action from "
-    + findings_sql(INSPECT_TEXTS, "request_id, opted_out, msg_idx, blk_idx") + ")"
+    + findings_sql(INSPECT_TEXTS, "request_id, one_turn, opted_out, msg_idx, blk_idx") + ")"
 )
 
 
@@ -150,10 +173,10 @@ def _inspect_audit_sql() -> str:
         "(select request_id, string_agg(distinct kind || '=' || kn, ',' order by kind || '=' || kn) as kinds, count(*) filter (where action = 'redact_one_way') as n_one_way, "
         "count(*) filter (where action in ('redact', 'warn')) as n_tokenized, count(*) filter (where action = 'allow') as n_allowed, count(*) filter (where action = 'skip') as n_skipped, "
         f"arg_min(kind, {o}) filter (where action = 'redact_one_way') as notify_kind, arg_min(kind, {o}) filter (where action = 'block') as block_kind from "
-        f"(select *, count(*) over (partition by request_id, kind) as kn from {INSPECT_FOUND} where msg_idx = 2) group by request_id)"
+        f"(select *, count(*) over (partition by request_id, kind) as kn from {INSPECT_FOUND} where msg_idx = case when one_turn then 0 else 2 end) group by request_id)"
     )
     return (
-        "select request_id, path as endpoint, case when i % 17 = 3 then '' else 'm1' end as model, "
+        "select request_id, path as endpoint, case when i % 17 in (3, 5) then '' else 'm1' end as model, "
         "case when coalesce(block_kind, '') <> '' then block_kind else regexp_replace(coalesce(kinds, ''), '=[0-9]+', '', 'g') end as dlp_findings, coalesce(kinds, '') as kinds, "
         "coalesce(notify_kind, '') as notify_kind, coalesce(block_kind, '') as block_kind, coalesce(n_one_way, 0) as n_one_way, coalesce(n_tokenized, 0) as n_tokenized, "
         "coalesce(n_allowed, 0) as n_allowed, coalesce(n_skipped, 0) as n_skipped, case when coalesce(block_kind, '') <> '' then 'blocked_dlp' "
@@ -356,9 +379,8 @@ def register(c: Catalog) -> None:
     c.add(
         "redact_json_bodies",
         lambda s, d: inspection.inspect_bodies(INSPECT.df(s, d), *policy_rows(s), SALT),
-        "select i.request_id, case when coalesce(w.hit, false) then '{\"messages\":[{\"content\":\"' || a || '\",\"role\":\"user\"},{\"content\":\"' || text || '\",\"role\":\"assistant\"},"
-        "{\"content\":[{\"text\":\"a@b.co\",\"type\":\"image\"},{\"text\":\"' || b || '\",\"type\":\"text\"},{\"text\":\"' || c || '\",\"type\":\"text\"}],\"k\":true,\"role\":\"user\"}],\"model\":\" m1 \",\"n\":1}' else body end as body "
-        f"from {INSPECT.sql} i left join {wide} w using (request_id)",
+        f"select i.request_id, i % 17 <> 3 as parsed, {_Inspect.body('cast(to_json({0}) as varchar)', 'a', 'b', 'c')} from "
+        f"(select i.request_id, i.i, i.text, coalesce(w.a, 'first ' || text) as a, coalesce(w.b, text) as b, coalesce(w.c, 'again ' || text) as c from {INSPECT.sql} i left join {wide} w using (request_id)) i",
     )
     flat = {"dlp_findings": F.array_join, "injection_rules": F.array_join}
     c.add(

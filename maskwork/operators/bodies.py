@@ -1,63 +1,49 @@
 """Redaction inside stored request bodies.
 
-Texts of the user messages are taken out as rows, scanned and redacted with the ordinary
-operators, and put back into a copy of the document.  Bodies without anything to redact
-stay byte for byte as they were; in a changed body other fields keep their JSON values.
+Texts of the user messages are taken out as rows, scanned and redacted with the ordinary operators. In a
+changed body only the string literals of changed texts are written anew; all other bytes stay: spelling of
+numbers, order of fields, repeated fields. Bodies without anything to redact, and bodies that are not JSON,
+stay byte for byte as they were; the latter are marked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from maskwork.functions.jsonspans import spliced, user_texts
 from maskwork.functions.masking import one_way_replacement
 from maskwork.operators.detect import explode_findings, with_findings
-from maskwork.operators.ranking import sliced_rank
-from maskwork.operators.redact import replace_pairs
+from maskwork.operators.ranking import join_null_safe, sliced_rank
 from maskwork.operators.vault import pseudonym
-from maskwork.sources.wire import field, is_missing, is_object, is_string, items, text_of
-
-
-def _is_user(msg: Column) -> Column:
-    return is_object(msg) & F.coalesce(text_of(field(msg, "role")) == "user", F.lit(False))
 
 
 def body_texts(bodies: DataFrame, request: str, body: str) -> DataFrame:
-    """request, msg_idx, blk_idx, text of every user text; blk_idx is -1 for plain-string content.
+    """request, msg_idx, is_last, blk_idx, text of every user text; blk_idx is -1 for plain-string content.
 
     ``is_last`` marks the newest user message, which alone counts for statistics.
     """
-    parsed = bodies.select(request, F.try_parse_json(body).alias("__doc")).select(
-        request, items(field(F.col("__doc"), "messages")).alias("__msgs")
-    )
-    users = F.filter(
-        F.transform("__msgs", lambda m, i: F.struct(i.cast("int").alias("i"), _is_user(m).alias("user"))),
-        lambda x: x["user"],
-    )
-    content = field(F.col("m"), "content")
-    turned = (
-        parsed.withColumn("__last", F.array_max(F.transform(users, lambda x: x["i"])))
-        .select(request, "__last", F.posexplode("__msgs").alias("msg_idx", "m"))
-        .filter(_is_user(F.col("m")))
-    )
-    none = F.array().cast("array<struct<blk_idx:int,text:string>>")
-    whole = F.array(F.struct(
-        F.lit(-1).alias("blk_idx"), F.when(is_missing(content), "").otherwise(text_of(content)).alias("text")
-    ))
-    blocks = F.filter(
-        F.transform(
-            items(content),
-            lambda b, i: F.struct(
-                i.cast("int").alias("blk_idx"),
-                F.when(F.coalesce(text_of(field(b, "type")) == "text", F.lit(False)), text_of(field(b, "text"))).alias("text"),
-            ),
-        ),
-        lambda x: x["text"].isNotNull(),
-    )
-    texts = F.when(is_string(content) | is_missing(content), whole).otherwise(F.coalesce(blocks, none))
-    return turned.select(
-        request, "msg_idx", (F.col("msg_idx") == F.col("__last")).alias("is_last"), F.explode(texts).alias("t")
-    ).select(request, "msg_idx", "is_last", "t.blk_idx", "t.text")
+
+    def run(batches):
+        for batch in batches:
+            texts = [user_texts(b) or [] for b in batch.column("__body").to_pylist()]
+            at = pa.array([i for i, own in enumerate(texts) for _ in own], pa.int64())
+            flat = [t for own in texts for t in own]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(request).take(at), pa.array([t.msg_idx for t in flat], pa.int32()),
+                pa.array([t.is_last for t in flat], pa.bool_()), pa.array([t.blk_idx for t in flat], pa.int32()),
+                pa.array([t.text for t in flat], pa.string())], [request, "msg_idx", "is_last", "blk_idx", "text"])
+
+    narrow = bodies.select(request, F.col(body).cast("string").alias("__body"))
+    key = narrow.schema[request]
+    schema = StructType([key, *_schema("msg_idx int, is_last boolean, blk_idx int, text string")])
+    return narrow.mapInArrow(run, schema)
+
+
+def _schema(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
 
 
 def body_findings(texts: DataFrame, request: str) -> DataFrame:
@@ -87,35 +73,22 @@ def body_replacements(found: DataFrame, request: str, salt: str) -> DataFrame:
 
 
 def redact_json_bodies(bodies: DataFrame, request: str, body: str, found: DataFrame, salt: str) -> DataFrame:
-    """Bodies with the user texts redacted by the actions in ``found``."""
+    """Bodies with the user texts redacted by the actions in ``found``, and ``parsed``: whether the body is JSON."""
     pairs = body_replacements(found, request, salt)
-    place = F.concat_ws(":", "msg_idx", "blk_idx")
-    maps = pairs.groupBy(request).agg(
-        F.map_from_entries(F.collect_list(F.struct(place, F.struct("old", "new")))).alias("__pairs")
-    )
-
-    def swap(text: Column, i: Column, j: Column) -> Column:
-        p = F.try_element_at(F.col("__pairs"), F.concat_ws(":", i.cast("string"), j.cast("string")))
-        return F.when(p.isNull(), text).otherwise(replace_pairs(text, p["old"], p["new"]))
-
-    def put(obj: Column, name: str, value: Column) -> Column:
-        """The object with one field set."""
-        entries = F.map_filter(F.try_variant_get(obj, "$", "map<string,variant>"), lambda k, v: k != name)
-        return F.to_variant_object(F.map_concat(entries, F.create_map(F.lit(name), value)))
-
-    def new_block(b: Column, i: Column, j: Column) -> Column:
-        hit = F.map_contains_key(F.col("__pairs"), F.concat_ws(":", i.cast("string"), j.cast("string")))
-        return F.when(hit, put(b, "text", swap(text_of(field(b, "text")), i, j).cast("variant"))).otherwise(b)
-
-    def new_message(m: Column, i: Column) -> Column:
-        content = field(m, "content")
-        plain = swap(text_of(content), i, F.lit(-1)).cast("variant")
-        listed = F.transform(items(content), lambda b, j: new_block(b, i, j)).cast("variant")
-        touched = F.exists(F.map_keys("__pairs"), lambda k: F.substring_index(k, ":", 1) == i.cast("string"))
-        value = F.when(is_string(content), plain).otherwise(listed)
-        return F.when(touched, put(m, "content", value)).otherwise(m)
-
-    held = bodies.join(maps, request, "left").withColumn("__doc", F.when(F.col("__pairs").isNotNull(), F.try_parse_json(body)))
-    messages = F.transform(items(field(F.col("__doc"), "messages")), new_message).cast("variant")
-    rebuilt = F.to_json(put(F.col("__doc"), "messages", messages))
-    return held.withColumn(body, F.when(F.col("__pairs").isNull(), F.col(body)).otherwise(rebuilt)).drop("__pairs", "__doc")
+    lists = pairs.groupBy(request).agg(F.collect_set(F.struct("msg_idx", "blk_idx", "old", "new")).alias("__pairs"))
+    held = join_null_safe(bodies.drop("parsed"), lists, [request], "left")
+
+    def run(batches):
+        for batch in batches:
+            bodies_, lists_ = batch.column(body).to_pylist(), batch.column("__pairs").to_pylist()
+            out, parsed = [], []
+            for text, listed in zip(bodies_, lists_):
+                by_place = {(p["msg_idx"], p["blk_idx"]): list(zip(p["old"], p["new"])) for p in listed or []}
+                out.append(spliced(text, by_place) if by_place and text is not None else text)
+                parsed.append(user_texts(text) is not None)
+            columns = [pa.array(out, pa.string()) if n == body else batch.column(n) for n in batch.schema.names if n != "__pairs"]
+            names = [n for n in batch.schema.names if n != "__pairs"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parsed, pa.bool_())], [*names, "parsed"])
+
+    kept = [f for f in held.schema.fields if f.name != "__pairs"]
+    return held.mapInArrow(run, StructType([*kept, StructField("parsed", BooleanType())]))

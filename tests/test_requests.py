@@ -216,6 +216,19 @@ def test_bodies(spark):
     assert earlier[0]["content"].startswith("[SSN_1_") and earlier[1]["content"] == "123-45-6789" and earlier[2]["content"] == "ok"
 
 
+def test_other_bytes_of_a_body_stay(spark):
+    tail = ', "n": 12345678901234567890123456789012345678901234567890, "e":1e3 , "z":"\\u00e9" }'
+    rows = [("twice", '{"model":"m","model":"n","messages":[ {"role":"user","content":"ssn 123-45-6789 \\"q\\"\\n"} ]' + tail), ("bad", '{"messages":[{"role":"user"'),
+            (None, '{"messages":[{"role":"user","content":"a@b.co"}],"messages":[{"content":"no","content":"ssn 123-45-6789","role":"user"}]}'), ("none", None)]
+    df = spark.createDataFrame(rows, "request_id string, body string")
+    found = B.body_findings(B.body_texts(df, "request_id", "body"), "request_id").withColumn("action", F.lit("redact"))
+    out = {r.request_id: (r.body, r.parsed) for r in B.redact_json_bodies(df, "request_id", "body", found, "s").collect()}
+    name = out["twice"][0].split("ssn ")[1].split("]")[0] + "]"
+    assert name.startswith("[SSN_1_") and out["twice"] == (rows[0][1].replace("123-45-6789", name), True)
+    assert out["bad"] == (rows[1][1], False) and out["none"] == (None, False)
+    assert "123-45-6789" not in out[None][0] and "a@b.co" in out[None][0]  # of a repeated field the last one counts
+
+
 def test_requests_need_max_tokens(spark):
     body = {"model": "m", "messages": [{"role": "user", "content": "x"}], "system": [{"type": "text", "text": "S"}]}
     df = spark.createDataFrame([(json.dumps(body),), (json.dumps({**body, "max_tokens": 5}),)], "body string")

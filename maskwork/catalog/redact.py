@@ -108,6 +108,13 @@ def tier1(s, d):
     )
 
 
+def restored(s, d):
+    """Redacted parts with unknown tokens behind them, restored by the vault of the same run."""
+    redacted, _, vault = tier1(s, d)
+    marked = redacted.withColumn("text", F.concat("text", F.lit(" [NOPE_1_abc] [x]")))
+    return V.restore(marked, ["request_id", "msg_idx"], "session_id", "text", vault).select("request_id", "msg_idx", "text")
+
+
 def acted(s, d):
     """Findings of the user messages with their layered action."""
     users = parts(s, d).filter(F.col("role") == "user")
@@ -250,10 +257,7 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "restore",
-        lambda s, d: V.restore(
-            tier1(s, d)[0].withColumn("text", F.concat("text", F.lit(" [NOPE_1_abc] [x]"))),
-            ["request_id", "msg_idx"], "session_id", "text", tier1(s, d)[2],
-        ).select("request_id", "msg_idx", "text"),
+        restored,
         f"select request_id, msg_idx, text || ' [NOPE_1_abc] [x]' as text from {PARTS_SQL}",
     )
     c.add(

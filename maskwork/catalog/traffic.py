@@ -609,8 +609,10 @@ def register(c: Catalog) -> None:
           f"select level, count(*) as n from {LOGS.sql} where level in ('warn', 'error') group by 1")
     c.add(
         "read_logs",
-        lambda s, d: read_logs_from(LOGS.df(s, d).select(F.to_json(F.struct(
-            F.lit("2024-01-01T00:00:00Z").alias("ts"), "level", F.col("event_id").cast("string").alias("msg"), "field", F.col("event_id").alias("n"))).alias("line")), "line")
-        .select("level", "msg", F.element_at("fields", F.lit("field")).alias("field"), F.element_at("fields", F.lit("n")).alias("n")),
-        f"select level, cast(event_id as string) as msg, field, cast(event_id as string) as n from {LOGS.sql}",
+        lambda s, d: read_logs_from(LOGS.df(s, d).select(F.when(F.col("event_id") % 50 == 7, F.lit("plain text")).otherwise(F.lit(None)).alias("bad"), F.to_json(F.struct(
+            F.lit("2024-01-01T00:00:00Z").alias("ts"), "level", F.col("event_id").cast("string").alias("msg"), "field", F.col("event_id").alias("n"))).alias("line"))
+            .select(F.coalesce("bad", "line").alias("line")), "line")
+        .select("level", "msg", F.element_at("fields", F.lit("field")).alias("field"), F.element_at("fields", F.lit("n")).alias("n"), "error"),
+        "select case when not bad then level end as level, case when bad then 'plain text' else cast(event_id as string) end as msg, case when not bad then field end as field, "
+        f"case when not bad then cast(event_id as string) end as n, case when bad then 'not a JSON object' end as error from (select *, event_id % 50 = 7 as bad from {LOGS.sql})",
     )

@@ -197,14 +197,14 @@ GATE = Derived(
     source_sql="(select conv_id as request_id from conversations where turn = 0)",
 )
 GATE_PRINCIPALS = Derived(
-    "'sk-gw-' || cast(c_custkey as string) as api_key", "c_mktsegment as tenant_id", "c_name as key_id",
+    "case when c_custkey % 11 = 3 then 'sk-gw-old-' else 'sk-gw-' end || cast(c_custkey as string) as api_key", "c_mktsegment as tenant_id", "c_name as key_id",
     "'b' || cast(c_custkey % 10 as string) as budget_ref",
     "case when c_custkey % 13 = 5 then cast(1704067200000000 as bigint) end as expiry_us",
-    where="c_custkey % 11 <> 3", source=lambda s, d: read_table(s, d, "customer"), source_sql="customer",
+    source=lambda s, d: read_table(s, d, "customer"), source_sql="customer",
 )
 GATE_LIMITS = Derived(
     "'b' || cast(n_nationkey as string) as budget_ref", "cast(n_nationkey % 4 as int) as daily_requests",
-    where="n_nationkey < 9", source=lambda s, d: read_table(s, d, "nation"), source_sql="nation",
+    source=lambda s, d: read_table(s, d, "nation"), source_sql="nation",
 )
 GATE_POLICY = gateway.GatewayPolicy(actions={"email": "warn", "credit_card": "block"}, threshold=90, max_part_bytes=3000)
 
@@ -390,8 +390,8 @@ def register(c: Catalog) -> None:
     )
     # --- extension points
     c.add(
-        "scan_findings_sql", lambda s, d: X.register_scan_function(s, documents(s, d), "doc_id", "text", "scan_findings", kinds=["ssn", "email"]),
-        f"select kind, count(*) as n, count(distinct doc_id) as docs from {FINDINGS} where kind in ('ssn', 'email') group by kind",
+        "scan_findings_sql", lambda s, d: X.register_scan_function(s, documents(s, d), "doc_id", "text", "scan_findings"),
+        f"select kind, count(*) as n, count(distinct doc_id) as docs from {FINDINGS} group by kind",
     )
     c.add(
         "custom_stages",

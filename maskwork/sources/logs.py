@@ -9,14 +9,22 @@ RESERVED = ("ts", "level", "msg")
 
 
 def read_logs_from(lines: DataFrame, line: str) -> DataFrame:
-    """ts, level, msg, fields (the other fields as strings); lines that are not JSON are dropped."""
-    fields = F.from_json(F.col(line), "map<string,string>")
-    parsed = lines.withColumn("__f", fields).filter(F.col("__f").isNotNull() & (F.size("__f") > 0))
+    """ts, level, msg, fields (the other fields as strings) and error, one row per line.
+
+    ``error`` is NULL for a JSON object and says otherwise what the line is; such a line has no fields
+    and its text as ``msg``.
+    """
+    body = F.trim(F.coalesce(F.col(line), F.lit("")))
+    fields = F.when(body.startswith("{"), F.from_json(F.col(line), "map<string,string>"))
+    problem = F.when(body == "", "empty line").when(F.col("__f").isNull(), "not a JSON object")
+    parsed = lines.withColumn("__f", fields).withColumn("error", problem)
+    parsed = parsed.withColumn("__f", F.coalesce(F.col("__f"), F.create_map(F.lit("msg"), F.col(line))))
     return parsed.select(
         F.try_to_timestamp(F.element_at("__f", F.lit("ts"))).alias("ts"),
         F.element_at("__f", F.lit("level")).alias("level"),
         F.element_at("__f", F.lit("msg")).alias("msg"),
         F.map_filter("__f", lambda k, v: ~k.isin(*RESERVED)).alias("fields"),
+        "error",
     )
 
 

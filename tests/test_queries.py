@@ -19,13 +19,13 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con, name):
     msg, ok = compare(spark, con, FOLDER, QUERIES[name], ORACLES.get(name))
-    assert ok or msg.startswith("EMPTY"), msg
+    assert ok, msg
 
 
-NOT_STREAMS = [n for n in QUERIES if not n.startswith("stream_")]
+PLANNED = [n for n in QUERIES if not n.startswith("stream_") and not n.startswith("op") and n != "pipeline"]  # no jobs to plan
 
 
-@pytest.mark.parametrize("name", NOT_STREAMS)
+@pytest.mark.parametrize("name", PLANNED)
 def test_no_pairwise_joins(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -1,6 +1,7 @@
 """Every registered query: its SQL where it has one, and the shape of its plan."""
 
 import os
+import re
 
 import pytest
 
@@ -22,7 +23,8 @@ def test_matches_sql(spark, con, name):
     assert ok, msg
 
 
-PLANNED = [n for n in QUERIES if not n.startswith("stream_") and not n.startswith("op") and n != "pipeline"]  # no jobs to plan
+# Streams and queries that run jobs while they are built have no single plan to look at.
+PLANNED = [n for n in QUERIES if not re.match(r"stream_|op\d+_|pipeline$", n)]
 
 
 @pytest.mark.parametrize("name", PLANNED)

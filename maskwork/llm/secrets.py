@@ -47,6 +47,17 @@ RULES = (
     Rule("url", "[a-z][a-z0-9+.-]{1,30}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+-]+@"),
 )
 
+# The pem rule finds a key by its header. To mask the key, the span runs through its END line, whatever stands
+# between (no other BEGIN or END); where that line is missing, through the base64 lines that follow the header.
+# All loops are possessive: a long body needs no stack and no text is read twice.
+_PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_GAP = r"(?:\\{1,2}[nrt]|[\s>\"'+,|*#])"
+_LINE = r"[A-Za-z0-9+/]{16,}+={0,2}+"
+_PEM_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_PEM_LINES = (rf"(?:{_GAP}{{1,16}}+(?:Proc-Type|DEK-Info|Comment|Subject):[^\r\n\\]*+)*+{_GAP}{{0,16}}+{_LINE}(?:{_GAP}{{1,16}}+{_LINE})*+"
+              rf"(?:{_GAP}{{1,16}}+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\x20\t\"',;]*+(?:[\r\n]|\\|\Z)))?+")
+MASK_RULES = tuple(r._replace(pattern=f"{_PEM}(?:{_PEM_END}|{_PEM_LINES})?+", version=2) if r.kind == "pem" else r for r in RULES)
+
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -150,11 +161,12 @@ def mask_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span replaced by ``mark`` (spans that overlap by one) and ``n_chars`` set anew.
 
     Every row stays, with the columns it came with; texts without a span, null ones too, stay as they
-    are. Each blob is moved, scanned and masked once and joined to the other columns of its rows.
+    are. Private keys go with their bodies (``MASK_RULES``). Each blob is moved, scanned and masked once and
+    joined to the other columns of its rows.
     """
     names = documents.columns
-    scanned = scan_unseen(documents, keep="__text")
-    spans = flat_spans(F.col("found"), tuple(r.kind for r in RULES))
+    scanned = scan_unseen(documents, rules=MASK_RULES, keep="__text")
+    spans = flat_spans(F.col("found"), tuple(r.kind for r in MASK_RULES))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("__text")
 

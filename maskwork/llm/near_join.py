@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.llm.components import connected_components
@@ -83,7 +83,7 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, the key of the shingle set (k1, k2), its size and its band keys."""
+    """doc_id, mark (a hash of the text), the key of the shingle set (k1, k2), its size and its band keys."""
 
     def run(batches):
         table, powers, factors = plain_table(), Powers(), factors_for(BANDS * ROWS, 11)
@@ -99,11 +99,18 @@ def sketch(documents: DataFrame) -> DataFrame:
             keys = mix((grid.reshape(-1, BANDS, ROWS) * weights).sum(axis=2, dtype=np.uint64) + labels).view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
             bands = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sizes), bands],
-                                             ["doc_id", "k1", "k2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), pa.array(k1), pa.array(k2), pa.array(sizes), bands],
+                ["doc_id", "mark", "k1", "k2", "size", "bands"])
 
-    narrow = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>")
+    narrow = documents.select(F.col("doc_id").cast("bigint"), _mark().alias("mark"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "doc_id bigint, mark bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>")
+
+
+def _mark() -> Column:
+    """With the id it names a row by what it holds: rows that repeat an id need not hold the same text."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text.isNull(), text)
 
 
 _SALT = 0x5851F42D4C957F2D
@@ -203,43 +210,60 @@ def _block_rows(members: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "node bigint, other bigint, links bigint")
 
 
-def near_classes(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents``: doc_id, class_id, n_links, n_copies.
+def _linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and one row per distinct shingle set of those with an id and a word: k1, k2,
+    n_copies, n_links, and the class's first row by id and text (class_id, class_mark).
 
-    ``class_id`` is the least id of all documents that links connect (similarity 0.8 or more of
-    five-word shingle sets); ``n_links`` counts the other distinct shingle sets this one is linked
-    to; ``n_copies`` the rows with the same set. Texts that are null or hold no word are alone in
-    their class, with no link. Rows without an id get a null class. Rows that repeat an id are
-    one document. Other columns of the input are ignored.
+    The nodes of the graph are the sets (a hash of k1 and k2), not ids, which may repeat.
     """
     sketches = materialise(sketch(documents), "sketches")
     named = sketches.where("size > 0 and doc_id is not null")
     sets = materialise(
-        named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "size")).alias("first"), F.count("*").alias("n_copies"))
-        .select("k1", "k2", "n_copies", F.col("first.doc_id").alias("node"), "first.bands", "first.size"), "sets")
+        named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "bands", "size")).alias("first"), F.count("*").alias("n_copies"))
+        .select("k1", "k2", "n_copies", F.xxhash64("k1", "k2").alias("node"), "first.doc_id", "first.mark", "first.bands", "first.size"),
+        "sets")
 
     keyed = sets.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     candidates = connected_components(keyed.join(shared, "key").select("node", "low"), "node", "low")
 
     # block numbers from the component's size, so that a block is bounded in texts and characters
-    placed = materialise(candidates.join(sets.select("node", "size"), "node"), "candidates")
+    placed = materialise(candidates.join(sets.select("node", "doc_id", "mark", "size"), "node"), "candidates")
     sizes = placed.groupBy("component").agg(F.count("*").alias("texts"), F.sum("size").alias("words"))
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("words") * 6 / BLOCK_CHARS)).cast("int")
     placed = placed.join(sizes.select("component", blocks.alias("blocks")), "component")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    # both sides grow with the corpus, so neither is ever broadcast
-    members = placed.hint("merge").join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    # both sides grow with the corpus, so neither is ever broadcast; rows that repeat id and text are one here
+    members = placed.hint("merge").join(texts, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("component", "node", "text", "block", F.least("block", "with").alias("bi"),
                              F.greatest("block", "with").alias("bj"))
 
     found = materialise(_block_rows(members), "links")
-    labels = connected_components(found.where("other is not null"), "node", "other").withColumnRenamed("component", "class_id")
+    labels = connected_components(found.where("other is not null"), "node", "other")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
-    classes = sets.select("k1", "k2", "node", "n_copies").join(labels, "node", "left").join(counts, "node", "left")
-    classes = classes.select("k1", "k2", F.coalesce("class_id", "node").alias("class_id"),
-                             F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    inside = materialise(labels.join(sets.select("node", "doc_id", "mark"), "node"), "labels")
+    firsts = materialise(inside.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first")), "firsts")
+    labels = inside.select("node", "component").join(firsts, "component").select("node", "first")
+    classes = sets.select("k1", "k2", "node", "doc_id", "mark", "n_copies").join(labels, "node", "left").join(counts, "node", "left")
+    return sketches, classes.select(
+        "k1", "k2", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("first.mark", "mark").alias("class_mark"))
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """One row per row of ``documents``: doc_id, class_id, n_links, n_copies.
+
+    ``class_id`` is the least id of all documents that links connect (similarity 0.8 or more of
+    five-word shingle sets); ``n_links`` counts the other distinct shingle sets this one is linked
+    to; ``n_copies`` the rows with the same set. Texts that are null or hold no word are alone in
+    their class, with no link. Rows without an id get a null class. Rows that repeat an id with another
+    text are documents of their own, so two classes may have one least id. Other columns of the input are
+    ignored.
+    """
+    sketches, classes = _linked(documents)
+    named = sketches.where("size > 0 and doc_id is not null")
     linked = named.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies")
     alone = sketches.where("size = 0 or doc_id is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
@@ -247,11 +271,16 @@ def near_classes(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that carry their class's least id, one row for each, with the columns they came with.
+    """One row of each class, that of the least id and, among those, of the least text hash, with the columns it came with.
 
-    Rows without an id stay as they are.
+    Rows that repeat an id with another text are told apart by the text; of rows that repeat both, the one
+    whose columns have the least hash stays, so every run keeps the same. Rows without an id stay as they are.
     """
     names = documents.columns
-    kept = near_classes(documents).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    chosen = documents.join(kept.hint("merge"), F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"]).select(*names)
-    return chosen.union(documents.where("doc_id is null").select(*names))
+    sketches, classes = _linked(documents)
+    kept = classes.select(F.col("class_id").alias("__id"), F.col("class_mark").alias("__mark"))
+    kept = kept.union(sketches.where("size = 0 and doc_id is not null").select("doc_id", "mark")).distinct()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("__id"), _mark().alias("__mark"), F.struct(*names).alias("__row"))
+    chosen = rows.join(kept.hint("merge"), ["__id", "__mark"]).groupBy("__id", "__mark").agg(
+        F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return chosen.select("__row.*").union(documents.where("doc_id is null").select(*names))

@@ -131,6 +131,20 @@ def test_near_join_of_odd_rows(spark, make, edge_rows):
     assert near_join.near_classes(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_keep_their_texts(spark, make):
+    a, b, c, d = (prose(70 + n, 60) for n in range(4))
+    near = a + " tail"  # a near copy of a under the same id
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, d), (7, d), (9, c + " tail"), (5, near), (11, ""), (11, None), (11, None)]
+    for order in (rows, rows[::-1]):
+        kept = near_join.keep_one_of_each(make(order).repartition(3))
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+        fives = [t for i, t in got if i == 5]
+        assert fives in ([a], [near])
+        assert got == sorted([(3, b), (5, fives[0]), (7, c), (7, d), (11, ""), (11, None)], key=repr)
+    links = sorted(map(tuple, near_join.near_classes(make(rows)).where("doc_id in (3, 5, 7, 9)").collect()))
+    assert links == [(3, 3, 0, 2), (5, 3, 0, 2), (5, 5, 1, 1), (5, 5, 1, 1), (7, 7, 0, 2), (7, 7, 0, 2), (7, 7, 1, 1), (9, 7, 1, 1)]
+
+
 def test_pruning_keeps_likely_pairs():
     for n in near_join.STEPS:
         least = near_join.least_matches(n)

@@ -7,13 +7,20 @@ document holds an item, one of its windows is one of the item's windows.
 
 A fingerprint has 64 bits: each bit is the weighted majority of its words' hash bits. Four
 16-bit blocks index the items' fingerprints, each under all values within 2 bits, so every
-fingerprint within 4 * 2 + 3 = 11 bits is found. A hit aligns its item with the document, and
-the item-sized stretch there is compared exactly: the share of the item's five-word shingles
-found in it, each weighted by one over the number of items that hold it, must be 0.8 or more.
+fingerprint within 4 * 2 + 3 = 11 bits is found.
+
+One window cannot stand for an item whose words changed inside it. So an item of five words or more
+has anchors too: its rarest five-word shingles, as many as weigh more than a fifth of it. Whoever
+holds 0.8 of the item's weight holds an anchor, wherever the changes are.
+
+A document that either finds is compared exactly: the share of the item's shingles found in an item-sized
+stretch, each weighted by one over the number of items that hold it, must
+be 0.8 or more in one of its stretches. Shorter items are compared by their words where a window hit.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 from math import ceil
 
@@ -31,6 +38,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
 WIDEST = 40
 SLACK = 2
 BLOCK_ITEMS = 1000
+UNIT = 1 << 48
+EDGE = 1e-9
 
 
 def _lanes() -> np.ndarray:
@@ -101,39 +110,66 @@ class _Class:
 
 
 class ItemIndex:
-    """Fingerprints and weighted shingles of one block of items."""
+    """Fingerprints, anchors and weighted shingles of one block of items.
+
+    ``held`` has the number of items that hold a shingle, where it is above one; without it the block is all.
+    """
 
-    def __init__(self, ids: list, texts: list) -> None:
+    def __init__(self, ids: list, texts: list, held: dict[int, int] | None = None) -> None:
         self.ids, self.lanes, self.table, self.powers = ids, _lanes(), plain_table(), Powers()
         words = Words(texts, self.table, self.powers)
         self.lengths = np.diff(words.bounds)
-        hashes, bounds = words.shingles(SHINGLE)
-        self.shingles = []
-        for i, n in enumerate(self.lengths):
-            own = hashes[bounds[i] : bounds[i + 1]].tolist()
-            # an item shorter than a shingle must be found whole, by its words
-            self.shingles.append(set(own) if own else set(words.hashes[words.bounds[i] : words.bounds[i + 1]].tolist()))
-        held: dict[int, int] = {}
-        for own in self.shingles:
-            for s in own:
-                held[s] = held.get(s, 0) + 1
-        self.weights = {s: 1 / n for s, n in held.items()}
+        self.shingles = item_shingles(words)
+        if held is None:
+            held = Counter(s for own in self.shingles for s in own)
+        # whole numbers, so that sums are the same in any order
+        self.weights = {s: UNIT // held.get(s, 1) for own in self.shingles for s in own}
         self.totals = [sum(self.weights[s] for s in own) for own in self.shingles]
+        self._anchor()
         self.classes = []
         rest = np.flatnonzero(self.lengths)
         while len(rest):
             least = int(self.lengths[rest].min())
-            inside = self.lengths[rest] < max(least + 1, ceil(least * 1.5))
+            # items under a shingle are classed by their own length, so that no other item changes their windows
+            inside = self.lengths[rest] < (max(least + 1, ceil(least * 1.5)) if least >= SHINGLE else least + 1)
             self.classes.append(_Class(rest[inside], words, self.lanes, least))
             rest = rest[~inside]
 
+    def _anchor(self) -> None:
+        """Sorted anchors with their items: of each item the shingles of most weight, until what is left is under 0.8."""
+        pairs = []
+        for i in np.flatnonzero(self.lengths >= SHINGLE).tolist():
+            left = self.totals[i]
+            for s in sorted(self.shingles[i], key=lambda s: (-self.weights[s], s)):
+                if left < (THRESHOLD - 2 * EDGE) * self.totals[i]:
+                    break
+                pairs.append((s, i))
+                left -= self.weights[s]
+        pairs.sort()
+        self.anchors = np.array([s for s, _ in pairs], np.uint64)
+        self.anchored = np.array([i for _, i in pairs], np.int64)
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.anchors & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def _anchor_pairs(self, shingled: tuple) -> set[tuple[int, int]]:
+        """(text, item) wherever a text holds an anchor of the item."""
+        hashes, bounds = shingled
+        at = np.flatnonzero(self.filter[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        low, high = (np.searchsorted(self.anchors, hashes[at], side=side) for side in ("left", "right"))
+        at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
+        owner = np.repeat(np.searchsorted(bounds, at, side="right") - 1, counts)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        both = np.unique(owner * len(self.ids) + self.anchored[np.repeat(low, counts) + inside])
+        return {divmod(pair, len(self.ids)) for pair in both.tolist()}
+
     def matches(self, texts: list) -> list[tuple[int, int, float]]:
-        """(text, item, similarity) of every item found in a text, best alignment each."""
+        """(text, item, similarity) of every item found in a text, best stretch each."""
         words = Words(texts, self.table, self.powers)
         prints = Fingerprints(words, self.lanes)
         counts = np.diff(words.bounds)
         best: dict[tuple[int, int], float] = {}
-        shingled = None
+        shingled = words.shingles(SHINGLE)
+        pairs = self._anchor_pairs(shingled)
         for kind in self.classes:
             windows = np.maximum((counts - kind.window) // kind.stride + 1, 0)
             windows[counts < kind.window] = 0
@@ -143,24 +179,53 @@ class ItemIndex:
             place, entry = kind.near(prints.at(starts, kind.window))
             if not len(place):
                 continue
-            shingled = shingled or words.shingles(SHINGLE)
             tried = np.unique(np.stack([owner[place], kind.item[entry], starts[place] - kind.shift[entry]]), axis=1)
             for doc, item, start in tried.T.tolist():
-                found = self._similarity(words, shingled, doc, item, start)
-                if found >= THRESHOLD and found > best.get((doc, item), 0):
+                if self.lengths[item] >= SHINGLE:
+                    pairs.add((doc, item))
+                    continue
+                found = self._by_words(words, doc, item, start)
+                if found >= THRESHOLD - EDGE and found > best.get((doc, item), 0):
                     best[doc, item] = found
+        for doc, item in sorted(pairs):
+            found = self._similarity(shingled, doc, item)
+            if found >= THRESHOLD - EDGE:
+                best[doc, item] = found
         return [(doc, item, value) for (doc, item), value in best.items()]
 
-    def _similarity(self, words: Words, shingled: tuple, doc: int, item: int, start: int) -> float:
+    def _by_words(self, words: Words, doc: int, item: int, start: int) -> float:
         first = max(start - SLACK, int(words.bounds[doc]))
         last = min(start + int(self.lengths[item]) + SLACK, int(words.bounds[doc + 1]))
-        if self.lengths[item] < SHINGLE:
-            near = words.hashes[first:last].tolist()
-        else:
-            shift = int(shingled[1][doc] - words.bounds[doc])
-            near = shingled[0][first + shift : max(first, last - SHINGLE + 1) + shift].tolist()
+        near = words.hashes[first:last].tolist()
         return sum(self.weights[s] for s in self.shingles[item].intersection(near)) / self.totals[item]
 
+    def _similarity(self, shingled: tuple, doc: int, item: int) -> float:
+        """The most that a stretch of the item's length, and ``SLACK`` on both sides, holds of the item."""
+        mine = shingled[0][shingled[1][doc] : shingled[1][doc + 1]]
+        own = np.array(sorted(self.shingles[item]), np.uint64)
+        places = np.flatnonzero(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine)
+        found = mine[places].tolist()
+        width = int(self.lengths[item]) + 2 * SLACK - SHINGLE + 1
+        inside: dict[int, int] = {}
+        most = now = first = 0
+        for at, shingle in zip(places.tolist(), found):
+            n = inside[shingle] = inside.get(shingle, 0) + 1
+            now += self.weights[shingle] if n == 1 else 0
+            while places[first] <= at - width:
+                gone = found[first]
+                inside[gone] -= 1
+                now -= 0 if inside[gone] else self.weights[gone]
+                first += 1
+            most = max(most, now)
+        return most / self.totals[item]
+
+
+def item_shingles(words: Words) -> list[set]:
+    """Distinct shingles of each text; one shorter than a shingle must be found whole, by its words."""
+    hashes, bounds = words.shingles(SHINGLE)
+    found = [set(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    return [own or set(words.hashes[a:b].tolist()) for own, a, b in zip(found, words.bounds[:-1], words.bounds[1:])]
+
 
 def _item_blocks(benchmark: DataFrame):
     """Ids and texts of the items, block by block, so that none grows with the table."""
@@ -179,8 +244,8 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
     item_id comes back null, a repeated row as often as it is there. Other columns are ignored.
     """
     out = None
-    for ids, texts in _item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))  # BLOCK_ITEMS short texts
+    for block in _item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_ITEMS short texts
 
         def run(batches, shared=shared):
             index = ItemIndex(*shared.value)
@@ -201,8 +266,8 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
 
 def drop_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with the columns they came with; no row is moved."""
-    for ids, texts in _item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    for block in _item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             index = ItemIndex(*shared.value)

@@ -194,6 +194,45 @@ def test_changed_passages_are_found_and_clean_ones_left(spark, make):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, _ in rows if i is not None and 100 <= i < 200 or i in (301, 302))
 
 
+def stretch_leaks(rows, items, threshold=0.8):
+    """As the operator defines it: the best item-sized stretch with two words more on each side, weights of all items."""
+    grams = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in ((i, plain_words(t)) for i, t in items)}
+    held = Counter(g for own in grams.values() for g in set(own))
+    out = {}
+    for d, t in rows:
+        w = plain_words(t)
+        mine = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, own in grams.items():
+            total, width = sum(1 / held[g] for g in set(own)), len(own) + 4
+            best = max((sum(1 / held[g] for g in set(own) & set(mine[k : k + width])) for k in range(len(mine))), default=0)
+            if own and best >= threshold * total - 1e-9:
+                out[d, i] = round(best / total, 6)
+    return out
+
+
+def leaks_of(spark, rows, items):
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.leaks(spark, rows, table).collect()}
+
+
+def test_edits_anywhere_in_an_item(make, spark):
+    items = [(i, prose(700 + i, 35 + i % 18)) for i in range(36)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        n, few = len(words), (len(words) - 4) // 5
+        for k, at in enumerate((0, 3, 10, n // 2, n - 12, n - 5)):
+            edits = max(1, few - 4)  # adjacent words; they break at most a fifth of the shingles
+            own = words[:at] + [f"new{j}" for j in range(min(edits, n - at))] + words[at + edits :]
+            rows.append((i * 10 + k, prose(i * 10 + k, 30 + k) + " " + " ".join(own) + " " + prose(900 + i, 20)))
+        rows.append((i * 10 + 6, prose(i, 23) + " " + " ".join(words[few:])))
+        rows.append((i * 10 + 7, " ".join(words[: n - few]) + " " + prose(i, 23)))
+        rows.append((i * 10 + 8, prose(i, 9) + " " + " ".join(words[few // 2 : n - (few - few // 2)]) + " " + prose(50 + i, 9)))
+    want = stretch_leaks(rows, items)
+    assert len(want) >= 9 * len(items)
+    assert leaks_of(spark, make(rows), items) == want
+
+
 def test_leaks_in_blocks_of_items(spark, make, monkeypatch):
     items = spark.createDataFrame([(i, prose(500 + i, 30)) for i in range(9)], "item_id bigint, text string")
     rows = [(i, prose(i, 20) + " " + prose(500 + i, 30)) for i in range(9)]

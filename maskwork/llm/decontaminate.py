@@ -14,7 +14,7 @@ has anchors too: its rarest five-word shingles, as many as weigh more than a fif
 holds 0.8 of the item's weight holds an anchor, wherever the changes are.
 
 A document that either finds is compared exactly: the share of the item's shingles found in an item-sized
-stretch, each weighted by one over the number of items that hold it, must
+stretch, each weighted by one over the number of items of the whole benchmark that hold it, must
 be 0.8 or more in one of its stretches. Shorter items are compared by their words where a window hit.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwork.llm.words import Powers, Words, chunks, plain_table
+from maskwork.session import materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -227,14 +228,34 @@ def item_shingles(words: Words) -> list[set]:
     return [own or set(words.hashes[a:b].tolist()) for own, a, b in zip(found, words.bounds[:-1], words.bounds[1:])]
 
 
+def _held(items: DataFrame) -> DataFrame:
+    """block, shingle and the number of items of the whole benchmark that hold it, where that is above one."""
+
+    def run(batches):
+        table, powers = plain_table(), Powers()
+        for batch in batches:
+            blocks, texts = batch.column("block").to_numpy(), batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                own = item_shingles(Words(texts[a:b], table, powers))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(blocks[a:b], [len(x) for x in own]), pa.int64()),
+                     pa.array(np.array([s for x in own for s in x], np.uint64).view(np.int64))], ["block", "shingle"])
+
+    shingles = materialise(items.select("block", "text").mapInArrow(run, "block bigint, shingle bigint"), "item_shingles")
+    counts = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    return materialise(shingles.distinct().join(counts, "shingle"), "held_by_block")
+
+
 def _item_blocks(benchmark: DataFrame):
-    """Ids and texts of the items, block by block, so that none grows with the table."""
+    """Ids, texts and shingle counts of the items, block by block, so that none grows with the table."""
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
     blocks = max(1, ceil(items.count() / BLOCK_ITEMS))
+    items = items.withColumn("block", F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)), F.lit(0)).cast("bigint"))
+    held = _held(items) if blocks > 1 else None  # a single block counts its own
     for block in range(blocks):
-        mine = F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)), F.lit(0)) == block
-        rows = items.where(mine).collect()
-        yield [r[0] for r in rows], [r[1] or "" for r in rows]
+        rows = items.where(F.col("block") == block).collect()
+        counts = None if held is None else {r[0] & (2**64 - 1): r[1] for r in held.where(F.col("block") == block).select("shingle", "n").collect()}
+        yield [r[0] for r in rows], [r[1] or "" for r in rows], counts
 
 
 def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:

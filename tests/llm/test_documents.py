@@ -233,6 +233,19 @@ def test_edits_anywhere_in_an_item(make, spark):
     assert leaks_of(spark, make(rows), items) == want
 
 
+def test_weights_are_those_of_all_items(spark, make, monkeypatch):
+    template = prose(40, 30)
+    items = [(i, template + " " + prose(800 + i, 12)) for i in range(25)] + [(100, "some two"), (101, "a few more words")]
+    rows = [(i, prose(i, 20) + " " + template + " " + prose(800 + i, 12)) for i in range(0, 25, 4)]
+    rows += [(100 + i, prose(i, 20) + " " + " ".join(items[i][1].split()[26:]) + " " + prose(60 + i, 9)) for i in range(0, 25, 3)]
+    rows += [(200 + i, template + " " + " ".join(prose(800 + i, 12).split()[:11]) + " x y z") for i in range(0, 25, 3)]
+    rows += [(300, prose(3, 20) + " some two a few more words " + prose(4, 20)), (301, template)]
+    whole = leaks_of(spark, make(rows), items)
+    assert {k: v for k, v in whole.items() if k[1] < 100} == stretch_leaks(rows, items[:25]) and {(300, 100), (300, 101)} <= set(whole)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)
+    assert leaks_of(spark, make(rows), items) == whole
+
+
 def test_leaks_in_blocks_of_items(spark, make, monkeypatch):
     items = spark.createDataFrame([(i, prose(500 + i, 30)) for i in range(9)], "item_id bigint, text string")
     rows = [(i, prose(i, 20) + " " + prose(500 + i, 30)) for i in range(9)]

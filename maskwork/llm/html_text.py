@@ -4,6 +4,9 @@ Pass one decides blocks on their own: length, share of stop words, share of char
 what their elements say (navigation, footers, forms, adverts, comments and the like are never
 text; an article element speaks for its blocks). Pass two gives each undecided block, mostly short
 ones, the label of its nearest decided neighbours.
+
+Text in a script or language without stop words here is judged by length and links alone. A form, or an
+element named like a sidebar, that wraps the page's main text is a wrapper, and its tag and name say nothing.
 """
 
 from __future__ import annotations
@@ -52,6 +55,7 @@ _COMMENTS, _NAMES, _PAGE, _NOT = (frozenset(x.split()) for x in (COMMENT_NAMES,
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.12, 0.25
 LINKED = 0.33
+WRAPPED = 0.5  # of the page's running text, in an element that is a wrapper
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
@@ -61,18 +65,44 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\U00020000-\U0003ffff]")  # a character is about a word
 
 
 class _Block:
-    __slots__ = ("text", "linked", "away", "article", "heading", "label")
+    __slots__ = ("text", "linked", "away", "article", "heading", "label", "claims", "main", "share", "blind")
 
-    def __init__(self, text: str, linked: int, away: bool, article: bool, heading: bool) -> None:
+    def __init__(self, text: str, linked: int, away: bool, article: bool, heading: bool, claims: tuple = (), main: int = 0) -> None:
         self.text, self.linked, self.away, self.article, self.heading = text, linked, away, article, heading
-        self.label = ""
-
-
-def _said(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(away, away for articles inside too, article) of an element by its names."""
+        self.claims, self.main = claims, main
+        self.label, self.share, self.blind = "", -1.0, False
+
+    def stops(self, stops: list[frozenset]) -> float:
+        if self.share < 0:
+            self.share = stop_share(self.text, stops)
+        return self.share
+
+    @property
+    def foreign(self) -> bool:
+        """Whether most letters are of no script that a listed language has."""
+        if self.text.isascii():
+            return False
+        letters = sum(map(len, _WORD.findall(self.text)))
+        return letters > 2 * len(_LATIN.findall(self.text))
+
+    @property
+    def size(self) -> int:
+        return len(self.text) + 2 * len(_DENSE.findall(self.text)) if self.blind else len(self.text)
+
+    def running(self, stops: list[frozenset]) -> bool:
+        """Long enough and with few links, and with stop words if it can have any."""
+        if self.linked > LINKED * len(self.text) or self.size < SHORT:
+            return False
+        return self.blind or self.stops(stops) >= FEW_STOPS
+
+
+def _said(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool, bool]:
+    """(away, away for articles inside too, article, hidden, comments) of an element by its names."""
     names: set[str] = set()
     hidden = main = False
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -90,13 +120,19 @@ def _said(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
                 names.update(w for before, w in zip(["", *words], words) if before not in _NOT)
     comments = bool(names & _COMMENTS)
     away = bool(names & _NAMES) or not inside and bool(names & _PAGE)
-    return hidden or comments or away, hidden or comments or "related" in names or "sidebar" in names, main
+    return hidden or comments or away, hidden or comments or "related" in names or "sidebar" in names, main, hidden, comments
+
 
+def blocks_of(page: str, wrappers: frozenset = frozenset()) -> list[_Block]:
+    """The page's blocks with text, in order. The tags and names of ``wrappers`` (numbers of elements) say nothing.
 
-def blocks_of(page: str) -> list[_Block]:
-    """The page's blocks with text, in order."""
+    A block's ``claims`` are the elements around it that send it away but may be wrappers, as (number, comments);
+    its ``main`` is the number of the article around it, or 0. Hidden blocks have no claims.
+    """
     found: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, away, strongly, article
+    # tag, away, strongly, article, claims, article's number
+    stack: list[tuple[str, bool, bool, bool, tuple | None, int]] = [("", False, False, False, (), 0)]
+    number = 0
     opened: dict[str, int] = {}
     pieces: list[str] = []
     state = {"linked": 0, "breaks": 0, "heading": False}
@@ -104,8 +140,8 @@ def blocks_of(page: str) -> list[_Block]:
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            _, away, _, article = stack[-1]
-            found.append(_Block(text, state["linked"], away, article, state["heading"]))
+            _, away, _, article, claims, main = stack[-1]
+            found.append(_Block(text, state["linked"], away, article, state["heading"], claims or (), main))
         pieces.clear()
         state["linked"] = state["breaks"] = 0
 
@@ -151,15 +187,25 @@ def blocks_of(page: str) -> list[_Block]:
             if opened.get(tag):
                 close(tag)
         elif tag not in _VOID and not token["attr"].endswith("/"):
-            _, away, strong, article = stack[-1]
-            own, own_strong, main = _said(tag, token["attr"], article) if token["attr"] else (False, False, False)
+            _, away, strong, article, claims, inner = stack[-1]
+            number += 1
+            own, own_strong, main, hidden, comments = _said(tag, token["attr"], article) if token["attr"] else (False,) * 5
+            sent = tag in _AWAY
+            if number in wrappers:
+                own = own_strong = sent = False
+            elif hidden or sent and tag != "form":
+                claims = None  # nothing inside can make these a wrapper
+            elif claims is not None and (own or own_strong or sent) and tag not in ("html", "body"):
+                claims += ((number, comments),)
+            if (tag in ("article", "main") or main) and not own_strong:
+                inner = number
             if tag in ("article", "main") or main:
                 strong |= own_strong
                 away, article = strong, not strong
             elif tag not in ("html", "body"):
-                away |= own or tag in _AWAY or tag == "header" and not article
-                strong |= own_strong or tag in _AWAY
-            stack.append((tag, away, strong, article))
+                away |= own or sent or tag == "header" and not article
+                strong |= own_strong or sent
+            stack.append((tag, away, strong, article, claims, inner))
             opened[tag] = opened.get(tag, 0) + 1
         state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not token["end"]
     if at < len(page):
@@ -174,13 +220,54 @@ def stop_share(text: str, stops: list[frozenset]) -> float:
     return max(sum(w in s for w in words) for s in stops) / len(words) if words else 0.0
 
 
+def _blind(blocks: list[_Block], stops: list[frozenset]) -> None:
+    """Marks the blocks that stop words cannot judge: those of other scripts, and all if no listed language
+    has a usable share over the page's longer blocks."""
+    told = size = 0.0
+    for block in blocks:
+        block.blind = block.foreign
+        if not block.blind and not block.away and len(block.text) >= SHORT and block.linked <= LINKED * len(block.text):
+            told += block.stops(stops) * len(block.text)
+            size += len(block.text)
+    if size and told < FEW_STOPS * size:
+        for block in blocks:
+            block.blind = True
+
+
+def wrappers_of(blocks: list[_Block], stops: list[frozenset]) -> frozenset:
+    """Numbers of elements whose tag or name would send the page's main text away.
+
+    Such an element holds half of the running text or more: in an article inside it, where no other article
+    has running text; or, if nothing else of the page is left, anywhere but in comments. One named like comments
+    counts only if nothing else is left.
+    """
+    if not any(b.claims for b in blocks):
+        return frozenset()
+    running = [b for b in blocks if b.running(stops)]
+    least = WRAPPED * sum(b.size for b in running)
+    claims = {c for b in running for c in b.claims}
+    alone = all(b.away for b in running)
+    found, spare = set(), set()
+    for number, comments in claims:
+        mine = [b for b in running if (number, comments) in b.claims]
+        inside = [b for b in mine if b.main > number]
+        elsewhere = any(b.main and b not in mine and not b.away for b in running)
+        if inside and not elsewhere and (alone or not comments) and sum(b.size for b in inside) >= least:
+            found.add(number)
+        elif alone and not comments and sum(b.size for b in mine) >= least:
+            spare.add(number)
+    return frozenset(found or spare)
+
+
 def _decide(block: _Block, stops: list[frozenset]) -> str:
-    size = len(block.text)
-    if block.away or block.linked > LINKED * size:
+    size = block.size
+    if block.away or block.linked > LINKED * len(block.text):
         return "bad"
     if size < SHORT:
         return "bad" if block.linked and not block.article else "short"
-    share = stop_share(block.text, stops)
+    if block.blind:
+        return "good" if size >= LONG else "near"
+    share = block.stops(stops)
     if block.article:
         return "good" if share >= FEW_STOPS or size >= LONG else "near"
     if share >= MANY_STOPS and size >= LONG:
@@ -229,8 +316,13 @@ def main_text(page: str | None, stops: list[frozenset] | None = None) -> str:
     """The good blocks, joined by newlines; empty for a null or empty page."""
     if not page:
         return ""
+    stops = stops or [frozenset(v.split()) for v in STOP_WORDS.values()]
     blocks = blocks_of(page)
-    label(blocks, stops or [frozenset(v.split()) for v in STOP_WORDS.values()])
+    _blind(blocks, stops)
+    if wrappers := wrappers_of(blocks, stops):
+        blocks = blocks_of(page, wrappers)
+        _blind(blocks, stops)
+    label(blocks, stops)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 

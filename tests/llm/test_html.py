@@ -33,6 +33,36 @@ def test_layouts(page, want):
     assert main_text(page) == want
 
 
+RU = ["Сегодня утром жители города вышли на набережную, чтобы посмотреть, как река медленно освобождается от зимнего льда. " * 2,
+      "Старый мост закрыли ещё осенью, поэтому теперь все ходят через парк и подолгу стоят у перил, глядя на воду и птиц."]
+PL = ["Rano mieszkańcy miasta wyszli nad brzeg rzeki, żeby zobaczyć, jak lód powoli pęka i spływa pod starym mostem ku morzu. " * 2,
+      "Most zamknięto jeszcze jesienią, więc teraz wszyscy chodzą przez park, stoją przy barierkach, patrzą długo ku wodzie."]
+ZH = ["今天早上，城里的居民来到河边，看冰雪慢慢融化，河水重新流动起来，孩子们在岸边奔跑，老人们坐在长椅上聊天，说着往年春天的故事，也说起那座老桥和桥边的茶馆。" * 2,
+      "老桥去年秋天就关闭了，所以现在大家都从公园里走过去，在栏杆旁站很久，看着河水和飞鸟，直到太阳完全升起来。"]
+
+
+@pytest.mark.parametrize("parts", [RU, PL, ZH])
+def test_languages_without_stop_words(parts):
+    text = "".join(f"<p>{p.strip()}</p>" for p in parts)
+    menu = "<ul><li><a href=1>Главная Strona 首页</a><li><a href=2>Контакты</a></ul>"
+    want = "\n".join(p.strip() for p in parts)
+    assert main_text(f"<body>{menu}<div>{text}</div><div class=sidebar><p>{parts[0]}</p></div>{menu}</body>") == want
+    assert main_text(f"<body><div>{text}</div><p>All rights are with the owner of this site and we use it as it is.</p></body>").startswith(want)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><form id=aspnetForm><div class=nav><a>Home</a></div><div>{ARTICLE}</div></form></body>", WANT),
+    (f"<body><form><main>{ARTICLE}</main><aside><p>{P[1]}</p></aside></form></body>", WANT),
+    (f"<div class='content-sidebar-wrap'><main>{ARTICLE}</main><div class=sidebar><p>{P[0]}</p></div></div>", WANT),
+    (f"<div class='related-layout'><form><article>{ARTICLE}<form><p>{P[1]}</p></form></article></form></div>", WANT),
+    (f"<article>{ARTICLE}</article><div class=related><article><p>{P[0]}</p></article></div>", WANT),
+    (f"<div>{ARTICLE}</div><section id=comments>" + f"<article><p>{P[0]}</p></article>" * 5 + "</section>", WANT),
+    (f"<div id=comments><p>{P[0]}</p></div>", ""), (f"<div hidden><form><p>{P[0]}</p></form></div>", ""),
+])
+def test_wrappers(page, want):
+    assert main_text(page) == want
+
+
 def test_long_and_deep_pages():
     text = prose(1, 100_000)
     assert main_text(f"<article><p>{text}</p></article>") == text

@@ -78,11 +78,31 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(spark, _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.subspace_join import near_vectors
+
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.fim import digest, fill_in_middle
+
+    return digest(fill_in_middle(_table(spark, folder, "documents")))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from maskwork.llm.ranked_search import build_index, search
+
+    return search(build_index(_table(spark, folder, "documents")), _table(spark, folder, "benchmark"))
+
+
 def registered() -> tuple[dict, dict[str, str]]:
     """Queries and, where SQL can express them on whole tables, their SQL."""
-    from maskwork.llm import secrets
+    from maskwork.llm import fim, ranked_search, secrets, subspace_join
 
     queries = {fn.__name__: fn for fn in (
         op1_html_text, op2_fertility, op3_resampling, op4_decontaminate, op5_substring_dedup, op6_secrets, op7_toxicity,
-        op8_token_counts, op9_near_join, op10_packing)}
-    return queries, {"op6_secrets": secrets.oracle_sql()}
+        op8_token_counts, op9_near_join, op10_packing, op11_subspace_join, op12_fill_in_middle, op13_ranked_search)}
+    return queries, {
+        "op6_secrets": secrets.oracle_sql(), "op11_subspace_join": subspace_join.oracle_sql(), "op12_fill_in_middle": fim.oracle_sql(),
+        "op13_ranked_search": ranked_search.oracle_sql()}

@@ -21,9 +21,9 @@ from maskwork.llm.words import Powers, Words, chunks, mix
 from maskwork.session import materialise
 
 TOP = 20
-SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 20
+SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 19
 BLOCK_TERMS = 50_000  # (item, term) pairs that are sent to the tasks at once
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def term_table() -> np.ndarray:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from maskwork.catalog.base import DOCUMENTS_SQL, EVENTS_SQL, PARTS_SQL, Catalog, events, suffix_sql
 from maskwork.catalog.detect import FINDINGS, findings_sql
@@ -10,32 +14,45 @@ from maskwork.catalog.redact import tier1
 from maskwork.catalog.traffic import AUDIT, BUCKET, BUDGET, LIMITS, RATE, STORM, Derived, _budget_sql, _storm_sql, _token_bucket_sql
 from maskwork.operators import joins as J
 from maskwork.operators import metrics as A
+from maskwork.operators.ordering import assemble_text
 from maskwork.session import materialise, prepare, shared_dir
 from maskwork.sources.corpus import read_table
-from maskwork.streaming import flows, state
+from maskwork.streaming import flows, state, timed
 from maskwork.streaming.run import read_stream, run_complete, run_to_table, run_updates
 
+FILE_ROWS = 1_000_000
+
 
+def sliced(s, df, name: str, order, n: int = 4, after=None) -> Callable[[], DataFrame]:
+    """The whole table as a stream of ``n`` micro-batches in the order of a column; each call starts it anew.
 
-def slices(s, df, name: str, order: str, n: int = 4) -> str:
-    """The whole table as ``n`` files in the order of a column, written one after another: a stream of one file
-    per micro-batch then takes them in that order."""
-    path = shared_dir(s, name)
-    kept = materialise(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), name)
+    A slice is as many files as its rows need, and the slices are written one after another, because a file stream takes
+    files by age. Each reads its own folder of the ranged table only. ``after`` is one more batch, for what moves the
+    watermark beyond the last row.
+    """
+    path, ranged = shared_dir(s, name), shared_dir(s, name)
+    df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(ranged)
+    kept = s.read.schema(StructType([*df.schema, StructField("__part", IntegerType())])).parquet(ranged)
+    files = max(1, -(-kept.count() // (n * FILE_ROWS)))
     for i in range(n):
-        kept.where(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(path)
-    return path
+        kept.where(F.col("__part") == i).drop("__part").repartition(files).write.mode("append").parquet(path)
+    if after is not None:
+        after.select(*df.columns).write.mode("append").parquet(path)
+    return lambda: read_stream(s, path, files)
 
 
 def sliced_stream(s, d, name: str, order: str):
-    return read_stream(s, slices(s, read_table(prepare(s), d, name), name, order), 1)
+    return sliced(s, read_table(prepare(s), d, name), name, order)()
 
 
-def event_stream(s, d):
-    df = sliced_stream(s, d, "events", "ts")
+def _with_us(df):
     return df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
+def event_stream(s, d):
+    return _with_us(sliced_stream(s, d, "events", "ts"))
+
+
 def derived(spec: Derived, s, d):
     return event_stream(s, d).filter(spec.where).selectExpr(*spec.cols)
 
@@ -79,8 +96,7 @@ def register(c: Catalog) -> None:
     def redacted_stream(s, d):
         """The redacted chat turns as a stream of chunks beside the vault that made them."""
         redacted, _, vault = tier1(s, d)
-        path = slices(s, redacted.select("request_id", "msg_idx", "session_id", "text"), "chunks", "request_id")
-        return read_stream(s, path, 1), vault
+        return sliced(s, redacted.select("request_id", "msg_idx", "session_id", "text"), "chunks", "request_id")(), vault
 
     def restored(s, d):
         chunks, vault = redacted_stream(s, d)
@@ -116,6 +132,7 @@ def register(c: Catalog) -> None:
         ).select("doc", "version", "seq", "kind", "start", "end"),
         f"select doc_id // 3 as doc, doc_id as version, seq, kind, start, \"end\" from {findings_sql(newest, 'doc_id')}",
     )
+    _register_timed(c)
     c.add(
         "stream_window_counts",
         lambda s, d: run_updates(flows.window_counts(
@@ -139,3 +156,72 @@ def register(c: Catalog) -> None:
         lambda s, d: flows.live_board(derived(AUDIT, s, d).select("request_id", "us", "verdict"), "us", "request_id"),
         f"select request_id, us, verdict from {AUDIT.sql} order by us desc, request_id desc limit 8",
     )
+
+
+TTL_US = 6 * J.GRANT_TTL_US
+# Event time of a document's versions: some follow within half a second, some do not.
+VERSION_MS = "1700000000000 + doc_id * 40 + doc_id % 3 * (case when doc_id % 2 = 0 then 200 else 900 end)"
+
+
+def _ending(df, at: str, **values):
+    """One row a day after the newest one, which takes the watermark past all others; what is not given is NULL."""
+    last = df.agg(F.max(at).alias("__at")).select((F.col("__at") + F.expr("interval 1 day")).alias("__at"))
+    kinds = dict(df.dtypes)
+    return last.select(*[F.col("__at").alias(n) if n == at else F.lit(values.get(n)).cast(kinds[n]).alias(n) for n in df.columns])
+
+
+def optout_two_streams(s, d):
+    """Grants and requests of the event log as two streams; the last batch holds only the row that ends it."""
+    log = _with_us(read_table(prepare(s), d, "events")).select(
+        "event_id", "user_id", "us", "event_type", F.timestamp_micros("us").alias("at"))
+    start = sliced(s, log, "log", "at", after=_ending(log, "at", event_type="end"))
+    requests = start().where("event_type <> 'signup'").drop("event_type")
+    grants = start().where("event_type in ('signup', 'end')").select("user_id", "at")
+    flagged = timed.optout_join(requests, grants, "user_id", "at", "event_id", TTL_US)
+    return run_to_table(flagged.where("event_id is not null").select("event_id", "opted_out"), "optout_join")
+
+
+def _versions(s, d):
+    docs = read_table(prepare(s), d, "documents")
+    return docs.select(
+        F.floor(F.col("doc_id") / 3).alias("doc"), F.col("doc_id").alias("version"), F.expr(f"text || {suffix_sql('doc_id', True)}").alias("text"),
+        F.expr(VERSION_MS).alias("ms"))
+
+
+def quiet_scan_stream(s, d):
+    docs = _versions(s, d).withColumn("at", F.timestamp_millis("ms")).drop("ms")
+    stream = sliced(s, docs, "versions", "at", after=_ending(docs, "at", doc=-1, version=-1, text=""))()
+    quiet = timed.quiet_stream(stream, "doc", "version", "at", "text")
+    found = flows.scan_stream(quiet, ["doc", "version"], "text")
+    return run_to_table(found.select("doc", "version", "seq", "kind", "start", "end"), "quiet_scan")
+
+
+def restored_with_vault(s, d):
+    """Redacted turns in pieces that break tokens, and the vault as a second stream that comes five seconds later."""
+    redacted, _, vault = tier1(s, d)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("session_id"))
+    cut = redacted.select("session_id", "request_id", "msg_idx", F.posexplode(F.array(*[
+        F.expr(f"substring(text, cast(length(text) * {i} / 3 as int) + 1, cast(length(text) * {i + 1} / 3 as int) - cast(length(text) * {i} / 3 as int))")
+        for i in range(3)])).alias("part", "delta"))
+    pieces = cut.select("session_id", "request_id", (F.col("msg_idx") * 3 + F.col("part")).cast("bigint").alias("seq"), "delta", at.alias("at"))
+    known = vault.select("session_id", "pseudonym", "plaintext", (at + F.expr("interval 5 seconds")).alias("at"))
+    pieces, known = materialise(pieces, "pieces"), materialise(known, "vault")
+    chunks = sliced(s, pieces, "chunks", "at", after=_ending(pieces, "at", session_id=-1, request_id=-1, seq=0, delta=""))()
+    rows = sliced(s, known, "known", "at")()
+    out = run_to_table(timed.restore_with_vault(chunks, rows, "session_id", "request_id", "seq", "delta", "at"), "restored")
+    ordered = out.withColumn("place", F.col("seq") * 2 + F.col("piece"))
+    return assemble_text(ordered.where("session_id >= 0"), "request_id", "place", "delta").select("request_id", F.col("delta").alias("text"))
+
+
+def _register_timed(c: Catalog) -> None:
+    c.add("stream_optout_join", optout_two_streams, c.oracles["optout_requests"])
+    quiet = (
+        f"(select doc, version, text from (select doc_id // 3 as doc, doc_id as version, text, lead({VERSION_MS}) over w - ({VERSION_MS}) as gap "
+        f"from {DOCUMENTS_SQL} window w as (partition by doc_id // 3 order by {VERSION_MS}, doc_id)) where gap is null or gap >= 500)"
+    )
+    c.add("quiet_versions", lambda s, d: timed.quiet_versions(_versions(s, d), "doc", "version", "ms").select("doc", "version"),
+          f"select doc, version from {quiet}")
+    found = findings_sql(f"(select version as doc_id, text from {quiet})", "doc_id")
+    c.add("stream_quiet_scan", quiet_scan_stream, f'select doc_id // 3 as doc, doc_id as version, seq, kind, start, "end" from {found}')
+    c.add("stream_restore_with_vault", restored_with_vault,
+          f"select request_id, string_agg(text, '' order by msg_idx) as text from {PARTS_SQL} group by 1")

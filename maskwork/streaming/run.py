@@ -27,8 +27,11 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available in append mode and read the written rows back."""
+def run_to_table(stream: DataFrame, name: str, progress: list | None = None) -> DataFrame:
+    """Process everything available in append mode and read the written rows back.
+
+    ``progress`` receives the query's progress reports, which tell how many rows its state holds.
+    """
     spark = stream.sparkSession
     base = shared_dir(spark, name)
     query = (
@@ -37,6 +40,8 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 

@@ -36,6 +36,14 @@ def _run(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str
     return stream.groupBy("k").transformWithStateInPandas(processor, schema, "Append", mode)
 
 
+def move_timer(handle: StatefulProcessorHandle, before: int | None, due: int) -> None:
+    """A timer that is deleted and set for the same time in one batch would be lost."""
+    if before != due:
+        if before is not None:
+            handle.deleteTimer(before)
+        handle.registerTimer(due)
+
+
 class _Bucket(StatefulProcessor):
     def __init__(self, rate: float, burst: float, idle_ms: int | None):
         self.scale, self.unit, self.capacity = bucket_units(rate, burst)
@@ -58,9 +66,7 @@ class _Bucket(StatefulProcessor):
         whole, part = divmod(int(full_at), self.scale)
         self.state.update((base + whole, part, last_ms))
         if self.idle_ms is not None:
-            if old:
-                self.handle.deleteTimer(old[2] + self.idle_ms)
-            self.handle.registerTimer(last_ms + self.idle_ms)
+            move_timer(self.handle, old[2] + self.idle_ms if old else None, last_ms + self.idle_ms)
         yield pd.DataFrame({
             "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
             "retry_after": missing / (self.scale * 1_000_000.0),
@@ -95,11 +101,13 @@ def token_bucket_stream(
 
 
 class _Storm(StatefulProcessor):
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+    def __init__(self, window_us: int, tie: str, idle_ms: int | None):
+        self.window_us, self.tie, self.idle_ms = window_us, tie, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("storm", "last_emit bigint, pending bigint")
+        self.newest = handle.getValueState("newest", f"us bigint, tie {self.tie}")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _ordered(rows)
@@ -113,19 +121,43 @@ class _Storm(StatefulProcessor):
             self.state.update((int(t[at[-1]]), int(len(t) - 1 - at[-1])))
         else:
             self.state.update((int(last), int(pending + len(t))))
+        if self.idle_ms is not None:
+            before = int(self.newest.get()[0]) // 1000 + self.idle_ms if self.newest.exists() else None
+            end = pdf.iloc[-1]
+            self.newest.update((int(end["us"]), end["tie"].item() if hasattr(end["tie"], "item") else end["tie"]))
+            move_timer(self.handle, before, int(end["us"]) // 1000 + self.idle_ms)
         out = pdf.iloc[at][["k", "us", "tie"]].copy()
         out["count"] = counts
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        pending = self.state.get()[1]
+        us, tie = self.newest.get()
+        self.state.clear()
+        self.newest.clear()
+        if pending:
+            yield pd.DataFrame({"k": [key[0]], "us": [us], "tie": [tie], "count": [pending]}, dtype=object)
+
     def close(self) -> None:
         pass
 
 
-def fold_storms_stream(stream: DataFrame, key: str, us: str, tie: str, window_us: int = 10_000_000) -> DataFrame:
-    """Streaming form of ``fold_storms``."""
-    rows = _narrow(stream, key, us, tie)
+def fold_storms_stream(
+    stream: DataFrame, key: str, us: str, tie: str, window_us: int = 10_000_000, event_time: str | None = None,
+    max_idle_ms: int | None = None,
+) -> DataFrame:
+    """Streaming form of ``fold_storms``.
+
+    With ``event_time`` (a watermarked column) and ``max_idle_ms``, at least the window, a key that has been idle for
+    that long leaves the state. What it had folded and not yet reported comes out then, as one row at its last event;
+    without them it waits for the key's next event, as in the batch form.
+    """
+    idle_ms = max_idle_ms if event_time else None
+    if idle_ms is not None and idle_ms * 1000 < window_us:
+        raise ValueError("max_idle_ms is shorter than the window")
+    rows = _narrow(stream, key, us, tie, *([event_time] if event_time else []))
     k, t = _types(rows)
-    out = _run(rows, _Storm(window_us), f"k {k}, us bigint, tie {t}, count bigint")
+    out = _run(rows, _Storm(window_us, t, idle_ms), f"k {k}, us bigint, tie {t}, count bigint", "None" if idle_ms is None else "EventTime")
     return out.withColumnsRenamed({"k": key, "us": us, "tie": tie})
 
 
@@ -215,18 +247,30 @@ def optout_stream(stream: DataFrame, session: str, us: str, tie: str, is_grant:
 
 
 class _Cut(StatefulProcessor):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ended = handle.getValueState("ended", "seq bigint")
+        self.handle = handle
+        self.ended = handle.getValueState("ended", "due_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", ignore_index=True)
-        if self.ended.exists():
-            return
         bad = np.flatnonzero(pdf["err"].notna().to_numpy())
-        if len(bad):
-            self.ended.update((int(pdf["seq"].iloc[bad[0]]),))
-            pdf = pdf.iloc[: bad[0] + 1]
-        yield pdf
+        over = self.ended.exists()
+        if over or len(bad):
+            due = 0
+            if self.idle_ms is not None:
+                before = self.ended.get()[0] if over else None
+                due = max(int(pdf["ms"].max()) + self.idle_ms, before or 0)
+                move_timer(self.handle, before, due)
+            self.ended.update((due,))
+        if not over:
+            yield pdf.iloc[: bad[0] + 1 if len(bad) else None][["k", "seq", "delta", "err"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.ended.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -239,10 +283,18 @@ def cut_on_error(chunks: DataFrame, stream: str, seq: str, err: str) -> DataFram
     return kept.drop("__end")
 
 
-def cut_on_error_stream(chunks: DataFrame, stream: str, seq: str, delta: str, err: str) -> DataFrame:
-    """Streaming form: after an error chunk the rest of its stream is dropped."""
-    rows = chunks.select(F.col(stream).alias("k"), F.col(seq).alias("seq"), F.col(delta).alias("delta"), F.col(err).alias("err"))
+def cut_on_error_stream(
+    chunks: DataFrame, stream: str, seq: str, delta: str, err: str, event_time: str | None = None, max_idle_ms: int | None = None
+) -> DataFrame:
+    """Streaming form: after an error chunk the rest of its stream is dropped.
+
+    With ``event_time`` (a watermarked column) and ``max_idle_ms``, the mark of an ended stream goes when no chunk has come
+    for that long; a stream of that name that starts later is a new one.
+    """
+    idle_ms = max_idle_ms if event_time else None
+    ms = [F.unix_millis(event_time).alias("ms"), F.col(event_time)] if idle_ms is not None else []
+    rows = chunks.select(F.col(stream).alias("k"), F.col(seq).alias("seq"), F.col(delta).alias("delta"), F.col(err).alias("err"), *ms)
     k = dict(rows.dtypes)["k"]
     seq_type = dict(rows.dtypes)["seq"]
-    out = _run(rows, _Cut(), f"k {k}, seq {seq_type}, delta string, err string")
+    out = _run(rows, _Cut(idle_ms), f"k {k}, seq {seq_type}, delta string, err string", "None" if idle_ms is None else "EventTime")
     return out.withColumnsRenamed({"k": stream, "seq": seq, "delta": delta, "err": err})

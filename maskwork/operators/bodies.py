@@ -84,8 +84,9 @@ def redact_json_bodies(bodies: DataFrame, request: str, body: str, found: DataFr
             out, parsed = [], []
             for text, listed in zip(bodies_, lists_):
                 by_place = {(p["msg_idx"], p["blk_idx"]): list(zip(p["old"], p["new"])) for p in listed or []}
-                out.append(spliced(text, by_place) if by_place and text is not None else text)
-                parsed.append(user_texts(text) is not None)
+                texts = user_texts(text)
+                out.append(spliced(text, texts, by_place) if by_place and texts else text)
+                parsed.append(texts is not None)
             columns = [pa.array(out, pa.string()) if n == body else batch.column(n) for n in batch.schema.names if n != "__pairs"]
             names = [n for n in batch.schema.names if n != "__pairs"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(parsed, pa.bool_())], [*names, "parsed"])

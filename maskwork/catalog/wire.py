@@ -13,6 +13,7 @@ from maskwork.functions import classify as C
 from maskwork.operators import routing as R
 from maskwork.operators import stages as X
 from maskwork.plans import corpus, gateway, inspection
+from maskwork.session import prepare
 from maskwork.sources import wire
 from maskwork.sources.corpus import read_table
 
@@ -390,9 +391,15 @@ def register(c: Catalog) -> None:
     )
     # --- extension points
     c.add(
-        "scan_findings_sql", lambda s, d: X.register_scan_function(s, documents(s, d), "doc_id", "text", "scan_findings"),
+        "scan_findings_sql", lambda s, d: X.scan_totals_by_kind(s, documents(s, d), "doc_id", "text", "findings_of_documents"),
         f"select kind, count(*) as n, count(distinct doc_id) as docs from {FINDINGS} group by kind",
     )
+    def scan_function(s, d):
+        X.register_scan_function(prepare(s))
+        documents(s, d).createOrReplaceTempView("scanned_documents")
+        return s.sql("SELECT d.doc_id, f.* FROM scanned_documents d, LATERAL scan_findings(d.text) f")
+
+    c.add("scan_function", scan_function, f"select * from {FINDINGS}")
     c.add(
         "custom_stages",
         lambda s, d: X.run_stages(

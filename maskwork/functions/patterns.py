@@ -9,11 +9,14 @@ always a word character needs only one look-around, which is about twice as fast
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwork.functions.text import raw_literal
+
 # The detection patterns (must equal the specified detectors).
 API_KEY = r"\b(?:sk|pk|api[_-]?key|token|secret)[_-][A-Za-z0-9\-]{16,64}\b"
 # The editor's form of the same pattern takes any case.
@@ -104,7 +107,7 @@ class Pattern:
     edges: tuple[str, ...] = ()
     lead: str = ""
     group: int = 0
-    gate: Callable[[Column], Column] | None = None
+    gate: Gate | None = None
     validate: Callable[[Column], Column] | None = None
 
     @property
@@ -112,18 +115,29 @@ class Pattern:
         return to_java(self.regex, self.edges, self.lead)
 
 
-def _has_any(*words: str) -> Callable[[Column], Column]:
-    def gate(text: Column) -> Column:
-        cond = F.contains(text, F.lit(words[0]))
-        for w in words[1:]:
-            cond = cond | F.contains(text, F.lit(w))
-        return cond
+class Gate:
+    """A cheap check that every text with a match passes: some word in it, or a shorter pattern."""
+
+    def __init__(self, *words: str, java: str | None = None) -> None:
+        self.words, self.java = words, java
+
+    def __call__(self, text: Column) -> Column:
+        if self.java is not None:
+            return F.rlike(text, F.lit(self.java))
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in self.words])
 
-    return gate
+    def sql(self, text: str) -> str:
+        if self.java is not None:
+            return f"rlike({text}, {raw_literal(self.java)})"
+        return "(" + " OR ".join(f"contains({text}, {raw_literal(w)})" for w in self.words) + ")"
 
 
-def _matches(java: str) -> Callable[[Column], Column]:
-    return lambda text: F.rlike(text, F.lit(java))
+def luhn_sql(raw: str) -> str:
+    """The SQL of ``luhn_valid``."""
+    digits = f"regexp_replace({raw}, '[^0-9]', '')"
+    value = "cast(d__ as int) * if(i__ % 2 = 0, 1, 2) - if(i__ % 2 = 1 and cast(d__ as int) > 4, 9, 0)"
+    total = f"aggregate(transform(split(reverse({digits}), ''), (d__, i__) -> {value}), 0, (t__, x__) -> t__ + x__)"
+    return f"coalesce(case when length({digits}) between 13 and 19 then {total} % 10 = 0 end, false)"
 
 
 def luhn_valid(raw: Column) -> Column:
@@ -141,20 +155,20 @@ def luhn_valid(raw: Column) -> Column:
 
 
 _DIGIT = r"(?=\d)"
-_PASS_GATE = _matches("(?i)p(?:a[sſ]|w|[sſ]d)")
+_PASS_GATE = Gate(java="(?i)p(?:a[sſ]|w|[sſ]d)")
 
 BUILTIN: tuple[Pattern, ...] = (
-    Pattern("api_key", API_KEY, ("start", "any"), "(?=[spat])", gate=_matches(r"[_-][A-Za-z0-9\-]{16}")),
-    Pattern("aws_key", AWS_KEY, ("start", "end"), gate=_has_any("AKIA")),
+    Pattern("api_key", API_KEY, ("start", "any"), "(?=[spat])", gate=Gate(java=r"[_-][A-Za-z0-9\-]{16}")),
+    Pattern("aws_key", AWS_KEY, ("start", "end"), gate=Gate("AKIA")),
     Pattern("github_token", GITHUB_TOKEN, ("start", "end"), "(?=g)",
-            gate=_has_any("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
-    Pattern("private_key", PRIVATE_KEY, gate=_has_any("PRIVATE KEY-----")),
+            gate=Gate("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    Pattern("private_key", PRIVATE_KEY, gate=Gate("PRIVATE KEY-----")),
     Pattern("credit_card", CREDIT_CARD, ("start", "any"), _DIGIT, validate=luhn_valid),
     Pattern("ssn", SSN, ("start", "end"), _DIGIT),
-    Pattern("email", EMAIL, ("any", "end"), "(?=[A-Za-z0-9._%+\\-])", gate=_has_any("@")),
+    Pattern("email", EMAIL, ("any", "end"), "(?=[A-Za-z0-9._%+\\-])", gate=Gate("@")),
     Pattern("phone", PHONE, ("end",), r"(?=[+(\d])"),
     Pattern("ip_address", IP_ADDRESS, ("start", "end"), _DIGIT),
-    Pattern("url_path", URL_PATH, ("start",), "(?=h)", gate=_has_any("http://", "https://")),
+    Pattern("url_path", URL_PATH, ("start",), "(?=h)", gate=Gate("http://", "https://")),
 )
 
 PASSWORDS: tuple[Pattern, ...] = (

@@ -11,20 +11,18 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwork.functions.patterns import BUILTIN, INTENT_PHRASES, PASSWORDS, Pattern, to_java
-from maskwork.functions.text import byte_slice, located_matches
+from maskwork.functions.patterns import BUILTIN, INTENT_PHRASES, PASSWORDS, Pattern, luhn_sql, luhn_valid, to_java
+from maskwork.functions.text import byte_slice, located_sql, raw_literal
 
 FINDING = "struct<kind:string,ord:int,start:int,end:int,text:string>"
 _NONE = f"array<{FINDING}>"
 INTENT_WINDOW = 80
 
 
-def raw_matches(text: Column, pattern: Pattern) -> Column:
-    """Matched strings of one pattern, NULL where the cheap pre-check rules them out."""
-    hits = F.regexp_extract_all(text, F.lit(pattern.java), F.lit(pattern.group))
-    if pattern.gate is None:
-        return hits
-    return F.when(pattern.gate(text), hits)
+def matches_sql(text: str, pattern: Pattern) -> str:
+    """SQL for the matched strings of one pattern, NULL where the cheap pre-check rules them out."""
+    hits = f"regexp_extract_all({text}, {raw_literal(pattern.java)}, {pattern.group})"
+    return hits if pattern.gate is None else f"case when {pattern.gate.sql(text)} then {hits} end"
 
 
 def is_placeholder(value: Column) -> Column:
@@ -33,13 +31,22 @@ def is_placeholder(value: Column) -> Column:
     return low.isin("xxx", "***", "<redacted>") | low.startswith("[") | low.startswith("<")
 
 
-def _locate(text: Column, matches: Column, pattern: Pattern) -> Column:
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    found = F.when(F.size(matches) > 0, located_matches(text, matches, pattern.java, pattern.group))
-    found = F.coalesce(found, empty)
-    if pattern.validate is not None:
-        found = F.filter(found, lambda f: pattern.validate(f["text"]))
-    return found
+_LOCATED = "array<struct<start:int,end:int,text:string>>"
+
+
+def _located_sql(text: str, matches: str, pattern: Pattern) -> str:
+    found = f"case when size({matches}) > 0 then {located_sql(text, matches, pattern.java, pattern.group)} end"
+    return f"coalesce({found}, cast(array() as {_LOCATED}))"
+
+
+def _tag_sql(found: str, kind: str) -> str:
+    return (f"transform({found}, (f__, o__) -> named_struct('kind', {raw_literal(kind)}, 'ord', o__, "
+            "'start', f__.start, 'end', f__.end, 'text', f__.text))")
+
+
+def _locate(text: str, matches: str, pattern: Pattern) -> Column:
+    found = F.expr(_located_sql(text, matches, pattern))
+    return found if pattern.validate is None else F.filter(found, lambda f: pattern.validate(f["text"]))
 
 
 def _tag(found: Column, kind: str) -> Column:
@@ -52,6 +59,22 @@ def _tag(found: Column, kind: str) -> Column:
     )
 
 
+_PLACEHOLDER_SQL = "(lower({0}) in ('xxx', '***', '<redacted>') or startswith(lower({0}), '[') or startswith(lower({0}), '<'))"
+
+
+def findings_sql(text: str, matches: Sequence[str], passwords: Sequence[str]) -> str:
+    """SQL for the findings of the built-in patterns, whose matches the names hold, in scan order."""
+    parts = []
+    for name, pattern in zip(matches, BUILTIN, strict=True):
+        found = _located_sql(text, name, pattern)
+        if pattern.validate is luhn_valid:
+            found = f"filter({found}, c__ -> {luhn_sql('c__.text')})"
+        parts.append(_tag_sql(found, pattern.kind))
+    both = ", ".join(_located_sql(text, name, pattern) for name, pattern in zip(passwords, PASSWORDS, strict=True))
+    kept = f"filter(array_distinct(concat({both})), p__ -> not {_PLACEHOLDER_SQL.format('p__.text')})"
+    return f"concat({', '.join([*parts, _tag_sql(kept, 'password')])})"
+
+
 def with_findings(
     df: DataFrame,
     text: str,
@@ -69,19 +92,19 @@ def with_findings(
     wanted = None if kinds is None else set(kinds)
     active = [p for p in patterns if wanted is None or p.kind in wanted]
     use_pw = passwords and (wanted is None or "password" in wanted)
-    t = F.col(text)
+    t = f"`{text}`"
     # Two projections: matches first, then offsets, so each pattern runs once on texts
     # without hits and the offset work happens only where there are some.
-    cols = [raw_matches(t, p).alias(f"__m{i}") for i, p in enumerate(active)]
+    cols = [F.expr(matches_sql(t, p)).alias(f"__m{i}") for i, p in enumerate(active)]
     if use_pw:
-        cols += [raw_matches(t, p).alias(f"__w{i}") for i, p in enumerate(PASSWORDS)]
+        cols += [F.expr(matches_sql(t, p)).alias(f"__w{i}") for i, p in enumerate(PASSWORDS)]
     staged = df.select("*", *cols)
     parts = [
-        _tag(_locate(t, F.col(f"__m{i}"), p), p.kind)
+        _tag(_locate(t, f"__m{i}", p), p.kind)
         for i, p in enumerate(active)
     ]
     if use_pw:
-        both = F.concat(*[_locate(t, F.col(f"__w{i}"), p) for i, p in enumerate(PASSWORDS)])
+        both = F.concat(*[_locate(t, f"__w{i}", p) for i, p in enumerate(PASSWORDS)])
         kept = F.filter(F.array_distinct(both), lambda f: ~is_placeholder(f["text"]))
         parts.append(_tag(kept, "password"))
     if not parts:

@@ -6,11 +6,11 @@ its threshold and otherwise shuffles, splitting skewed partitions at run time.
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwork.functions.text import bound
+
 KEY_PREFIX = "sk-gw-"
 GRANT_TTL_US = 3_600_000_000
 NONCE_TTL_US = 300_000_000
@@ -109,11 +109,6 @@ def ipv4_number(ip: Column) -> Column:
     return ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3]
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def ipv6_groups(ip: Column) -> Column:
     """The eight 16-bit groups of an IPv6 address, NULL for anything else.
 

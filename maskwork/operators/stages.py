@@ -7,7 +7,8 @@ from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwork.operators.detect import findings
+from maskwork.functions.patterns import BUILTIN, PASSWORDS
+from maskwork.operators.detect import findings, findings_sql, matches_sql
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,24 @@ def create_scan_view(
     findings(docs, [key], text, kinds=kinds).createOrReplaceTempView(name)
 
 
-def register_scan_function(
+def scan_totals_by_kind(
     spark: SparkSession, docs: DataFrame, key: str, text: str, name: str, kinds: Iterable[str] | None = None
 ) -> DataFrame:
     """Totals per kind, asked in SQL over the scan view."""
     create_scan_view(docs, key, text, name, kinds)
     return spark.sql(f"SELECT kind, count(*) AS n, count(DISTINCT {key}) AS docs FROM {name} GROUP BY kind")
+
+
+def register_scan_function(spark: SparkSession, name: str = "scan_findings") -> None:
+    """Make the scan a SQL table function: ``SELECT d.id, f.* FROM docs d, LATERAL scan_findings(d.text) f``.
+
+    It gives one row per finding of all built-in kinds (seq, kind, ord, start, end, text) of any text column, and none for a
+    NULL. The function is SQL over built-in functions, so a query that uses it is scanned without a join or Python.
+    """
+    matches, words = [f"m__.m{i}" for i in range(len(BUILTIN))], [f"m__.w{i}" for i in range(len(PASSWORDS))]
+    fields = [f"'{n.split('.')[1]}', {matches_sql('t', p)}" for n, p in zip(matches + words, BUILTIN + PASSWORDS)]
+    array = f"transform(array(named_struct({', '.join(fields)})), m__ -> {findings_sql('t', matches, words)})[0]"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) "
+        "RETURNS TABLE(seq INT, kind STRING, ord INT, start INT, end INT, text STRING) "
+        f"RETURN SELECT pos, f.kind, f.ord, f.start, f.end, f.text FROM posexplode(case when t is not null then {array} end) AS (pos, f)")

@@ -13,6 +13,8 @@ from maskwork.operators import metrics as A
 from maskwork.operators import ordering as W
 from maskwork.operators import quality as Q
 from maskwork.operators import routing as R
+from maskwork.operators import sketches as S
+from maskwork.session import materialise
 from maskwork.sources.corpus import read_table, spread
 from maskwork.sources.logs import read_logs_from
 
@@ -616,3 +618,112 @@ def register(c: Catalog) -> None:
         "select case when not bad then level end as level, case when bad then 'plain text' else cast(event_id as string) end as msg, case when not bad then field end as field, "
         f"case when not bad then cast(event_id as string) end as n, case when bad then 'not a JSON object' end as error from (select *, event_id % 50 = 7 as bad from {LOGS.sql})",
     )
+    _register_sketches(c)
+    _register_typed_logs(c)
+    _register_routing(c)
+
+
+def _register_sketches(c: Catalog) -> None:
+    """Estimates beside exact figures of the same windows: SQL checks the exact ones and that the estimates are close."""
+    days, labels = 7, ["event_type", "user_id", "outcome"]
+    day = "us // 86400000000"
+
+    def series(s, d):
+        rows = LABELS.df(s, d)
+        estimated = S.rolling_series(materialise(S.series_sketches(rows, "event_type", "us", labels[1:]), "series"), ["event_type"], days)
+        each = rows.select(*labels, F.floor(F.col("us") / S.DAY_US).cast("bigint").alias("day")).distinct()
+        exact = S.over_days(each, ["event_type"], days).groupBy("event_type", "day").agg(F.count_distinct(*labels).alias("exact"))
+        return estimated.join(exact, ["event_type", "day"]).select(
+            "event_type", "day", "exact", (F.abs(F.col("series") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
+
+    ends = f"(select distinct event_type, {day} as day from {LABELS.sql})"
+    c.add("series_sketches", series,
+          f"select e.event_type, e.day, count(distinct (x.user_id, x.outcome)) as exact, true as close from {ends} e join (select *, {day} as own from {LABELS.sql}) x "
+          f"on x.event_type = e.event_type and x.own between e.day - {days - 1} and e.day group by 1, 2")
+
+    slo = Derived("us", "cast(floor(value * 400) as bigint) as n_bytes", "cast(floor(value * 20) as bigint) as ms")
+
+    def latency(s, d):
+        rows = slo.df(s, d).select(A.payload_class(F.col("n_bytes")).alias("class"), "us", "ms")
+        estimated = S.rolling_latency(materialise(S.latency_sketches(rows, ["class"], "us", "ms"), "latency"), ["class"], days)
+        counted = rows.groupBy("class", F.floor(F.col("us") / S.DAY_US).cast("bigint").alias("day"), "ms").agg(F.count("*").alias("n"))
+        beside = S.over_days(counted, ["class"], days).join(estimated, ["class", "day"])
+        ranks = [f(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n") for p in ("p95", "p99") for f, cond in (
+            (F.sum, F.col("ms") <= F.col(p)), (F.sum, F.col("ms") < F.col(p)))]
+        near = (ranks[0] >= 0.94) & (ranks[1] <= 0.96) & (ranks[2] >= 0.98) & (ranks[3] <= 1.0)
+        return beside.groupBy("class", "day", "requests").agg(near.alias("close"))
+
+    classed = f"(select {day} as day, case when n_bytes <= 8192 then 'S' when n_bytes <= 65536 then 'M' else 'L' end as class from {slo.sql})"
+    c.add("latency_sketches", latency,
+          f"select e.class, e.day, count(*) as requests, true as close from (select distinct class, day from {classed}) e join {classed} x "
+          f"on x.class = e.class and x.day between e.day - {days - 1} and e.day group by 1, 2")
+
+
+def _register_typed_logs(c: Catalog) -> None:
+    record = (
+        "named_struct('ts', '2024-01-01T00:00:00Z', 'level', level, 'msg', 'm', 'n', event_id, 'ok', event_id % 2 = 0, 'share', event_id / 4, "
+        "'user', named_struct('name', msg, 'tokens', event_id, 'deep', named_struct('cookie', '', 'list', array(named_struct('password', field), named_struct('password', ''))))"
+        ", 'secrets', array(1, 2), 'tags', array(field, 'a\\nb'))"
+    )
+
+    def logs(s, d):
+        return LOGS.df(s, d).withColumn("fields", F.try_parse_json(F.to_json(F.expr(record))))
+
+    text = "case when schema_of_variant(value) = 'STRING' then variant_get(value, '$', 'string') else to_json(value) end"
+    rows = {
+        "n": ("cast(event_id as varchar)", "BIGINT"), "ok": ("case when event_id % 2 = 0 then 'true' else 'false' end", "BOOLEAN"), "user.name": (sanitize_sql("msg"), "STRING"),
+        "user.tokens": ("'<redacted>'", "STRING"), "user.deep.cookie": ("'<empty>'", "STRING"),
+        "user.deep.list[0].password": (redact_sql("field"), "STRING"), "user.deep.list[1].password": ("'<empty>'", "STRING"),
+        "secrets": ("'<redacted>'", "STRING"), "tags[0]": (sanitize_sql("field"), "STRING"), "tags[1]": ("'a b'", "STRING"),
+    }
+    c.add(
+        "redact_nested_log_fields",
+        lambda s, d: L.redact_variant_fields(logs(s, d), "event_id", "fields").where("path <> 'share'").select(
+            "event_id", "path", F.expr(text).alias("shown"), F.expr("schema_of_variant(value)").alias("kind")),
+        " union all ".join(f"select event_id, '{p}' as path, {v} as shown, '{k}' as kind from {LOGS.sql}" for p, (v, k) in rows.items()),
+    )
+
+
+ODD_POLICIES = (
+    R.Policy("broken", "candidate.kind = "), R.Policy("unknown-column", "no_such_column = 1"),
+    R.Policy("cast", "cast(model as int) > 3 and candidate.pos = 1"),
+    R.Policy("division", "candidate.kind = 'openai' and 10 / (request_id % 3) > 4"),
+    R.Policy("named", verdict="case request_id % 4 when 0 then 'anthropic-default' when 1 then 'nobody' when 2 then model end"),
+    R.Policy("rest", "candidate.health = 'healthy' and request_id % 5 > 0"),
+)
+
+
+def _register_routing(c: Catalog) -> None:
+    def as_of(s, d):
+        requests = AUDIT.df(s, d).select("request_id", "model", "us")
+        return R.snapshots_as_of(requests, SENDS.df(s, d), "us", "upstream", "status", "net_error")
+
+    ids = [(p[0], p[1]) for p in R.PROVIDERS]
+    counts = ", ".join(
+        f"count(*) filter (where upstream = '{i}') over w as n{n}, count(*) filter (where upstream = '{i}' and {SQL_FAILED}) over w as e{n}" for n, i in ids)
+    both = (f"select us, null as request_id, null as model, upstream, status, net_error from {SENDS.sql} "
+            f"union all select us, request_id, model, null, null, null from {AUDIT.sql}")
+    asof = f"(select * from (select *, {counts} from ({both}) window w as (order by us range between unbounded preceding and current row)) where request_id is not null)"
+    health = "case when n{0} < 10 then 'healthy' when e{0} * 1.0 / n{0} > 0.5 then 'unavailable' when e{0} * 1.0 / n{0} > 0.1 then 'degraded' else 'healthy' end"
+    c.add(
+        "route_candidates_as_of",
+        lambda s, d: as_of(s, d).select("request_id", F.explode("candidates").alias("c")).select(
+            "request_id", "c.id", "c.health", F.round("c.error_rate", 6).alias("error_rate")),
+        " union all ".join(f"select request_id, '{i}' as id, {health.format(n)} as health, round(case when n{n} > 0 then e{n} * 1.0 / n{n} else 0 end, 6)::double as error_rate from {asof}"
+                           for n, i in ids),
+    )
+    healths = ", ".join(f"{health.format(n)} as h{n}" for n, _ in ids)
+    first = "case when h0 = 'healthy' then 'openai-default' when h1 = 'healthy' then 'ollama-local' when h2 = 'healthy' then 'anthropic-default' end"
+    picks = (
+        "case when request_id % 3 > 0 and 10.0 / (request_id % 3) > 4 then 'openai-default' end as p3, "
+        "case when request_id % 4 = 0 then 'anthropic-default' end as p4, "
+        f"case when request_id % 5 > 0 then {first} end as p5"
+    )
+    c.add(
+        "route_with_failing_policies",
+        lambda s, d: R.route(as_of(s, d), ODD_POLICIES).select("request_id", "upstream", "policy", "trace", "policy_errors", "route_error"),
+        "select request_id, coalesce(p3, p4, p5) as upstream, case when p3 is not null then 'division' when p4 is not null then 'named' when p5 is not null then 'rest' end as policy, "
+        "'broken,unknown-column,cast,division' || case when p3 is not null then '' when p4 is not null then ',named' else ',named,rest' end as trace, "
+        "'broken,unknown-column,cast' || case when request_id % 3 = 0 then ',division' else '' end || case when p3 is null and request_id % 4 = 3 then ',named' else '' end as policy_errors, "
+        f"case when coalesce(p3, p4, p5) is null then 'cap_mismatch' end as route_error from (select request_id, {picks} from (select request_id, {healths} from {asof}))",
+    )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.functions.patterns import SECRET_IN_LOG
 from maskwork.functions.text import byte_slice
+from maskwork.session import materialise
 
 MAX_BYTES = 1024
 # Parts of field names that mark a field as sensitive, and the log levels.
@@ -58,6 +62,43 @@ def redact_nested_fields(fields: Column) -> Column:
     )
 
 
+def redact_variant_fields(logs: DataFrame, key: str, fields: str, skip: Sequence[str] = ("ts", "level", "msg")) -> DataFrame:
+    """key, path, value (VARIANT): every leaf of the ``fields`` of each log, redacted, whatever their depth and type.
+
+    A sensitive name at any depth hides its value: a string becomes its length and hash, all else, whole objects and
+    lists too, ``<redacted>``. Other strings are sanitized, also inside lists; numbers, booleans and nulls keep their
+    type; an empty object or list is a leaf. Paths read ``a.b[0]``. Top-level names in ``skip`` are left out. One pass per
+    level of nesting, none with a shuffle; each level's open objects are written for the next one. ``logs`` has one
+    row per log and a NULL gives no rows.
+    """
+    spark = logs.sparkSession
+    open_ = logs.select(F.col(key).alias("k"), F.lit("").alias("path"), F.col(fields).alias("v")).where(F.col("v").isNotNull())
+    done, depth = [], 0
+    while True:
+        inside = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("name"), F.col("value").alias("x")))
+        if not depth:
+            inside = inside.where(~F.coalesce(F.col("name").isin(*skip), F.lit(False)))
+        at = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
+            F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
+        kind = F.when(F.is_variant_null("x"), "VOID").otherwise(F.regexp_extract(F.schema_of_variant("x"), "^[A-Z]+", 0))
+        text = F.try_variant_get("x", "$", "string")
+        is_text, hidden = F.col("kind") == "STRING", F.coalesce(is_sensitive(F.col("name")), F.lit(False))
+        empty = F.to_json("x").isin("{}", "[]")
+        level = inside.select("k", at.alias("path"), "name", "x", kind.alias("kind"))
+        shown = F.when(hidden & is_text, redact_secret(text)).when(hidden, "<redacted>").when(is_text, sanitize(text))
+        level = materialise(level.select(
+            "k", "path", "x", shown.alias("shown"), (~hidden & F.col("kind").isin("OBJECT", "ARRAY") & ~empty).alias("more")), "log_level")
+        done.append(level.where(~F.col("more")).select(
+            "k", "path", F.when(F.col("shown").isNull(), F.col("x")).otherwise(F.to_variant_object(F.array("shown"))).alias("x"), F.col("shown").isNotNull().alias("text")))
+        open_ = level.where("more").select("k", "path", F.col("x").alias("v"))
+        depth += 1
+        if open_.isEmpty():
+            break
+    leaves = reduce(DataFrame.union, done)
+    value = F.when(F.col("text"), F.variant_get("x", "$[0]", "variant")).otherwise(F.col("x"))
+    return leaves.select(F.col("k").alias(key), "path", value.alias("value"))
+
+
 def body_reference(body: Column) -> Column:
     """Length and hash of a body."""
     return F.concat(

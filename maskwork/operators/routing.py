@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskwork.functions.classify import send_failed, trim_space
 from maskwork.functions.kinds import ALL_KINDS, parse_action
@@ -16,10 +19,12 @@ MIN_SENDS = 10
 
 @dataclass(frozen=True)
 class Policy:
-    """A routing policy as a Spark SQL predicate over request columns and ``candidate``."""
+    """A routing policy: a Spark SQL predicate over request columns and ``candidate``, whose first hit is picked, or a
+    ``verdict``, an expression over request columns that names an upstream."""
 
     policy_id: str
-    predicate: str
+    predicate: str = ""
+    verdict: str = ""
 
 
 # The shipped policies and providers.
@@ -72,6 +77,16 @@ def upstream_health(sends: DataFrame, upstream: str, status: str, net_error: str
     return counted.withColumn("health", health(F.col("n_sends"), F.col("n_errors")))
 
 
+def _candidate(provider: tuple, n: Column, e: Column) -> Column:
+    pos, pid, kind, _, max_context, cost_in, cost_out = provider
+    return F.struct(
+        F.lit(pos).alias("pos"), F.lit(pid).alias("id"), F.lit(kind).alias("kind"), health(n, e).alias("health"),
+        F.lit("sse").alias("streaming"), F.lit(max_context).alias("max_context"),
+        F.lit(cost_in).alias("cost_in"), F.lit(cost_out).alias("cost_out"),
+        F.when(n > 0, e / n).otherwise(0.0).alias("error_rate"),
+    )
+
+
 def snapshots(
     sends: DataFrame, upstream: str, status: str, net_error: str, period: str, providers: Sequence[tuple] = PROVIDERS
 ) -> DataFrame:
@@ -89,29 +104,52 @@ def snapshots(
     per = sends.groupBy(F.col(period).alias("snapshot")).agg(*counts)
     before = Window.orderBy("snapshot").rowsBetween(Window.unboundedPreceding, -1)
     entries = []
-    for pos, pid, kind, _, max_context, cost_in, cost_out in providers:
-        n = F.coalesce(F.sum(f"__n{pos}").over(before), F.lit(0).cast("bigint"))
-        e = F.coalesce(F.sum(f"__e{pos}").over(before), F.lit(0).cast("bigint"))
-        entries.append(F.struct(
-            F.lit(pos).alias("pos"), F.lit(pid).alias("id"), F.lit(kind).alias("kind"), health(n, e).alias("health"),
-            F.lit("sse").alias("streaming"), F.lit(max_context).alias("max_context"),
-            F.lit(cost_in).alias("cost_in"), F.lit(cost_out).alias("cost_out"),
-            F.when(n > 0, e / n).otherwise(0.0).alias("error_rate"),
-        ))
+    for p in providers:
+        n = F.coalesce(F.sum(f"__n{p[0]}").over(before), F.lit(0).cast("bigint"))
+        e = F.coalesce(F.sum(f"__e{p[0]}").over(before), F.lit(0).cast("bigint"))
+        entries.append(_candidate(p, n, e))
     return per.select("snapshot", F.array(*entries).alias("candidates"))
 
 
+@contextmanager
+def _null_for_errors(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are analyzed inside give NULL for a failed cast, a division by zero or a missing element."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _pick(policy: Policy, candidates: str) -> tuple[str, str]:
+    """SQL for the id a policy picks and for whether it is in error."""
+    if policy.verdict:
+        return f"get(filter({candidates}, candidate -> candidate.id = ({policy.verdict})), 0).id", f"({policy.verdict}) is null"
+    wrong = f"exists({candidates}, candidate -> ({policy.predicate}) is null)"
+    return f"case when not {wrong} then get(filter({candidates}, candidate -> {policy.predicate}), 0).id end", wrong
+
+
 def route(requests: DataFrame, policies: Sequence[Policy] = SHIPPED_POLICIES, candidates: str = "candidates") -> DataFrame:
-    """Add upstream, policy, trace and route_error.
+    """Add upstream, policy, trace, policy_errors and route_error.
 
     The first policy that picks a candidate wins; the trace lists the policies tried.  Each
     row carries its frozen candidate array, so routing is a projection and builds no pairs.
+
+    A policy fails alone: one that names an unknown column or does not parse fails for every request, one whose predicate is
+    NULL for some candidate (a missing value, a failed cast, a division by zero) for that request. A failed policy and a
+    verdict that names no candidate are passed over; ``policy_errors`` lists the failed ones among those tried. Whole
+    numbers that overflow inside a predicate wrap.
     """
     picks, step = [], requests
-    for i, p in enumerate(policies):
-        name = f"__pick{i}"
-        step = step.withColumn(name, F.expr(f"get(filter({candidates}, candidate -> {p.predicate}), 0).id"))
-        picks.append(name)
+    with _null_for_errors(requests.sparkSession):
+        for i, p in enumerate(policies):
+            pick, wrong = _pick(p, candidates)
+            try:
+                step = step.withColumns({f"__pick{i}": F.expr(pick), f"__wrong{i}": F.coalesce(F.expr(wrong), F.lit(False))})
+            except (AnalysisException, ParseException):
+                step = step.withColumns({f"__pick{i}": F.lit(None).cast("string"), f"__wrong{i}": F.lit(True)})
+            picks.append(f"__pick{i}")
     ids = [p.policy_id for p in policies]
     chosen = F.coalesce(*[F.col(n) for n in picks])
     policy, trace = None, None
@@ -121,15 +159,54 @@ def route(requests: DataFrame, policies: Sequence[Policy] = SHIPPED_POLICIES, ca
         policy = F.when(cond, F.lit(ids[i])) if policy is None else policy.when(cond, F.lit(ids[i]))
         trace = F.when(cond, tried) if trace is None else trace.when(cond, tried)
     empty = F.coalesce(F.size(candidates), F.lit(0)) <= 0
+    # a policy behind the chosen one is not tried
+    failed = [F.when(F.col(f"__wrong{i}") & (F.coalesce(*[F.col(n) for n in picks[:i]], F.lit(None).cast("string")).isNull()), F.lit(ids[i]))
+              for i in range(len(ids))]
     return (
         step.withColumn("upstream", chosen)
         .withColumn("policy", policy)
         .withColumn("trace", F.when(empty, F.lit("")).otherwise(trace.otherwise(F.lit(",".join(ids)))))
+        .withColumn("policy_errors", F.when(empty, F.lit("")).otherwise(F.concat_ws(",", *failed)))
         .withColumn("route_error", F.when(chosen.isNull(), F.lit("cap_mismatch")))
-        .drop(*picks)
+        .drop(*picks, *[f"__wrong{i}" for i in range(len(ids))])
     )
 
 
+def snapshots_as_of(
+    requests: DataFrame, sends: DataFrame, us: str, upstream: str, status: str, net_error: str,
+    providers: Sequence[tuple] = PROVIDERS, slice_us: int = 3_600_000_000
+) -> DataFrame:
+    """Requests with ``candidates`` as they stood at each request's own time, sends of that very time included.
+
+    An as-of join by a union: sends and requests run in one order of time, and every request carries the counts so far.
+    Time is cut into slices; a slice's totals are one small row, summed over the slices before, and inside a slice
+    the counts run on. So no provider is ever sorted as a whole, and a slice is one task. A request without a time has all
+    providers without a send.
+    """
+    failed = F.coalesce(send_failed(F.col(status), F.col(net_error)), F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    marks = [f(pos, pid) for pos, pid, *_ in providers for f in (
+        lambda pos, pid: (f"__n{pos}", F.col(upstream) == pid), lambda pos, pid: (f"__e{pos}", (F.col(upstream) == pid) & failed))]
+    names = [n for n, _ in marks]
+    moved = sends.where(F.col(us).isNotNull()).select(
+        F.col(us).alias("__us"), F.lit(0).alias("__turn"), F.lit(None).cast(StructType(requests.schema.fields)).alias("__row"),
+        *[F.coalesce(m.cast("bigint"), zero).alias(n) for n, m in marks])
+    asked = requests.where(F.col(us).isNotNull()).select(
+        F.col(us).alias("__us"), F.lit(1).alias("__turn"), F.struct(*requests.columns).alias("__row"), *[zero.alias(n) for n in names])
+    slice_ = F.floor(F.col("__us") / slice_us).cast("bigint").alias("__slice")
+    totals = moved.groupBy(slice_).agg(*[F.sum(n).alias(n) for n in names]).union(
+        asked.select(slice_).distinct().select("__slice", *[zero.alias(n) for n in names])).groupBy("__slice").agg(*[F.sum(n).alias(n) for n in names])
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("__slice", *[F.coalesce(F.sum(n).over(before), zero).alias(f"{n}b") for n in names])
+    inside = Window.partitionBy("__slice").orderBy(F.struct("__us", "__turn"))
+    run = moved.union(asked).withColumn("__slice", slice_).select(
+        "__slice", "__row", "__turn", *[F.sum(n).over(inside).alias(n) for n in names]).where("__turn = 1")
+    counted = run.join(bases, "__slice").select("__row", *[(F.col(n) + F.col(f"{n}b")).alias(n) for n in names])
+    alone = requests.where(F.col(us).isNull()).select(F.struct(*requests.columns).alias("__row"), *[zero.alias(n) for n in names])
+    entries = [_candidate(p, F.col(f"__n{p[0]}"), F.col(f"__e{p[0]}")) for p in providers]
+    return counted.union(alone).select("__row.*", F.array(*entries).alias("candidates"))
+
+
 def covers(required: Column, offered: Column) -> Column:
     """Whether every required modality is among the offered ones."""
     return F.size(F.array_except(required, offered)) == 0

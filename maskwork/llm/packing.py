@@ -96,7 +96,7 @@ def slots(packs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 def _ranked(table: DataFrame, total: int) -> DataFrame:
     """``table`` with the 0-based rank of each piece among those of its length."""
     blocks = max(1, -(-total // BLOCK_ROWS))
-    cut = table.withColumn("__block", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)), F.lit(0)))
+    cut = table.withColumn("__block", F.pmod("__salt", F.lit(blocks))).drop("__salt")
     counts = cut.groupBy("length", "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -112,7 +112,8 @@ def pack(spark: SparkSession, documents: DataFrame, vocabulary: str, width: int
     an empty table gives no rows. Only ``doc_id`` and ``text`` are read. The driver sees the histogram
     (at most ``width`` counts), and the tasks the patterns' ranges, whose number is bounded by it.
     """
-    table = materialise(pieces(documents, vocabulary, width, end), "pieces")
+    # a written random number, not a hash of the id, deals rows to blocks: null and repeated ids spread like all others
+    table = materialise(pieces(documents, vocabulary, width, end).withColumn("__salt", F.floor(F.rand(7) * (1 << 30)).cast("int")), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(slots(patterns(histogram, width)))
 

@@ -6,7 +6,7 @@ buckets and taken once each.  The score is the logistic of
     bias + sum of weights + half of ((sum of vectors) squared - sum of squared vectors)
 
 so that pairs of terms (an insult beside the mention of a group) count beyond what both add
-alone.  The machine is fitted on at most ``fit_rows`` labelled rows, chosen by a hash of the
+alone. Terms take part if they tell something alone or in a pair with another one.  The machine is fitted on at most ``fit_rows`` labelled rows, chosen by a hash of the
 id; everything is scored, whole texts, in one pass over the table.
 """
 
@@ -23,6 +23,7 @@ from maskwork.llm.words import Powers, Words, chunks, plain_table
 PREFIXES = (4, 5)
 FIT_ROWS = 12_000
 BITS = 17
+PAIR_TERMS, PAIR_ROWS = 1024, 10  # terms whose pairs are looked at before fitting, and rows a pair needs
 
 
 def text_terms(texts: list, table: np.ndarray, powers: Powers, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +47,37 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _off(ones: np.ndarray, held: np.ndarray, mean: np.ndarray | float, least: float) -> np.ndarray:
+    """Whether ``ones`` of ``held`` rows are ``least`` standard errors off the share ``mean``."""
+    return np.abs(ones - held * mean) >= least * np.sqrt(np.maximum(held * mean * (1 - mean), 1e-9))
+
+
+def _telling(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, used: np.ndarray, least: float) -> np.ndarray:
+    """Common terms, telling alone or not, that tell something in a pair: where both are there, the share of label 1 lies beyond
+    what either has alone. Telling terms are paired with all common ones."""
+    common = np.union1d(np.argsort(-held, kind="stable")[:PAIR_TERMS], np.flatnonzero(used))
+    common = common[np.argsort(-held[common], kind="stable")][: 2 * PAIR_TERMS]
+    common = np.sort(common[held[common] >= PAIR_ROWS])
+    place = np.full(len(held), -1)
+    place[common] = np.arange(len(common))
+    both, ones = np.zeros((2, len(common), len(common)), np.float32)
+    for at in range(0, len(rows), 1024):
+        part = rows[at : at + 1024]
+        grid = np.zeros((len(part), len(common)), np.float32)
+        own, term = np.repeat(np.arange(len(part)), [len(r) for r in part]), place[np.concatenate(part)]
+        grid[own[term >= 0], term[term >= 0]] = 1
+        both += grid.T @ grid
+        grid1 = grid[labels[at : at + 1024] == 1]
+        ones += grid1.T @ grid1
+    single = np.diag(ones) / np.maximum(np.diag(both), 1)
+    # the share nearest to the pair's own that one of its terms has alone, or that lies between the two
+    low, high = np.minimum(single[:, None], single[None, :]), np.maximum(single[:, None], single[None, :])
+    share = np.clip(ones / np.maximum(both, 1), low, high)
+    pairs = (both >= PAIR_ROWS) & _off(ones, both, np.clip(share, 1e-6, 1 - 1e-6), least)
+    np.fill_diagonal(pairs, False)
+    return common[pairs.any(axis=0)]
+
+
 class FactorizationMachine:
     """Logistic factorization machine, fitted by AdaGrad over small batches."""
 
@@ -66,16 +98,16 @@ class FactorizationMachine:
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, steps: int = 6000, rate: float = 0.2,
             decay: float = 1e-4, least: float = 4.0, batch: int = 64) -> FactorizationMachine:
-        """Terms keep weight 0 unless their share among label 1 is ``least`` standard errors off the mean:
-        of the many rare terms of a corpus, nearly all say nothing about a new text."""
+        """Terms keep weight 0 unless they tell something, alone or in a pair (``_telling``): of the many rare terms of a
+        corpus, nearly all say nothing about a new text."""
         if not len(rows) or labels.min() == labels.max():
             self.bias = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
             return self
         every, mean = np.concatenate(rows), labels.mean()
         held = np.bincount(every, minlength=len(self.weights))
         ones = np.bincount(every, np.repeat(labels, [len(r) for r in rows]), minlength=len(self.weights))
-        used = np.abs(ones - held * mean) >= least * np.sqrt(np.maximum(held * mean * (1 - mean), 1e-9))
-        used &= held >= 3
+        used = _off(ones, held, mean, least) & (held >= 3)
+        used[_telling(rows, labels, held, used, least + 1)] = True
         rows = [r[used[r]] for r in rows]
         epochs = max(4, -(-steps * batch // len(rows)))
         self.vectors[used] = self.rng.normal(0, 0.01, (used.sum(), self.factors))
@@ -128,11 +160,14 @@ def term_rows(documents: DataFrame, labels: DataFrame, bits: int = BITS, fit_row
                 yield pa.RecordBatch.from_arrays([draw.slice(a, b - a), lists, toxic.slice(a, b - a).cast(pa.int32())],
                                                  ["draw", "terms", "toxic"])
 
-    return rows.mapInArrow(terms, "draw bigint, terms array<int>, toxic int").toArrow()
+    # of rows that repeat an id one stays, so at most fit_rows rows reach the driver
+    found = rows.mapInArrow(terms, "draw bigint, terms array<int>, toxic int").groupBy("draw").agg(
+        F.min(F.struct(F.xxhash64("terms").alias("hash"), "terms", "toxic")).alias("one"))
+    return found.select("draw", "one.terms", "one.toxic").toArrow()
 
 
 def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
-    """The machine for these labels. Repeated ids take their highest label; none at all gives an even score."""
+    """The machine for these labels. Repeated ids take their highest label and one of their texts; no label at all gives an even score."""
     table = term_rows(documents, labels, bits, fit_rows)
     rows, label, draw = [], table.column("toxic").to_numpy().astype(np.float64), table.column("draw").to_numpy()
     for chunk in table.column("terms").chunks:

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as public
 import pytest
+from pyspark.sql import functions as F
 from brute import brute_classes, plain_words, prose
 
 from maskwork.llm import decontaminate, near_join, packing, resampling, secrets, substring_dedup, toxicity
@@ -361,11 +362,19 @@ def test_pairs_that_a_linear_model_misses():
         a, b = rng.random(2) < 0.5
         rows.append(np.array([x for x, on in ((1, a), (2, b)) if on] + rng.integers(10, 60, 3).tolist(), np.int64))
         labels.append(float(a != b))
-    machine = toxicity.FactorizationMachine(6).fit([np.unique(r) for r in rows], np.array(labels), least=0.0, steps=12000)
+    machine = toxicity.FactorizationMachine(6).fit([np.unique(r) for r in rows], np.array(labels))
     both = machine.scores(np.array([1, 2, 1, 2]), np.array([0, 0, 1, 2, 4]))
     assert both[1] > 0.8 and both[2] > 0.8 and both[0] < 0.5 and both[3] < 0.1
 
 
+def test_a_repeated_id_brings_one_row_to_the_fit(spark, make):
+    df = make([(1, f"text {i}") for i in range(500)] + [(3, "other"), (4, None)])
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id bigint, toxic int")
+    rows = toxicity.term_rows(df, labels)
+    assert rows.num_rows == 3 and sorted(rows.column("toxic").to_pylist()) == [0, 0, 1]
+    assert toxicity.term_rows(df, labels, fit_rows=2).num_rows == 2
+
+
 def test_toxicity_of_odd_rows(spark, make, edge_rows):
     df, labels = make(edge_rows), spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (77, 0)], "doc_id bigint, toxic int")
     out = toxicity.toxicity(spark, df, labels).collect()
@@ -532,3 +541,19 @@ def mask(text):
             out += text[at:a] + "[SECRET]"
         at = max(at, b)
     return out + text[at:]
+
+
+def test_null_and_repeated_ids_spread_over_the_blocks(spark, make, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 100)
+    rows = [(None, "same words") for _ in range(2000)] + [(7, "same words") for _ in range(2000)] + [(i, "same words") for i in range(10, 2010)]
+    sizes, ranked = [], packing._ranked
+
+    def seen(table, total):
+        blocks = -(-total // packing.BLOCK_ROWS)
+        sizes.extend(r["count"] for r in table.groupBy(F.pmod("__salt", F.lit(blocks))).count().collect())
+        return ranked(table, total)
+
+    monkeypatch.setattr(packing, "_ranked", seen)
+    out = packing.pack(spark, make(rows), BPE).select("sequence_id", "offset", "length").collect()
+    assert len(out) == 6000 and len({(r["sequence_id"], r["offset"]) for r in out}) == 6000
+    assert len(sizes) == 60 and max(sizes) < 200

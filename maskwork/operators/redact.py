@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwork.functions.kinds import choose, default_action, tier
 from maskwork.functions.masking import one_way_replacement
 from maskwork.functions.patterns import BUILTIN, Pattern
+from maskwork.functions.text import bound
 from maskwork.operators.detect import findings
 from maskwork.operators.ranking import join_null_safe
 from maskwork.operators.vault import build_vault
@@ -216,22 +217,70 @@ def redact_tier1(
 
 # --- replacement pairs --------------------------------------------------------------------
 
+BUCKET_PAIRS = 8
 _META = r"([\\.\[\]{}()*+?^$|/-])"
 
 
+def _quoted(text: Column) -> Column:
+    return F.regexp_replace(text, _META, r"\\$1")
+
+
+def _pattern_of(entries: Column) -> Column:
+    """The listed texts as a pattern of two levels: the first character, then the second one, then the rest in order of the list.
+
+    Texts that begin alike stay in their order, and that is how Java picks among alternatives; a position is compared with
+    the first characters and then with the few texts that go on like it. A text of one character stands behind the
+    longer ones of its group; those listed after it can never be picked and are left out.
+    """
+    single = F.filter(entries, lambda e: F.length(e["old"]) == 1)
+    kept = F.filter(entries, lambda e: ~F.exists(single, lambda o: (o["pos"] < e["pos"]) & F.startswith(e["old"], o["old"])))
+    keyed = F.array_sort(F.transform(kept, lambda e: F.struct(
+        F.substring(e["old"], 1, 1).alias("c1"), (F.length(e["old"]) == 1).alias("last"), F.substring(e["old"], 2, 1).alias("c2"),
+        e["pos"].alias("pos"), e["old"].alias("old"))))
+
+    def spelled(listed: Column) -> Column:
+        def piece(e: Column, i: Column) -> Column:
+            before = F.get(listed, i - 1)
+            rest = _quoted(F.substr(e["old"], F.lit(3)))
+            second = F.concat(_quoted(e["c2"]), F.lit("(?:"), rest)
+            first = F.concat(_quoted(e["c1"]), F.lit("(?:"), second)
+            alike = before["c1"] == e["c1"]
+            return F.when(i == 0, first).when(alike & (before["c2"] == e["c2"]), F.concat(F.lit("|"), rest)).when(
+                alike, F.concat(F.lit(")|"), second)).otherwise(F.concat(F.lit("))|"), first))
+
+        return F.concat(F.lit("(?:"), F.array_join(F.transform(listed, piece), ""), F.lit(")))"))
+
+    return bound(keyed, spelled)
+
+
 def replace_pairs(text: Column, old: Column, new: Column) -> Column:
-    """One left-to-right pass; where several texts start, the earliest listed pair wins.
+    """One left-to-right pass; where several texts start, the earliest listed pair wins, of equal texts the first.
 
-    ``old`` and ``new`` are arrays of equal length.  The alternation of quoted texts keeps
-    list order, which is how Java picks among alternatives.
+    ``old`` and ``new`` are arrays of equal length. Many pairs are searched by their first characters and looked up in
+    buckets by hash, so the time grows with the text and its hits and hardly with the number of pairs.
     """
-    quoted = F.transform(old, lambda o: F.regexp_replace(o, _META, r"\\$1"))
-    pattern = F.concat(F.lit("(?:"), F.array_join(quoted, "|"), F.lit(")"))
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    swapped = F.transform(hits, lambda h: F.element_at(new, F.array_position(old, h).cast("int")))
-    joined = F.array_join(F.zip_with(pieces, swapped, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return F.when(F.coalesce(F.size(old), F.lit(0)) > 0, joined).otherwise(text)
+    listed = F.filter(
+        F.zip_with(F.transform(old, lambda o, i: F.struct(o.alias("old"), i.alias("pos"))), new,
+                   lambda o, n: F.struct(o["old"].alias("old"), n.alias("new"), o["pos"].alias("pos"))),
+        lambda e: (F.array_position(old, e["old"]) == e["pos"] + 1) & (e["old"] != ""))
+    bucket = lambda value, n: F.pmod(F.hash(value), n)
+
+    def swapped(s: Column) -> Column:
+        def named(hit: Column) -> Column:
+            held = F.filter(F.get(s["buckets"], bucket(hit, F.size(s["buckets"]))), lambda e: e["old"] == hit)
+            return F.get(held, F.lit(0))["new"]
+
+        hits = F.transform(F.regexp_extract_all(s["text"], s["pattern"], F.lit(0)), named)
+        pieces = F.split(s["text"], s["pattern"], -1)
+        return F.array_join(F.zip_with(pieces, hits, lambda piece, name: F.concat(piece, F.coalesce(name, F.lit("")))), "")
+
+    def searched(entries: Column) -> Column:
+        n = F.greatest(F.lit(1), F.floor(F.size(entries) / BUCKET_PAIRS).cast("int"))
+        buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(entries, lambda e: bucket(e["old"], n) == b))
+        return bound(F.struct(text.alias("text"), _pattern_of(entries).alias("pattern"), buckets.alias("buckets")), swapped)
+
+    replaced = bound(listed, lambda entries: F.when(F.size(entries) > 0, searched(entries)).otherwise(text))
+    return F.when(F.coalesce(F.size(old), F.lit(0)) > 0, replaced).otherwise(text)
 
 
 def redact_one_way(scanned: DataFrame, text: str, kinds: Sequence[str] | None = None, array: str = "findings") -> DataFrame:

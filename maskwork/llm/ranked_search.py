@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from maskwork.llm.k2_treap import K2Treap
 from maskwork.llm.words import Powers, Words, chunks, mix
-from maskwork.session import materialise
+from maskwork.session import materialise, shared_dir
 
 TOP = 20
 SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 19
 BLOCK_TERMS = 50_000  # (item, term) pairs that are sent to the tasks at once
 CHUNK = 500_000
+ROW_GROUP_BYTES = 16 << 20
 
 
 def term_table() -> np.ndarray:
@@ -133,7 +134,10 @@ def build_index(documents: DataFrame) -> Index:
     narrow = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     shards = narrow.mapInArrow(
         run, "docs array<bigint>, lengths array<bigint>, terms array<bigint>, dfs array<bigint>, treap binary")
-    return Index(materialise(shards, "treaps"), docs_total, terms_total)
+    path = shared_dir(documents.sparkSession, "treaps")
+    # a shard is a row of megabytes, so a writer's buffer is kept to a few of them
+    shards.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return Index(documents.sparkSession.read.schema(shards.schema).parquet(path), docs_total, terms_total)
 
 
 def _mark(text: Column) -> Column:

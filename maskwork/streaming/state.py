@@ -258,6 +258,11 @@ class _Cut(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", ignore_index=True)
         bad = np.flatnonzero(pdf["err"].notna().to_numpy())
         over = self.ended.exists()
+        if over and self.idle_ms is not None and int(pdf["ms"].min()) >= self.ended.get()[0]:
+            # the rows come after the idle time and before its timer
+            self.handle.deleteTimer(self.ended.get()[0])
+            self.ended.clear()
+            over = False
         if over or len(bad):
             due = 0
             if self.idle_ms is not None:

@@ -1,21 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Items are put in length classes. Of a class whose shortest item has ``least`` words, windows of
-about two thirds of that are fingerprinted: in items at each of the first ``stride`` words, in
-documents at every ``stride``-th word, with ``window + stride - 1 <= least``. So wherever a
-document holds an item, one of its windows is one of the item's windows.
-
-A fingerprint has 64 bits: each bit is the weighted majority of its words' hash bits. Four
-16-bit blocks index the items' fingerprints, each under all values within 2 bits, so every
-fingerprint within 4 * 2 + 3 = 11 bits is found.
-
-One window cannot stand for an item whose words changed inside it. So an item of five words or more
-has anchors too: its rarest five-word shingles, as many as weigh more than a fifth of it. Whoever
-holds 0.8 of the item's weight holds an anchor, wherever the changes are.
-
-A document that either finds is compared exactly: the share of the item's shingles found in an item-sized
-stretch, each weighted by one over the number of items of the whole benchmark that hold it, must
-be 0.8 or more in one of its stretches. Shorter items are compared by their words where a window hit.
+A text is its five-word shingles; an item of fewer words is one shingle of all of them. A shingle weighs
+one over the number of items of the whole benchmark that hold it, and nothing if no item does. A document
+holds an item if a stretch of the item's length, and ``SLACK`` words on both sides, holds 0.8 of its weight.
+
+1. Each item has a fingerprint of 128 bits: signs of the sums, over its shingles, of a random number per bit
+   times the root of the weight. The cosine of an item and a stretch is then the root of the share held, so at
+   0.8 a bit differs with probability 0.148 and 18.9 of 128 do, give or take 4.
+2. In documents the stretch that begins at each weighted shingle is fingerprinted for every length of items, by
+   running sums. One whose whole weight is under 0.8 of the lightest item's is passed over; it can hold none.
+3. Eight 16-bit blocks index the items' fingerprints, each under all values within 2 bits, and are asked for all
+   values within 1 bit: every fingerprint within 8 * 3 + 7 = 31 bits is found, three deviations beyond the mean.
+4. What the fingerprints name, and nothing else, is compared exactly by weighted shingles.
 """
 
 from __future__ import annotations
@@ -29,184 +25,161 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwork.llm.words import Powers, Words, chunks, plain_table
+from maskwork.llm.words import Powers, Words, chunks, mix, plain_table
 from maskwork.session import materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 11
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
-WIDEST = 40
+BITS, BLOCKS = 128, 8
+ITEM_FLIPS, ASKED_FLIPS = 2, 1
+RADIUS = BLOCKS * (ITEM_FLIPS + ASKED_FLIPS) + BLOCKS - 1
 SLACK = 2
-BLOCK_ITEMS = 1000
+BLOCK_ITEMS, BLOCK_CHARS = 2000, 8_000_000
 UNIT = 1 << 48
 EDGE = 1e-9
+PIECE = 4096
+_SEEDS = mix(np.arange(1, BITS // 8 + 1, dtype=np.uint64))
 
 
-def _lanes() -> np.ndarray:
-    """Bits of a byte, each in a byte of its own."""
-    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-    return (bits.astype(np.uint64) << (8 * np.arange(8)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+def _flips(most: int) -> np.ndarray:
+    """All 16-bit numbers of at most ``most`` bits."""
+    return np.array([sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(16), n)])
 
 
-class Fingerprints:
-    """SimHash of any window of a run of words, from running sums.
+def _sums(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums of the shingles' random numbers, one column per bit; the first row is zero."""
+    drawn = mix(hashes[:, None] + _SEEDS).view(np.uint8).astype(np.int64)
+    out = np.zeros((len(hashes) + 1, BITS), np.int64)
+    np.cumsum((2 * drawn - 255) * sizes[:, None], axis=0, out=out[1:])
+    return out
 
-    Eight counters share one 64-bit number. Running sums overflow between counters, but the
-    difference of two is right while a window's weights add up to 127 at most.
-    """
 
-    def __init__(self, words: Words, lanes: np.ndarray) -> None:
-        weights = np.clip(1 + (words.ends - words.starts) // 4, 1, 3).astype(np.uint64)
-        self.weight = np.concatenate([[0], np.cumsum(weights)]).astype(np.uint64)
-        self.counts = []
-        for byte in range(8):
-            part = lanes[((words.hashes >> np.uint64(8 * byte)) & np.uint64(0xFF)).astype(np.int64)] * weights
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part, out=total[1:])
-            self.counts.append(total)
-
-    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
-        half = (self.weight[starts + width] - self.weight[starts]) >> np.uint64(1)
-        lift = (np.uint64(127) - half) * np.uint64(0x0101010101010101)
-        out = np.zeros(len(starts), np.uint64)
-        for byte, total in enumerate(self.counts):
-            above = ((total[starts + width] - total[starts] + lift) >> np.uint64(7)) & np.uint64(0x0101010101010101)
-            out |= ((above * np.uint64(0x0102040810204080)) >> np.uint64(56)) << np.uint64(8 * byte)
-        return out
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of these sizes laid end to end: the group of each place, and the place inside it."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Known:
+    """Shingles of ``k`` words that items hold, with their weights, sorted by hash."""
+
+    def __init__(self, own: list[np.ndarray], weights: dict[int, int]) -> None:
+        self.hashes = np.unique(np.concatenate(own))
+        self.weights = np.array([weights[s] for s in self.hashes.tolist()]) / UNIT
+        self.sizes = np.maximum(np.rint(np.sqrt(self.weights) * (1 << 16)), 1).astype(np.int64)
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self._low(self.hashes)] = True
+
+    @staticmethod
+    def _low(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(0xFFFFF)).astype(np.int64)
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``hashes`` of known shingles, and which each is."""
+        at = np.flatnonzero(self.filter[self._low(hashes)])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[place] == hashes[at]
+        return at[same], place[same]
 
-class _Class:
-    """Items of similar length: window, stride and the blocks' buckets."""
-
-    def __init__(self, items: np.ndarray, words: Words, lanes: np.ndarray, least: int) -> None:
-        self.window = min(WIDEST, max(1, ceil(least * 2 / 3)))
-        self.stride = min(WIDEST, least - self.window + 1)
-        starts = (words.bounds[items][:, None] + np.arange(self.stride)).ravel()
-        self.item = np.repeat(items, self.stride)
-        self.shift = np.tile(np.arange(self.stride), len(items))
-        self.prints = Fingerprints(words, lanes).at(starts, self.window)
-        flips = np.array([sum(1 << b for b in bits) for n in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), n)])
-        self.tables = []
-        for block in range(BLOCKS):
-            own = ((self.prints >> np.uint64(BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            keys = (own[:, None] ^ flips).ravel()
-            order = np.argsort(keys, kind="stable")
-            ends = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
-            self.tables.append((ends, np.repeat(np.arange(len(own)), len(flips))[order].astype(np.int32)))
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``prints``, entry) of all pairs within the radius, some more than once."""
-        places, entries = [], []
-        for block, (ends, listed) in enumerate(self.tables):
-            key = ((prints >> np.uint64(BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            counts = ends[key + 1] - ends[key]
-            place = np.repeat(np.arange(len(prints)), counts)
-            inside = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
-            entry = listed[np.repeat(ends[key], counts) + inside]
-            close = np.bitwise_count(prints[place] ^ self.prints[entry]) <= RADIUS
-            places.append(place[close])
-            entries.append(entry[close])
-        return np.concatenate(places), np.concatenate(entries)
+    def prints(self, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Fingerprints of the runs ``first`` to ``last`` of a list of known shingles."""
+        low, high = int(first.min()), int(last.max())
+        sums = _sums(self.hashes[places[low:high]], self.sizes[places[low:high]])
+        return np.packbits(sums[last - low] > sums[first - low], axis=1).view(np.uint64)
 
 
 class ItemIndex:
-    """Fingerprints, anchors and weighted shingles of one block of items.
+    """Fingerprints and weighted shingles of one block of items.
 
     ``held`` has the number of items that hold a shingle, where it is above one; without it the block is all.
     """
 
     def __init__(self, ids: list, texts: list, held: dict[int, int] | None = None) -> None:
-        self.ids, self.lanes, self.table, self.powers = ids, _lanes(), plain_table(), Powers()
+        self.ids, self.table, self.powers = ids, plain_table(), Powers()
         words = Words(texts, self.table, self.powers)
         self.lengths = np.diff(words.bounds)
         self.shingles = item_shingles(words)
         if held is None:
-            held = Counter(s for own in self.shingles for s in own)
+            held = Counter(s for own in self.shingles for s in own.tolist())
         # whole numbers, so that sums are the same in any order
-        self.weights = {s: UNIT // held.get(s, 1) for own in self.shingles for s in own}
-        self.totals = [sum(self.weights[s] for s in own) for own in self.shingles]
-        self._anchor()
-        self.classes = []
-        rest = np.flatnonzero(self.lengths)
-        while len(rest):
-            least = int(self.lengths[rest].min())
-            # items under a shingle are classed by their own length, so that no other item changes their windows
-            inside = self.lengths[rest] < (max(least + 1, ceil(least * 1.5)) if least >= SHINGLE else least + 1)
-            self.classes.append(_Class(rest[inside], words, self.lanes, least))
-            rest = rest[~inside]
-
-    def _anchor(self) -> None:
-        """Sorted anchors with their items: of each item the shingles of most weight, until what is left is under 0.8."""
+        self.weights = {s: UNIT // held.get(s, 1) for own in self.shingles for s in own.tolist()}
+        self.totals = [sum(self.weights[s] for s in own.tolist()) for own in self.shingles]
+        self.classes = [int(n) for n in np.unique(self.lengths) if n]
+        self.known = {k: _Known([own for own, n in zip(self.shingles, self.lengths) if min(n, SHINGLE) == k], self.weights)
+                      for k in sorted({min(n, SHINGLE) for n in self.classes})}
+        self.prints = np.zeros((len(ids), BITS // 64), np.uint64)
+        for k, known in self.known.items():
+            hashes, bounds = words.shingles(k)
+            for i in np.flatnonzero(np.minimum(self.lengths, SHINGLE) == k).tolist():
+                places = known.find(hashes[bounds[i] : bounds[i + 1]])[1]
+                self.prints[i] = known.prints(places, np.array([0]), np.array([len(places)]))[0]
+        items = np.flatnonzero(self.lengths)
+        keys = self._keys(self.prints[items], np.searchsorted(self.classes, self.lengths[items]), _flips(ITEM_FLIPS))
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys = keys.ravel()[order]
+        self.entries = np.repeat(items, keys[0].size if len(items) else 0)[order]
+        self.asked = _flips(ASKED_FLIPS)
+
+    @staticmethod
+    def _keys(prints: np.ndarray, kinds: np.ndarray | int, flips: np.ndarray) -> np.ndarray:
+        """(print, block, flip): the length class, the block's number and its changed value in one number."""
+        value = prints.view(np.uint16).astype(np.int64)[:, :, None] ^ flips
+        kinds = np.broadcast_to(np.asarray(kinds, np.int64), len(prints))
+        return (kinds[:, None, None] << 19) | (np.arange(BLOCKS)[:, None] << 16) | value
+
+    def near(self, prints: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``prints``, item) of all items of a class within the radius, some more than once."""
+        keys = self._keys(prints, kind, self.asked).reshape(len(prints), -1)
+        low, high = (np.searchsorted(self.keys, keys.ravel(), side=side) for side in ("left", "right"))
+        group, inside = _spread(high - low)
+        place, item = group // keys.shape[1], self.entries[low[group] + inside]
+        close = np.bitwise_count(prints[place] ^ self.prints[item]).sum(axis=1) <= RADIUS
+        return place[close], item[close]
+
+    def _candidates(self, known: _Known, hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+        """Rows (text, item) that the fingerprints name, each once."""
+        at, places = known.find(hashes)
+        if not len(at):
+            return np.zeros((0, 2), np.int64)
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        weight = np.concatenate([[0.0], np.cumsum(known.weights[places])])
         pairs = []
-        for i in np.flatnonzero(self.lengths >= SHINGLE).tolist():
-            left = self.totals[i]
-            for s in sorted(self.shingles[i], key=lambda s: (-self.weights[s], s)):
-                if left < (THRESHOLD - 2 * EDGE) * self.totals[i]:
-                    break
-                pairs.append((s, i))
-                left -= self.weights[s]
-        pairs.sort()
-        self.anchors = np.array([s for s, _ in pairs], np.uint64)
-        self.anchored = np.array([i for _, i in pairs], np.int64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.anchors & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def _anchor_pairs(self, shingled: tuple) -> set[tuple[int, int]]:
-        """(text, item) wherever a text holds an anchor of the item."""
-        hashes, bounds = shingled
-        at = np.flatnonzero(self.filter[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-        low, high = (np.searchsorted(self.anchors, hashes[at], side=side) for side in ("left", "right"))
-        at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
-        owner = np.repeat(np.searchsorted(bounds, at, side="right") - 1, counts)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        both = np.unique(owner * len(self.ids) + self.anchored[np.repeat(low, counts) + inside])
-        return {divmod(pair, len(self.ids)) for pair in both.tolist()}
+        for kind, length in enumerate(self.classes):
+            if min(length, SHINGLE) != k:
+                continue
+            last = np.searchsorted(at, np.minimum(at + length + 2 * SLACK - k + 1, bounds[owner + 1]))
+            lightest = min(self.totals[i] for i in np.flatnonzero(self.lengths == length).tolist()) / UNIT
+            first = np.flatnonzero(weight[last] - weight[:-1] >= (THRESHOLD - 1e-6) * lightest - 1e-9)
+            for some in np.split(first, np.flatnonzero(np.diff(first // PIECE)) + 1):
+                if not len(some):
+                    continue
+                prints, back = np.unique(known.prints(places, some, last[some]), axis=0, return_inverse=True)
+                held = np.unique(np.stack([back.ravel(), owner[some]], axis=1), axis=0)  # (print, text)
+                place, item = self.near(prints, kind)
+                starts = np.searchsorted(held[:, 0], np.arange(len(prints) + 1))
+                group, inside = _spread(starts[place + 1] - starts[place])
+                pairs.append(np.unique(np.stack([held[starts[place[group]] + inside, 1], item[group]], axis=1), axis=0))
+        return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
     def matches(self, texts: list) -> list[tuple[int, int, float]]:
         """(text, item, similarity) of every item found in a text, best stretch each."""
         words = Words(texts, self.table, self.powers)
-        prints = Fingerprints(words, self.lanes)
-        counts = np.diff(words.bounds)
-        best: dict[tuple[int, int], float] = {}
-        shingled = words.shingles(SHINGLE)
-        pairs = self._anchor_pairs(shingled)
-        for kind in self.classes:
-            windows = np.maximum((counts - kind.window) // kind.stride + 1, 0)
-            windows[counts < kind.window] = 0
-            owner = np.repeat(np.arange(len(counts)), windows)
-            inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            starts = words.bounds[owner] + inside * kind.stride
-            place, entry = kind.near(prints.at(starts, kind.window))
-            if not len(place):
-                continue
-            tried = np.unique(np.stack([owner[place], kind.item[entry], starts[place] - kind.shift[entry]]), axis=1)
-            for doc, item, start in tried.T.tolist():
-                if self.lengths[item] >= SHINGLE:
-                    pairs.add((doc, item))
-                    continue
-                found = self._by_words(words, doc, item, start)
-                if found >= THRESHOLD - EDGE and found > best.get((doc, item), 0):
-                    best[doc, item] = found
-        for doc, item in sorted(pairs):
-            found = self._similarity(shingled, doc, item)
-            if found >= THRESHOLD - EDGE:
-                best[doc, item] = found
-        return [(doc, item, value) for (doc, item), value in best.items()]
-
-    def _by_words(self, words: Words, doc: int, item: int, start: int) -> float:
-        first = max(start - SLACK, int(words.bounds[doc]))
-        last = min(start + int(self.lengths[item]) + SLACK, int(words.bounds[doc + 1]))
-        near = words.hashes[first:last].tolist()
-        return sum(self.weights[s] for s in self.shingles[item].intersection(near)) / self.totals[item]
-
-    def _similarity(self, shingled: tuple, doc: int, item: int) -> float:
+        out = []
+        for k, known in self.known.items():
+            shingled = words.shingles(k)
+            for doc, item in self._candidates(known, *shingled, k).tolist():
+                found = self._similarity(shingled, doc, item, k)
+                if found >= THRESHOLD - EDGE:
+                    out.append((doc, item, found))
+        return out
+
+    def _similarity(self, shingled: tuple, doc: int, item: int, k: int) -> float:
         """The most that a stretch of the item's length, and ``SLACK`` on both sides, holds of the item."""
         mine = shingled[0][shingled[1][doc] : shingled[1][doc + 1]]
-        own = np.array(sorted(self.shingles[item]), np.uint64)
+        own = self.shingles[item]
         places = np.flatnonzero(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine)
         found = mine[places].tolist()
-        width = int(self.lengths[item]) + 2 * SLACK - SHINGLE + 1
+        width = int(self.lengths[item]) + 2 * SLACK - k + 1
         inside: dict[int, int] = {}
         most = now = first = 0
         for at, shingle in zip(places.tolist(), found):
@@ -221,11 +194,15 @@ class ItemIndex:
         return most / self.totals[item]
 
 
-def item_shingles(words: Words) -> list[set]:
-    """Distinct shingles of each text; one shorter than a shingle must be found whole, by its words."""
-    hashes, bounds = words.shingles(SHINGLE)
-    found = [set(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
-    return [own or set(words.hashes[a:b].tolist()) for own, a, b in zip(found, words.bounds[:-1], words.bounds[1:])]
+def item_shingles(words: Words) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text; one shorter than a shingle is a single one of all its words."""
+    lengths = np.diff(words.bounds)
+    out = [np.zeros(0, np.uint64)] * len(lengths)
+    for k in range(1, SHINGLE + 1):
+        hashes, bounds = words.shingles(k)
+        for i in np.flatnonzero(np.minimum(lengths, SHINGLE) == k).tolist():
+            out[i] = np.unique(hashes[bounds[i] : bounds[i + 1]])
+    return out
 
 
 def _held(items: DataFrame) -> DataFrame:
@@ -239,7 +216,7 @@ def _held(items: DataFrame) -> DataFrame:
                 own = item_shingles(Words(texts[a:b], table, powers))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(blocks[a:b], [len(x) for x in own]), pa.int64()),
-                     pa.array(np.array([s for x in own for s in x], np.uint64).view(np.int64))], ["block", "shingle"])
+                     pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["block", "shingle"])
 
     shingles = materialise(items.select("block", "text").mapInArrow(run, "block bigint, shingle bigint"), "item_shingles")
     counts = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "held")
@@ -249,7 +226,8 @@ def _held(items: DataFrame) -> DataFrame:
 def _item_blocks(benchmark: DataFrame):
     """Ids, texts and shingle counts of the items, block by block, so that none grows with the table."""
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    blocks = max(1, ceil(items.count() / BLOCK_ITEMS))
+    rows, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, ceil(rows / BLOCK_ITEMS), ceil(chars / BLOCK_CHARS))
     items = items.withColumn("block", F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)), F.lit(0)).cast("bigint"))
     held = _held(items) if blocks > 1 else None  # a single block counts its own
     for block in range(blocks):
@@ -266,7 +244,7 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
     """
     out = None
     for block in _item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)  # BLOCK_ITEMS short texts
+        shared = spark.sparkContext.broadcast(block)  # at most about BLOCK_ITEMS texts and BLOCK_CHARS characters
 
         def run(batches, shared=shared):
             index = ItemIndex(*shared.value)

@@ -258,12 +258,58 @@ def test_leaks_in_blocks_of_items(spark, make, monkeypatch):
 
 def test_all_fingerprints_within_the_radius_are_found():
     index = decontaminate.ItemIndex(list(range(30)), [prose(i, 30) for i in range(30)])
-    kind = index.classes[0]
     rng = random.Random(1)
-    for entry in range(0, len(kind.prints), 7):
-        flips = rng.sample(range(64), decontaminate.RADIUS)
-        near = np.array([int(kind.prints[entry]) ^ sum(1 << b for b in flips)], np.uint64)
-        assert entry in kind.near(near)[1].tolist()
+    for item in range(30):
+        flips = rng.sample(range(128), decontaminate.RADIUS)
+        mask = sum(1 << b for b in flips)
+        near = index.prints[item] ^ np.array([mask & (2**64 - 1), mask >> 64], np.uint64)
+        assert item in index.near(near[None, :], 0)[1].tolist()
+
+
+def edited_items(n_items):
+    """Items of 30 to 200 words and documents whose edits break as many shingles as a similarity of 0.8 allows."""
+    rng = random.Random(5)
+    items, rows = [], []
+    for i in range(n_items):
+        items.append((i, prose(9000 + i, rng.randrange(30, 201))))
+        words = items[-1][1].split()
+        n, few = len(words), (len(words) - 4) // 5
+        run = max(1, few - 4)
+        scattered = list(words)
+        for j in range(max(1, few // 5)):
+            scattered[5 + j * (n - 10) // max(1, few // 5)] = f"odd{j}"
+        doubled = list(words)
+        doubled[n // 2 : n // 2] = [f"more{j}" for j in range(4)]
+        kinds = [scattered, words[few:], words[: n - few], doubled]
+        kinds += [words[:at] + [f"new{j}" for j in range(run)] + words[at + run :] for at in (0, 4, n // 2, n - run - 4, n - run)]
+        for own in kinds:
+            rows.append((len(rows), prose(len(rows), 40) + " " + " ".join(own) + " " + prose(50_000 + len(rows), 40)))
+    return items, rows
+
+
+def test_recall_of_the_fingerprints_against_exact_similarity(spark, make):
+    items, rows = edited_items(60)
+    want = stretch_leaks(rows, items)
+    got = leaks_of(spark, make(rows), items)
+    assert len(want) > 400 and set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.98 * len(want)
+
+
+def test_only_what_the_fingerprints_name_is_found():
+    items, rows = edited_items(10)
+    index = decontaminate.ItemIndex([i for i, _ in items], [t for _, t in items])
+    texts = [t for _, t in rows]
+    assert len(index.matches(texts)) > 60
+    index.keys, index.entries = index.keys[:0], index.entries[:0]
+    assert index.matches(texts) == []
+
+
+def test_an_item_in_many_documents_and_items_of_few_words():
+    item = prose(3, 40)
+    index = decontaminate.ItemIndex([1, 2, 3, 4], [item, "one two three", "solo", ""])
+    texts = [item + f" end{n}" for n in range(3000)] + ["two one three", "a one two three", "solo", None, item + " " + item]
+    got = {(d, index.ids[i]) for d, i, _ in index.matches(texts)}
+    assert got == {(n, 1) for n in [*range(3000), 3004]} | {(3001, 2), (3002, 3)}
 
 
 # ---- secrets

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwork.session import prepare
+from maskwork.session import prepare, shared_dir
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,9 +45,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    from maskwork.llm.secrets import digest, findings
+    from maskwork.llm.secrets import digest, findings_in, scan_to_ledger
 
-    return digest(findings(_table(spark, folder, "documents"), "doc_id"))
+    documents = _table(spark, folder, "documents")
+    ledger = scan_to_ledger(documents, shared_dir(spark, "ledger"))
+    return digest(findings_in(ledger, documents, "doc_id"))
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:

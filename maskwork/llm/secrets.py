@@ -4,16 +4,18 @@ Every version of every text is a blob, named by the SHA-256 of its content. The
 row per blob, rule and rule version that was ever scanned, with the spans found. A run hashes
 all versions, keeps one copy of each blob, scans only the pairs of blob and rule version that the
 ledger lacks, and joins the findings back to every path that has the blob. Copies of a text, however
-many, are scanned once.
+many, are scanned once. ``scan_to_ledger`` does a run on a stored ledger, ``findings_in`` reads the result from it.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Callable, NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwork.functions.text import bound
 from maskwork.session import materialise
 
 
@@ -59,10 +61,34 @@ _PEM_LINES = (rf"(?:{_GAP}{{1,16}}+(?:Proc-Type|DEK-Info|Comment|Subject):[^\r\n
 MASK_RULES = tuple(r._replace(pattern=f"{_PEM}(?:{_PEM_END}|{_PEM_LINES})?+", version=2) if r.kind == "pem" else r for r in RULES)
 
 SPANS = "array<struct<start:int,end:int>>"
+LEDGER = f"blob string, kind string, version int, spans {SPANS}"
+BLOCK_HITS = 256
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Spans of a rule's matches in code points, end exclusive.
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of each number (none below 0) and all before it.
+
+    Totals are taken over blocks first and then inside a block, so the cost of a number does not grow with the array.
+    """
+    def blocks_of(all_: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_) / BLOCK_HITS).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.slice(all_, n * BLOCK_HITS + 1, F.lit(BLOCK_HITS)))
+
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), join)
+
+    def inside(block: Column, before: Column) -> Column:
+        return F.transform(block, lambda _, i: join(before, total(F.slice(block, F.lit(1), i + 1))))
+
+    def whole(blocks: Column) -> Column:
+        return bound(F.transform(blocks, total), lambda totals: F.flatten(F.transform(
+            blocks, lambda b, n: bound(total(F.slice(totals, F.lit(1), n)), lambda before: inside(b, before)))))
+
+    return bound(bound(values, blocks_of), whole)
+
+
+def spans_of(text: Column, rule: Rule, size: Callable[[Column], Column] = F.length) -> Column:
+    """Spans of a rule's matches, end exclusive, in code points or in another ``size``.
 
     The gaps between matches come from a split, the matches from an extraction; both walk
     the text from left to right without overlap, so their lengths add up to the positions.
@@ -70,18 +96,20 @@ def spans_of(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    pairs = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("hit"),
-                         checked.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("found"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        one = F.when(F.length(pair["part"]) >= rule.least, F.array(F.struct(begin.alias("start"), end.alias("end"))))
-        found = F.coalesce(F.concat(F.coalesce(acc["found"], F.array().cast(SPANS)), one), acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    gaps = F.split(text, rule.pattern, -1)
+
+    def spans(h: Column) -> Column:
+        ends = running(F.transform(h["hits"], lambda m: m["step"]), lambda a, b: a + b)
+        each = F.zip_with(ends, h["hits"], lambda end, m: F.when(m["counts"], F.struct((end - m["size"]).alias("start"), end.alias("end"))))
+        return F.array_compact(each)
+
+    def hits(h: Column) -> Column:
+        matched = F.zip_with(h["whole"], h["checked"], lambda w, part: F.struct(
+            size(w).alias("size"), (F.length(part) >= rule.least).alias("counts")))
+        return F.struct(F.zip_with(F.slice(h["gaps"], F.lit(1), F.size(h["whole"])), matched, lambda g, m: F.struct(
+            (size(g) + m["size"]).alias("step"), m["size"].alias("size"), m["counts"].alias("counts"))).alias("hits"))
+
+    found = bound(F.struct(whole.alias("whole"), checked.alias("checked"), gaps.alias("gaps")), lambda h: bound(hits(h), spans))
     return F.coalesce(F.when(text.rlike(rule.pattern), found), F.array().cast(SPANS))
 
 
@@ -91,7 +119,7 @@ def with_blobs(versions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
-                text: str = "text", keep: str | None = None) -> DataFrame:
+                text: str = "text", keep: str | None = None, size: Callable[[Column], Column] = F.length) -> DataFrame:
     """(blob, found): spans by kind of each blob, from the ledger or from a scan.
 
     ``found`` is an array of (kind, version, scanned, spans) in the order of ``rules``; ``scanned`` tells the new
@@ -109,7 +137,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     for rule in rules:
         old = F.try_element_at(F.col("__seen"), F.lit(f"{rule.kind}:{rule.version}"))
         found.append(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), old.isNull().alias("scanned"),
-                              F.when(old.isNotNull(), old).otherwise(spans_of(body, rule)).alias("spans")))
+                              F.when(old.isNotNull(), old).otherwise(spans_of(body, rule, size)).alias("spans")))
     kept = [body.alias(keep)] if keep else []
     return blobs.select("blob", *kept, F.array(*found).alias("found"))
 
@@ -120,6 +148,38 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
     return rows.select("blob", "f.kind", "f.version", "f.spans")
 
 
+def scan_to_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger in ``folder`` after this run: pairs of blob and rule version that it lacked are scanned and appended.
+
+    A folder that is not there yet is an empty ledger. Should a run be repeated after a loss, rows may be there twice;
+    readers take them once.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    ledger_rows(scan_unseen(versions, ledger, rules, text)).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def findings_in(ledger: DataFrame, versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """What the ledger says about each version under ``rules``: its path column, ``blob`` and ``spans``, sorted by start and kind.
+
+    Versions whose blob the ledger does not have are left out; scan them first. Null and empty texts have no spans;
+    repeated rows and copies get the same; null paths stay.
+    """
+    current = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
+    found = current.groupBy("blob").agg(F.collect_set(F.struct("kind", "version", "spans")).alias("found"))  # one entry per rule
+    spans = flat_spans(F.col("found"), tuple(r.kind for r in rules))
+    # written first; a blob that a third of the paths have then splits in the join
+    known = materialise(found.select("blob", spans.alias("spans")), "known_blobs")
+    narrow = with_blobs(versions.select(F.col(path), F.col(text).alias("__text")), "__text").drop("__text")
+    return narrow.join(known, "blob").select(path, "blob", "spans")
+
+
 def flat_spans(found: Column, kinds: tuple[str, ...]) -> Column:
     """All spans of some kinds, sorted by start, then by the kind's place in ``kinds``."""
     order = F.create_map(*[F.lit(x) for n, kind in enumerate(kinds) for x in (kind, n)])
@@ -165,19 +225,24 @@ def mask_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     joined to the other columns of its rows.
     """
     names = documents.columns
-    scanned = scan_unseen(documents, rules=MASK_RULES, keep="__text")
+    scanned = scan_unseen(documents, rules=MASK_RULES, keep="__text", size=F.octet_length)
     spans = flat_spans(F.col("found"), tuple(r.kind for r in MASK_RULES))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("__text")
+    raw = F.col("__text").cast("binary")
+
+    def cut(tops: Column) -> Column:
+        def before(span: Column, i: Column) -> Column:
+            done = F.coalesce(F.get(tops, i - 1), F.lit(0))
+            gap = F.substring(raw, done + 1, span["start"] - done).cast("string")
+            return F.when(span["start"] >= done, F.concat(gap, F.lit(mark)))
 
-    def step(acc: Column, span: Column) -> Column:
-        fresh = span["start"] >= acc["at"]
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(fresh, before).otherwise(acc["out"]).alias("out"))
+        rest = F.substring(raw, F.element_at(tops, -1) + 1, F.octet_length("__text")).cast("string")
+        return F.concat(F.array_join(F.transform("__spans", before), ""), rest)
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = bound(running(F.transform("__spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b)), cut)
     hit = F.size("__spans") > 0
-    masked = scanned.withColumn("__spans", spans).select("blob", hit.alias("__hit"), F.when(hit, clean).otherwise(text).alias("__text"))
+    # written first, as a blob that a third of the rows have then splits in the join
+    masked = materialise(scanned.withColumn("__spans", spans).select(
+        "blob", hit.alias("__hit"), F.when(hit, clean).otherwise(F.col("__text")).alias("__text")), "masked")
     narrow = with_blobs(documents).withColumn("__null", F.col("text").isNull()).drop("text")
     out = narrow.join(masked.hint("merge"), "blob")
     columns = {"text": F.when(~F.col("__null"), F.col("__text"))}

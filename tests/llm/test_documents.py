@@ -360,6 +360,35 @@ def test_ledger_scans_only_what_it_lacks(spark, make):
     assert sorted(map(tuple, digests(spark, both, ledger=ledger).collect())) == sorted(map(tuple, digests(spark, both).collect()))
 
 
+def test_stored_ledger_over_rounds_and_a_new_rule_version(spark, make, tmp_path):
+    folder = str(tmp_path / "ledger")
+    rows = [*enumerate(SECRET_TEXTS, 100), *enumerate(SECRET_TEXTS[:4], 200), (None, SECRET_TEXTS[1])]
+    n, blobs = len(secrets.RULES), len({t or "" for _, t in rows})
+    assert secrets.scan_to_ledger(make(rows[:5]), folder).count() == 5 * n
+    ledger = secrets.scan_to_ledger(make(rows), folder)
+    assert ledger.count() == blobs * n  # 5 of the blobs were known
+    assert secrets.scan_to_ledger(make(rows), folder).count() == blobs * n  # nothing is unseen
+    got = secrets.digest(secrets.findings_in(ledger, make(rows), "doc_id"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, digests(spark, make(rows)).collect()))
+    newer = tuple(r._replace(version=2, pattern="[0-9a-f]{40,}") if r.kind == "hex" else r for r in secrets.RULES)
+    after = secrets.scan_to_ledger(make(rows), folder, newer)
+    assert after.count() == blobs * (n + 1) and after.where("version = 2").count() == blobs
+    got = secrets.digest(secrets.findings_in(after, make(rows), "doc_id", newer))
+    assert sorted(map(str, got.collect())) == sorted(map(str, digests(spark, make(rows), rules=newer).collect()))
+    ledger.union(ledger).write.parquet(folder + "2")  # as after a repeated append
+    got = secrets.findings_in(spark.read.schema(secrets.LEDGER).parquet(folder + "2"), make(rows), "doc_id")
+    assert got.count() == len(rows) and sorted(map(str, secrets.digest(got).collect())) == sorted(map(str, digests(spark, make(rows)).collect()))
+
+
+def test_many_spans_in_one_text(spark, make):
+    hexes = [f"{i:020x}" for i in range(8000)]
+    text = "é😀 ".join(hexes) + " end"
+    got = digests(spark, make([(1, text)])).first()
+    assert tuple(got)[1:5] == brute_secrets(text)
+    masked = secrets.mask_secrets(make([(1, text), (2, "token=" + "x" * 40 + " é")])).collect()
+    assert {r["doc_id"]: r["text"] for r in masked} == {1: "é😀 ".join(["[SECRET]"] * 8000) + " end", 2: "[SECRET] é"}
+
+
 def test_masked_texts_hold_no_secret(spark, make):
     df = make([*enumerate(SECRET_TEXTS), (50, "clean text"), (None, None)])
     masked = secrets.mask_secrets(df)

@@ -71,6 +71,17 @@ def test_long_and_deep_pages():
     main_text("<a href='" * 3000 + f">x</a><article><p>{P[0]} tail</p></article>")  # ends, whatever it finds
 
 
+def test_attributes_of_any_length_and_stray_quotes():
+    for n in (19_000, 21_000, 300_000):
+        for quote in "\"'":
+            state = f"{{a > b}} <p>{'x' * n}</p>"
+            assert main_text(f"<article><p data-state={quote}{state}{quote}>{P[0]}</p></article>") == P[0]
+    assert main_text(f"<article><p title=it's>{P[0]}</p><p>{P[1]} it's so</p></article>") == f"{P[0]}\n{P[1]} it's so"
+    assert main_text(f"<article><p>{P[0]}</p><p class=") == P[0]
+    main_text("<p x=" * 200_000)  # ends soon
+    main_text('<p x="' * 200_000)
+
+
 def test_rows(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "x", 5), (1, "u", f"<article>{ARTICLE}</article>", "x", 5), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")

@@ -144,7 +144,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
 def ledger_rows(scanned: DataFrame) -> DataFrame:
     """(blob, kind, version, spans) of the pairs that this run scanned, to append to the ledger."""
-    rows = scanned.select("blob", F.explode("found").alias("f")).where("f.scanned")
+    # outer: for an inner explode a size filter is inferred, which runs every pattern once more
+    rows = scanned.select("blob", F.explode_outer("found").alias("f")).where("f.scanned")
     return rows.select("blob", "f.kind", "f.version", "f.spans")
 
 

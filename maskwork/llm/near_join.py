@@ -3,14 +3,16 @@
 1. A text is the set of its five-word shingles (normalised words; a shorter text is one
    shingle of all its words, a text without words has none). Equal sets collapse to one.
 2. MinHash bands name candidates: 40 bands of 5 values miss a pair at similarity 0.8 with
-   probability 1e-7, and fewer above. Candidates are linked into components.
-3. A component is compared in blocks of bounded size: MinHash values of each pair are compared
-   step by step, and the pair is dropped as soon as the posterior probability that its
-   similarity reaches the threshold falls under ``TOLERANCE``. What stays is verified on the
-   whole shingle sets.
-
-Blocks of one component go to different tasks, and pairs live inside a task only: what leaves
-it is one count per document and the edges of a spanning forest.
+   probability 1e-7, and fewer above. Only pairs that share a band are compared.
+3. Texts are seated in blocks of bounded size, texts that bands connect side by side. A text
+   also visits each other block where it shares a band with somebody, so a pair of candidates
+   meets once, and texts that a chain of bands connects, but no band of their own, never meet.
+4. MinHash values of each pair are compared step by step, and the pair is dropped as soon as the
+   posterior probability that its similarity reaches the threshold falls under ``TOLERANCE``.
+   What stays is verified on the whole shingle sets.
+
+Pairs live inside a task only: what leaves it is one count per document and the edges of a
+spanning forest. Classes are built from verified links.
 """
 
 from __future__ import annotations
@@ -133,12 +135,16 @@ class _Forest:
         return x != y
 
 
-def links_of_block(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, within: bool,
+def links_of_block(sets: list[np.ndarray], bands: np.ndarray, nodes: np.ndarray, left: np.ndarray, within: bool,
                    factors: np.ndarray, needs: dict[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links per text and spanning edges, among the texts of one block (``within``) or between two."""
+    """Links per text and spanning edges, among the texts of one block (``within``) or between two.
+
+    ``bands`` holds a row of band keys per text; pairs without a key in common are not looked at.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order])
     names, sides = nodes[order], left[order]
+    keys = np.ascontiguousarray(np.unique(bands, return_inverse=True)[1].reshape(bands.shape)[order].T.astype(np.int32))
     ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     values = np.stack([signature(sets[i], factors) for i in order])
@@ -146,7 +152,7 @@ def links_of_block(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray,
     links, forest, edges = np.zeros(len(order), np.int64), _Forest(len(order)), []
     for i in range(len(order) - 1):
         stop = np.searchsorted(sizes, sizes[i] / THRESHOLD + 1e-9, side="right")
-        alive = np.arange(i + 1, stop)
+        alive = i + 1 + np.flatnonzero((keys[:, i + 1 : stop] == keys[:, i : i + 1]).any(axis=0))
         alive = alive[names[alive] != names[i]] if within else alive[sides[alive] != sides[i]]
         equal, at = np.zeros(len(alive), np.int64), 0
         for step in STEPS:
@@ -186,7 +192,8 @@ def _block_rows(members: DataFrame) -> DataFrame:
             within = bool(rows["bi"].iloc[0] == rows["bj"].iloc[0])
             nodes = rows["node"].to_numpy()
             left = (rows["block"] == rows["bi"]).to_numpy()
-            links, edges = links_of_block(shingle_sets(rows["text"].tolist(), table, powers), nodes, left, within, factors, needs)
+            sets = shingle_sets(rows["text"].tolist(), table, powers)
+            links, edges = links_of_block(sets, np.stack(rows["bands"].tolist()), nodes, left, within, factors, needs)
             return pd.DataFrame({
                 "node": np.concatenate([nodes, np.array([e[0] for e in edges], np.int64)]),
                 "other": pd.array([*[None] * len(nodes), *[e[1] for e in edges]], dtype="Int64"),
@@ -196,7 +203,7 @@ def _block_rows(members: DataFrame) -> DataFrame:
         held: list[pd.DataFrame] = []
         key = None
         for frame in frames:
-            for own, rows in frame.groupby(["component", "bi", "bj"], sort=False):
+            for own, rows in frame.groupby(["bi", "bj"], sort=False):
                 if key is not None and own != key:
                     yield solve(pd.concat(held))
                     held = []
@@ -205,11 +212,43 @@ def _block_rows(members: DataFrame) -> DataFrame:
         if held:
             yield solve(pd.concat(held))
 
-    # rows of one block pair lie together after the sort; a partition holds many small components
-    dealt = members.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    # rows of one block pair lie together after the sort; a partition holds many small blocks
+    dealt = members.repartition("bi", "bj").sortWithinPartitions("bi", "bj")
     return dealt.mapInPandas(run, "node bigint, other bigint, links bigint")
 
 
+def _parts() -> Column:
+    """How many blocks a group needs, by its texts and their length."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") * 6 / BLOCK_CHARS)).cast("int").alias("parts")
+
+
+def _visits(placed: DataFrame) -> DataFrame:
+    """(node, block, with): the block a text sits in, and each block whose texts it is compared with, its own included.
+
+    A component (of shared bands) that fits is one block. In a larger one, texts sit by the least band key that they
+    share with somebody; a key too common for one block is split by the text, rare keys are dealt over the blocks. There a
+    text visits only blocks with a text that shares one of its keys.
+    """
+    sizes = materialise(placed.groupBy("component").agg(_parts()), "sizes")
+    placed = placed.join(sizes, "component")
+    own = F.xxhash64("component").alias("block")
+    small = placed.where("parts = 1").select("node", own, own.alias("with"))
+
+    keyed = placed.where("parts > 1").select("node", "component", F.col("parts").alias("blocks"), "size", F.explode("bands").alias("key"))
+    common = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "common")
+    keyed = materialise(keyed.join(common, "key"), "keyed")
+    homes = materialise(keyed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("component", "blocks", "size")], F.min("key").alias("home")), "homes")
+    groups = materialise(homes.groupBy("home").agg(_parts()), "groups")
+    split = F.xxhash64("component", "home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = F.xxhash64("component", F.pmod(F.xxhash64("home"), F.col("blocks")))
+    seats = materialise(homes.join(groups, "home").select("node", F.when(F.col("parts") > 1, split).otherwise(dealt).alias("block")), "seats")
+
+    seated = materialise(keyed.select("node", "key").join(seats, "node"), "seated")
+    spans = materialise(seated.select("key", F.col("block").alias("with")).distinct(), "spans")
+    met = seated.join(spans, "key").where("block <> with").select("node", "block", "with").distinct()
+    return small.union(seats.select("node", "block", F.col("block").alias("with"))).union(met)
+
+
 def _linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and one row per distinct shingle set of those with an id and a word: k1, k2,
     n_copies, n_links, and the class's first row by id and text (class_id, class_mark).
@@ -227,18 +266,12 @@ def _linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     candidates = connected_components(keyed.join(shared, "key").select("node", "low"), "node", "low")
 
-    # block numbers from the component's size, so that a block is bounded in texts and characters
-    placed = materialise(candidates.join(sets.select("node", "doc_id", "mark", "size"), "node"), "candidates")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("texts"), F.sum("size").alias("words"))
-    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("words") * 6 / BLOCK_CHARS)).cast("int")
-    placed = placed.join(sizes.select("component", blocks.alias("blocks")), "component")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialise(candidates.join(sets.select("node", "doc_id", "mark", "size", "bands"), "node"), "candidates")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("string").alias("text"))
     # both sides grow with the corpus, so neither is ever broadcast; rows that repeat id and text are one here
-    members = placed.hint("merge").join(texts, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("component", "node", "text", "block", F.least("block", "with").alias("bi"),
-                             F.greatest("block", "with").alias("bj"))
+    members = placed.select("node", "doc_id", "mark", "bands").hint("merge").join(texts, ["doc_id", "mark"])
+    members = members.dropDuplicates(["doc_id", "mark"]).join(_visits(placed), "node")
+    members = members.select("node", "text", "bands", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
 
     found = materialise(_block_rows(members), "links")
     labels = connected_components(found.where("other is not null"), "node", "other")

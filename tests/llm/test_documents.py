@@ -120,6 +120,53 @@ def test_components_in_several_blocks(spark, make, monkeypatch):
     assert classes(make(rows)) == brute_classes(rows)
 
 
+def test_candidates_meet_once_and_chains_stay_apart(spark, monkeypatch):
+    """A window of keys moves over 300 texts: all are one component, each shares keys with nine others only.
+
+    A hundred more texts share one key of their own, which is more than one block holds.
+    """
+    monkeypatch.setattr(near_join, "BLOCK_TEXTS", 10)
+    chain = [(n, 0, [1000 + n + k for k in range(5)]) for n in range(300)]
+    common = [(n, 0, [1002, 5000 + n]) for n in range(300, 400)]
+    alone = [(n, n - n % 2, [9000 + n // 2]) for n in range(400, 410)]
+    rows = [(n, c, 50, keys) for n, c, keys in chain + common + alone]
+    visits = near_join._visits(spark.createDataFrame(rows, "node bigint, component bigint, size bigint, bands array<bigint>")).collect()
+    assert len({(r["node"], r["with"]) for r in visits}) == len(visits)
+    seat = {r["node"]: r["block"] for r in visits}
+    assert set(seat) == {r[0] for r in rows} and all(seat[r["node"]] == r["block"] for r in visits)
+    meeting = {}
+    for r in visits:
+        meeting.setdefault(tuple(sorted((r["block"], r["with"]))), set()).add(r["node"])
+    keys = {n: set(k) for n, _, _, k in rows}
+    for a in keys:
+        for b in keys:
+            if a < b and keys[a] & keys[b]:
+                assert {a, b} <= meeting[tuple(sorted((seat[a], seat[b])))]
+    # a text of the chain visits the blocks of its neighbours, not all blocks of the component
+    blocks = {seat[n] for n in range(400)}
+    far = [len([r for r in visits if r["node"] == n]) for n in range(20, 300)]
+    assert max(far) <= 9 < len(blocks)
+    # the common key is split: none of its blocks holds them all
+    assert max(sum(seat[n] == b for n in range(300, 400)) for b in blocks) < 30
+
+
+def test_pairs_at_the_threshold_are_found(spark, make, monkeypatch):
+    """Pairs whose exact similarity is only just 0.8, and others just below it, in small blocks."""
+    monkeypatch.setattr(near_join, "BLOCK_TEXTS", 16)
+    rows = []
+    for base in range(150):
+        words = prose(5000 + base, 44).split()
+        # one changed word at the end of a text of 40 shingles costs as many shingles as its place allows
+        for copy, place in enumerate((None, 43 - base % 5, base % 5)):
+            own = list(words)
+            if place is not None:
+                own[place] = f"changed{base}"
+            rows.append((base * 10 + copy, " ".join(own)))
+    want = brute_classes(rows)
+    assert sum(n for _, _, n, _ in want) > 400
+    assert classes(make(rows)) == want
+
+
 def test_near_join_of_odd_rows(spark, make, edge_rows):
     df = make(edge_rows)
     got = near_join.near_classes(df)

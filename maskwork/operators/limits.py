@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwork.operators.ranking import sliced_previous, sliced_rank
+from maskwork.operators.ranking import join_null_safe, sliced_previous, sliced_rank
 from maskwork.session import materialise
 
 RUN_ROWS = 500_000
@@ -38,21 +38,22 @@ def _key_type(df: DataFrame) -> str:
     return dict(df.dtypes)["k"]
 
 
-def _with_entry(runs: DataFrame, summarise, chain) -> DataFrame:
+def _with_entry(runs: DataFrame, summary) -> DataFrame:
     """Runs with the entry state of every later run as one more row, which sorts first in its run.
 
-    The states come in by union and not by a join: the folds below rely on a run being whole
-    in one task, and a join before them lets adaptive execution drop their repartitioning and
-    split a skewed run over tasks.
+    ``summary`` gives the pieces (upto, shift, fixed) of a run from its times. The states come in by union and not by a
+    join: the folds below rely on a run being whole in one task, and a join before them lets adaptive execution drop
+    their repartitioning and split a skewed run over tasks. Summaries and chains pass many runs and keys per Arrow batch,
+    so short runs cost no call of their own.
     """
     plain = runs.withColumn("entry", F.lit(_NONE).cast("bigint"))
     types = dict(runs.dtypes)
     last = runs.groupBy("k").agg(F.max("run").alias("__last")).filter(F.col("__last") > 0)
-    long = runs.join(last, "k").filter(F.col("run") < F.col("__last")).drop("__last")
-    maps = long.groupBy("k", "run").applyInPandas(
-        summarise, f"k {types['k']}, run bigint, upto array<bigint>, shift array<bigint>, fixed array<boolean>"
+    long = join_null_safe(runs, last, ["k"]).filter(F.col("run") < F.col("__last")).drop("__last")
+    maps = _in_order(long.withColumn("entry", F.lit(_NONE).cast("bigint"))).mapInPandas(
+        _summaries(summary), f"k {types['k']}, run bigint, upto array<bigint>, shift array<bigint>, fixed array<boolean>"
     )
-    entries = maps.groupBy("k").applyInPandas(chain, f"k {types['k']}, run bigint, entry bigint")
+    entries = maps.repartition("k").sortWithinPartitions("k", "run").mapInPandas(_chain, f"k {types['k']}, run bigint, entry bigint")
     marks = entries.select(
         "k", F.lit(_NONE).cast("bigint").alias("us"), F.lit(0).cast(types["tie"]).alias("tie"),
         F.lit(0).cast("bigint").alias("r"), "run", "entry",
@@ -60,15 +61,43 @@ def _with_entry(runs: DataFrame, summarise, chain) -> DataFrame:
     return plain.unionByName(marks)
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of runs 1.. of one key from the summaries of the runs before them."""
-    pdf = pdf.sort_values("run")
-    state, rows = _NONE, []
-    for k, run, upto, shift, fixed in pdf[["k", "run", "upto", "shift", "fixed"]].itertuples(index=False):
-        i = int(np.searchsorted(np.asarray(upto), state, side="left"))
-        state = int(shift[i]) if fixed[i] else state + int(shift[i])
-        rows.append((k, run + 1, state))
-    return pd.DataFrame(rows, columns=["k", "run", "entry"])
+def _summaries(summary):
+    """Summaries of runs that come in order; of a run that goes on in the next batch only the times are kept."""
+
+    def closed(runs: list) -> pd.DataFrame:
+        rows = [(k, run, *summary(np.concatenate(times))) for (k, run), times in runs]
+        return pd.DataFrame(rows, columns=["k", "run", "upto", "shift", "fixed"], dtype=object)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, times = None, []
+        for pdf in batches:
+            us, done = pdf["us"].to_numpy(np.int64), []
+            for lo, hi, run, _ in _stretches(pdf):
+                if run != here:
+                    if here is not None:
+                        done.append((here, times))
+                    here, times = run, []
+                times.append(us[lo:hi])
+            if done:
+                yield closed(done)
+        if here is not None:
+            yield closed([(here, times)])
+
+    return summarise
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entry states of the runs 1.. of each key from the summaries of the runs before them."""
+    here, state = None, _NONE
+    for pdf in batches:
+        rows = []
+        for k, run, upto, shift, fixed in zip(_keys(pdf["k"]), *[pdf[c].tolist() for c in ("run", "upto", "shift", "fixed")]):
+            if (k,) != here:
+                here, state = (k,), _NONE
+            i = int(np.searchsorted(np.asarray(upto), state, side="left"))
+            state = int(shift[i]) if fixed[i] else state + int(shift[i])
+            rows.append((k, run + 1, state))
+        yield pd.DataFrame(rows, columns=["k", "run", "entry"], dtype=object)
 
 
 _MAX = (1 << 62)
@@ -79,6 +108,11 @@ def _in_order(runs: DataFrame) -> DataFrame:
     return runs.repartition("k", "run").sortWithinPartitions("k", "run", "us", "tie")
 
 
+def _keys(k: pd.Series) -> list:
+    """The keys with None for a missing one, so that missing keys are equal."""
+    return k.astype(object).where(k.notna(), None).tolist()
+
+
 def _stretches(pdf: pd.DataFrame) -> Iterator[tuple[int, int, tuple, int]]:
     """(from, to, run, entry state) of the stretches of one run within an Arrow batch.
 
@@ -87,11 +121,13 @@ def _stretches(pdf: pd.DataFrame) -> Iterator[tuple[int, int, tuple, int]]:
     """
     if not len(pdf):
         return
-    k, run = pdf["k"].to_numpy(), pdf["run"].to_numpy()
+    k, none, run = pdf["k"].to_numpy(), pdf["k"].isna().to_numpy(), pdf["run"].to_numpy()
     us, entry = pdf["us"].to_numpy(np.int64), pdf["entry"].to_numpy(np.int64)
-    starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (run[1:] != run[:-1])) + 1))
-    for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
-        yield int(lo) + int(us[lo] == _NONE), int(hi), (k[lo], int(run[lo])), int(entry[lo])
+    other = (k[1:] != k[:-1]) & ~(none[1:] & none[:-1])
+    starts = np.concatenate(([0], np.flatnonzero(other | (run[1:] != run[:-1])) + 1))
+    keys = _keys(pdf["k"].iloc[starts])
+    for lo, hi, key in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], keys):
+        yield lo + int(us[lo] == _NONE), hi, (key, int(run[lo])), int(entry[lo])
 
 
 # --- token bucket -------------------------------------------------------------------------
@@ -190,13 +226,8 @@ def token_bucket(
     if ((last or 0) - base) * scale + capacity >= _MAX // 2:
         raise ValueError("the log is too long for exact counts at this rate; cut it or round the rate")
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["us", "tie"])
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = (ordered(pdf)["us"].to_numpy(np.int64) - base) * scale
-        upto, shift, fixed = bucket_summary(v, unit, capacity)
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "run": [pdf["run"].iloc[0]], "upto": [upto], "shift": [shift], "fixed": [fixed]})
+    def summary(us: np.ndarray) -> tuple[list[int], list[int], list[bool]]:
+        return bucket_summary((us - base) * scale, unit, capacity)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, full_at = None, _NONE
@@ -213,7 +244,7 @@ def token_bucket(
             })
             yield out[pdf["us"] != _NONE]
 
-    entered = _with_entry(runs, summarise, _chain)
+    entered = _with_entry(runs, summary)
     out = _in_order(entered).mapInPandas(
         fold, f"k {typ}, us bigint, tie {tie_typ}, allowed boolean, retry_after double"
     )
@@ -273,11 +304,6 @@ def fold_storms(
     runs = _in_runs(events, key, us, tie, run_rows, slice_us)
     typ, tie_typ = _key_type(runs), dict(runs.dtypes)["tie"]
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy(np.int64))
-        upto, shift, fixed = storm_summary(t, window_us)
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "run": [pdf["run"].iloc[0]], "upto": [upto], "shift": [shift], "fixed": [fixed]})
-
     def emits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, last = None, _NONE
         for pdf in batches:
@@ -290,7 +316,7 @@ def fold_storms(
                     last = int(t[at[-1]])
             yield pdf.iloc[at][["k", "us", "tie", "r"]]
 
-    entered = _with_entry(runs, summarise, _chain)
+    entered = _with_entry(runs, lambda t: storm_summary(t, window_us))
     out = _in_order(entered).mapInPandas(emits, f"k {typ}, us bigint, tie {tie_typ}, r bigint")
     # The count is the distance in rank to the emit before, over all runs of the key.
     counted = sliced_previous(out, ["k"], ["us", "tie"], "r", F.floor(F.col("us") / (slice_us * 60)))

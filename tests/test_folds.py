@@ -124,3 +124,11 @@ def test_folds_hold_when_joins_split_skewed_partitions(forced_skew):
     assert got == {k: v[0] for k, v in bucket_by_hand(rows, 1, 3).items()}
     lines = {(r.key, r.tie): r["count"] for r in T.fold_storms(df, "key", "us", "tie", 2_000_000, run_rows=700).collect()}
     assert lines == storms_by_hand(rows, 2_000_000)
+
+
+def test_short_runs_of_missing_keys_and_no_call_per_run(spark):
+    rows = [(None if k == "hot" else int(k[1:]), us, i) for k, us, i in events(31, n=300)]
+    df = spark.createDataFrame(rows, "key bigint, us bigint, tie bigint")
+    bucket = T.token_bucket(df, "key", "us", "tie", 1, 2, run_rows=7)
+    assert "FlatMapGroupsIn" not in bucket._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.tie): r.allowed for r in bucket.collect()} == {k: v[0] for k, v in bucket_by_hand(rows, 1, 2).items()}

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from maskwork.catalog import streams
 from maskwork.operators.joins import with_optout
 from maskwork.session import shared_dir
 from maskwork.streaming import flows, state, timed
@@ -181,3 +182,25 @@ def test_idle_storms_and_ended_streams_leave_the_state(spark):
     cut = run_to_table(state.cut_on_error_stream(chunks, "stream", "seq", "delta", "err", "at", 30_000), "cut", progress)
     assert sorted(r.delta for r in cut.collect()) == ["", "a", "b", "c", "new", "q"]
     assert held(progress)[-1] == 0
+
+
+def test_slices_take_files_by_bytes_and_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_BYTES", 500)
+    taken = []
+    monkeypatch.setattr(streams, "read_stream", lambda s, path, files: taken.append((path, files)))
+    # one value of the order holds most rows, so some parts and slices are empty
+    docs = spark.range(100).select("id", F.when(F.col("id") < 80, 0).otherwise(F.col("id")).alias("o"), F.expr("repeat('x', 100)").alias("text"))
+    streams.sliced(spark, docs, "bytes", "o")()
+    (path, files), = taken
+    rows = spark.read.parquet(path).select("id", "o", "_metadata.file_path", "_metadata.file_modification_time").collect()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    parts = sorted((f for f in listed if f.getPath().getName().startswith("part-")), key=lambda f: f.getModificationTime())
+    assert files == 5 and len(parts) == 4 * files and len(rows) == 100
+    batch = {f.getPath().getName(): i // files for i, f in enumerate(parts)}
+    spans = {}
+    for r in rows:
+        spans.setdefault(batch[r.file_path.rsplit("/", 1)[1]], set()).add(r.o)
+    assert sum(len(v) for v in spans.values()) == len(set().union(*spans.values()))  # no value in two batches
+    edges = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert edges == sorted(edges) and len(edges) > 1

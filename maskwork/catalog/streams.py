@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,27 @@ def sliced(s, df, name: str, order, n: int = 4, after=None) -> Callable[[], Data
     return lambda: read_stream(s, path, files)
 
 
+def sliced_alike(s, tables: dict, order: str, after: dict, n: int = 4) -> list[DataFrame]:
+    """Several tables as streams of ``n`` micro-batches cut at the same values of a column, in the order of that column.
+
+    Cut each by itself, one stream would run ahead of another, and with it the watermark that they share.
+    """
+    first, *rest = [df.select(order) for df in tables.values()]
+    both = reduce(DataFrame.union, rest, first)
+    at = F.coalesce(F.unix_micros(order), F.lit(-1 << 62))  # rows without a time come first
+    _, *inner = both.agg(F.percentile_approx(at, [i / n for i in range(n)], 10_000)).first()[0] or [0] * n
+    out = []
+    for name, df in tables.items():
+        path, files = shared_dir(s, name), _files(df, n)
+        edges = [None, *inner, None]
+        cut = [df.where((F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi)) for lo, hi in zip(edges, edges[1:])]
+        _write_slices(s, cut, files, path)
+        if name in after:
+            after[name].select(*df.columns).write.mode("append").parquet(path)
+        out.append(read_stream(s, path, files))
+    return out
+
+
 def sliced_stream(s, d, name: str, order: str):
     return sliced(s, read_table(prepare(s), d, name), name, order)()
 
@@ -224,8 +246,8 @@ def restored_with_vault(s, d):
     pieces = cut.select("session_id", "request_id", (F.col("msg_idx") * 3 + F.col("part")).cast("bigint").alias("seq"), "delta", at.alias("at"))
     known = vault.select("session_id", "pseudonym", "plaintext", (at + F.expr("interval 5 seconds")).alias("at"))
     pieces, known = materialise(pieces, "pieces"), materialise(known, "vault")
-    chunks = sliced(s, pieces, "chunks", "at", after=_ending(pieces, "at", session_id=-1, request_id=-1, seq=0, delta=""))()
-    rows = sliced(s, known, "known", "at")()
+    ending = _ending(pieces, "at", session_id=-1, request_id=-1, seq=0, delta="")
+    chunks, rows = sliced_alike(s, {"chunks": pieces, "known": known}, "at", {"chunks": ending})
     out = run_to_table(timed.restore_with_vault(chunks, rows, "session_id", "request_id", "seq", "delta", "at"), "restored")
     ordered = out.withColumn("place", F.col("seq") * 2 + F.col("piece"))
     return assemble_text(ordered.where("session_id >= 0"), "request_id", "place", "delta").select("request_id", F.col("delta").alias("text"))

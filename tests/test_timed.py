@@ -204,3 +204,17 @@ def test_slices_take_files_by_bytes_and_stay_apart(spark, monkeypatch):
     assert sum(len(v) for v in spans.values()) == len(set().union(*spans.values()))  # no value in two batches
     edges = [(min(v), max(v)) for _, v in sorted(spans.items())]
     assert edges == sorted(edges) and len(edges) > 1
+
+
+def test_streams_that_share_a_watermark_are_cut_at_the_same_times(spark, monkeypatch):
+    """One stream with its rows at the start, one with its rows at the end: no batch of one is older than an earlier one of the other."""
+    early = spark.range(100).select((F.when(F.col("id") < 90, F.col("id")).otherwise(F.col("id") * 10)).alias("ms")).withColumn("at", F.timestamp_millis("ms"))
+    late = spark.range(100).select((F.when(F.col("id") < 10, F.col("id")).otherwise(900 + F.col("id"))).alias("ms")).withColumn("at", F.timestamp_millis("ms"))
+    cuts = []
+    monkeypatch.setattr(streams, "_write_slices", lambda s, slices, files, path: cuts.append([sorted(r.ms for r in x.collect()) for x in slices]))
+    monkeypatch.setattr(streams, "read_stream", lambda s, path, files: None)
+    streams.sliced_alike(spark, {"a": early, "b": late}, "at", {})
+    spans = [a + b for a, b in zip(*cuts)]
+    assert len(spans) == 4 and sum(map(len, spans)) == 200
+    spans = [x for x in spans if x]
+    assert len(spans) > 1 and all(max(x) < min(y) for x, y in zip(spans, spans[1:]))

@@ -8,6 +8,8 @@ stay byte for byte as they were; the latter are marked.
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ def body_texts(bodies: DataFrame, request: str, body: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = [user_texts(b) or [] for b in batch.column("__body").to_pylist()]
             at = pa.array([i for i, own in enumerate(texts) for _ in own], pa.int64())
             flat = [t for own in texts for t in own]
@@ -42,6 +44,13 @@ def body_texts(bodies: DataFrame, request: str, body: str) -> DataFrame:
     return narrow.mapInArrow(run, schema)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, since decoded bodies take many times the memory of their Arrow batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _schema(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
@@ -79,7 +88,7 @@ def redact_json_bodies(bodies: DataFrame, request: str, body: str, found: DataFr
     held = join_null_safe(bodies.drop("parsed"), lists, [request], "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             bodies_, lists_ = batch.column(body).to_pylist(), batch.column("__pairs").to_pylist()
             out, parsed = [], []
             for text, listed in zip(bodies_, lists_):

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,11 @@ def test_bodies_that_used_to_stop_the_job_or_leak(spark):
     assert "� ssn 123-**-****" in out[1][0] and '"n":"\\ud83d"' in out[1][0]
     assert out[2][0].startswith('{"n":' + "7" * 5000) and '"Content":"ssn 123-**-****"' in out[3][0]
     assert out[5] == (rows[4][1], True) and out[6] == (rows[5][1], False) and out[7] == (None, False)
+
+
+def test_bodies_are_decoded_a_few_at_a_time(spark):
+    batches = list(B._small([pa.RecordBatch.from_pydict({"x": list(range(600))})]))
+    assert [b.num_rows for b in batches] == [256, 256, 88] and [x for b in batches for x in b.column(0).to_pylist()] == list(range(600))
+    rows = spark.range(600).coalesce(1).select("id", F.lit('{"messages":[{"role":"user","content":"a"}]}').alias("body"))
+    sizes = B.body_texts(rows, "id", "body").groupBy("id", "text").count().collect()
+    assert len(sizes) == 600 and {(r.text, r["count"]) for r in sizes} == {("a", 1)}

@@ -132,3 +132,6 @@ def test_short_runs_of_missing_keys_and_no_call_per_run(spark):
     bucket = T.token_bucket(df, "key", "us", "tie", 1, 2, run_rows=7)
     assert "FlatMapGroupsIn" not in bucket._jdf.queryExecution().executedPlan().toString()
     assert {(r.key, r.tie): r.allowed for r in bucket.collect()} == {k: v[0] for k, v in bucket_by_hand(rows, 1, 2).items()}
+    storms = T.fold_storms(df, "key", "us", "tie", 2_000_000, run_rows=9)
+    assert "FlatMapGroupsIn" not in storms._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.tie): r["count"] for r in storms.collect()} == storms_by_hand(rows, 2_000_000)

@@ -45,34 +45,48 @@ def move_timer(handle: StatefulProcessorHandle, before: int | None, due: int) ->
 
 
 class _Bucket(StatefulProcessor):
-    def __init__(self, rate: float, burst: float, idle_ms: int | None):
+    """Buckets of the keys of one group: one call and one timer serve many keys."""
+
+    def __init__(self, rate: float, burst: float, idle_ms: int | None, key: str):
         self.scale, self.unit, self.capacity = bucket_units(rate, burst)
-        self.idle_ms = idle_ms
+        self.idle_ms, self.key = idle_ms, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("bucket", "full_us bigint, part bigint, last_ms bigint")
+        self.state = handle.getListState("buckets", f"k {self.key}, full_us bigint, part bigint, last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _ordered(rows)
-        old = self.state.get() if self.state.exists() else None
-        # Times count from the batch's first event; between batches the state is a whole number of
-        # microseconds and a rest, so nothing grows beyond 64 bits.
-        base = int(pdf["us"].iloc[0])
-        full_at = max((old[0] - base) * self.scale + old[1], _NONE) if old else _NONE
-        v = (pdf["us"].to_numpy(np.int64) - base) * self.scale
-        allowed, missing, full_at = bucket_fold(v, full_at, self.unit, self.capacity)
-        last_ms = max(int(pdf["us"].iloc[-1]) // 1000, old[2] if old else 0)
-        whole, part = divmod(int(full_at), self.scale)
-        self.state.update((base + whole, part, last_ms))
+        held = {k: old for k, *old in self.state.get()} if self.state.exists() else {}
+        before = max(old[2] for old in held.values()) + self.idle_ms if held and self.idle_ms is not None else None
+        us = pdf["us"].to_numpy(np.int64)
+        allowed, missing = np.zeros(len(us), dtype=bool), np.zeros(len(us), dtype=np.int64)
+        for k, at in pdf.groupby("k", sort=False, dropna=False).indices.items():
+            k = None if pd.isna(k) else k.item() if hasattr(k, "item") else k
+            old = held.get(k)
+            # Times count from the batch's first event of the key; between batches the state is a whole number of
+            # microseconds and a rest, so nothing grows beyond 64 bits.
+            base = int(us[at[0]])
+            full_at = max((old[0] - base) * self.scale + old[1], _NONE) if old else _NONE
+            allowed[at], missing[at], full_at = bucket_fold((us[at] - base) * self.scale, full_at, self.unit, self.capacity)
+            whole, part = divmod(int(full_at), self.scale)
+            held[k] = (base + whole, part, max(int(us[at[-1]]) // 1000, old[2] if old else 0))
         if self.idle_ms is not None:
-            move_timer(self.handle, old[2] + self.idle_ms if old else None, last_ms + self.idle_ms)
+            due = max(old[2] for old in held.values()) + self.idle_ms
+            now = timerValues.getCurrentWatermarkInMs()
+            held = {k: old for k, old in held.items() if old[2] + self.idle_ms > now}
+            move_timer(self.handle, before, due)
+        if held:
+            self.state.put([(k, *old) for k, old in held.items()])
+        else:
+            self.state.clear()
         yield pd.DataFrame({
             "k": pdf["k"], "us": pdf["us"], "tie": pdf["tie"], "allowed": allowed,
             "retry_after": missing / (self.scale * 1_000_000.0),
         })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # the timer is that of the group's newest event
         self.state.clear()
         return iter(())
 
@@ -82,9 +96,9 @@ class _Bucket(StatefulProcessor):
 
 def token_bucket_stream(
     stream: DataFrame, key: str, us: str, tie: str, rate: float = 100.0, burst: float = 0.0,
-    event_time: str | None = None, max_idle_ms: int | None = None,
+    event_time: str | None = None, max_idle_ms: int | None = None, groups: int = 4096,
 ) -> DataFrame:
-    """Streaming form of ``token_bucket``.
+    """Streaming form of ``token_bucket``. Keys are dealt to ``groups`` by their hash, the state of a group is a list of its keys.
 
     With ``event_time`` (a watermarked column) and ``max_idle_ms``, buckets idle for longer
     are dropped.  A bucket idle for burst/rate is full anyway, so a limit of at least that
@@ -94,9 +108,12 @@ def token_bucket_stream(
     extra = [event_time] if event_time else []
     rows = _narrow(stream, key, us, tie, *extra)
     k, t = _types(rows)
+    # missing keys are a group of their own
+    rows = rows.withColumn("g", F.when(F.col("k").isNull(), -1).otherwise(F.pmod(F.xxhash64("k"), F.lit(groups))))
     schema = f"k {k}, us bigint, tie {t}, allowed boolean, retry_after double"
     mode = "EventTime" if event_time and idle_ms is not None else "None"
-    out = _run(rows, _Bucket(rate, burst, idle_ms if mode == "EventTime" else None), schema, mode)
+    processor = _Bucket(rate, burst, idle_ms if mode == "EventTime" else None, k)
+    out = rows.groupBy("g").transformWithStateInPandas(processor, schema, "Append", mode)
     return out.withColumnsRenamed({"k": key, "us": us, "tie": tie})
 
 

@@ -80,3 +80,10 @@ def test_bucket_with_present_day_times(spark, rate, burst):
         assert {r.tie: r.allowed for r in got.collect()} == want
     out = run_to_table(state.token_bucket_stream(as_stream(spark, rows, SCHEMA), "key", "us", "tie", rate, burst), "b")
     assert {r.tie: r.allowed for r in out.collect()} == want
+
+
+def test_buckets_of_one_group_are_kept_apart_and_few_groups_hold_many_keys(spark):
+    rows = [(f"k{i % 37}" if i % 5 else key, us, i) for i, (key, us, _) in enumerate(events(13, n=300))]
+    progress = []
+    out = run_to_table(state.token_bucket_stream(as_stream(spark, rows, SCHEMA), "key", "us", "tie", 1, 2, groups=3), "g", progress)
+    assert {(r.key, r.tie): (r.allowed, pytest.approx(r.retry_after)) for r in out.collect()} == bucket_by_hand(rows, 1, 2)

@@ -218,3 +218,14 @@ def test_streams_that_share_a_watermark_are_cut_at_the_same_times(spark, monkeyp
     assert len(spans) == 4 and sum(map(len, spans)) == 200
     spans = [x for x in spans if x]
     assert len(spans) > 1 and all(max(x) < min(y) for x, y in zip(spans, spans[1:]))
+
+
+def test_idle_buckets_leave_the_state_of_their_group(spark):
+    rows = [(f"k{i}", (i + 1) * 1000, i) for i in range(50)]  # a row at time 0 is late from the start
+    later = [("k0", 100_000_000, 60), ("k0", 100_000_001, 61), ("k0", 100_000_002, 62)]
+    stream = timed_stream(spark, [rows, [("k1", 60_000_000, 59)], later, [("end", END, -1)]], "key string, us bigint, tie bigint").withWatermark("at", "0 seconds")
+    progress = []
+    out = run_to_table(state.token_bucket_stream(stream, "key", "us", "tie", 1, 2, "at", 20_000, groups=2), "b", progress)
+    got = {(r.key, r.tie): r.allowed for r in out.collect()}
+    assert len(got) == 55 and not got.pop(("k0", 62)) and all(got.values())
+    assert held(progress)[0] == 2 and held(progress)[-1] == 1  # Spark counts one row a group; what is left is the ending row's

@@ -11,6 +11,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,29 +22,131 @@ from maskwork.operators.ranking import sliced_previous
 from maskwork.streaming.state import move_timer
 
 QUIET_MS = 500
+_NEVER = -(1 << 62)  # time of a request without one, and of a grant that is not there
+_ROWS = pa.schema([("s", pa.string()), ("us", pa.int64()), ("row", pa.string())])
+_NO_ROWS = _ROWS.empty_table().to_pandas()
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_JSON = {"timestampFormat": f"{_MICROS}XXX", "timestampNTZFormat": _MICROS}
 # Any proper beginning of a pseudonym; one never holds a second bracket.
 _UNFINISHED = re.compile(r"\[(?:[A-Z_]*|[A-Z_]+_[0-9]+|[A-Z_]+_[0-9]+_[A-Za-z0-9_\-]*)\Z")
 _TOKEN = re.compile(PSEUDONYM, re.ASCII)
 
 
+class _Optout(StatefulProcessor):
+    """Requests and grants of the sessions of one group: one call and one timer serve many sessions.
+
+    The state holds Arrow tables: the requests that wait, and the grants that still count.
+    """
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "waiting binary, given binary")
+
+    def _held(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if not self.state.exists():
+            return _NO_ROWS, _NO_ROWS
+        return tuple(pa.ipc.open_stream(bytes(b)).read_all().to_pandas() for b in self.state.get())
+
+    def _due(self, waiting: pd.DataFrame, given: pd.DataFrame) -> int | None:
+        """When the oldest waiting request, or else the newest grant, has lost its meaning."""
+        if len(waiting):
+            return -(-int(waiting["us"].min()) // 1000)
+        return -(-(int(given["us"].max()) + self.ttl_us) // 1000) if len(given) else None
+
+    def _keep(self, waiting: pd.DataFrame, given: pd.DataFrame) -> None:
+        if len(waiting) or len(given):
+            self.state.update(tuple(_packed(df) for df in (waiting, given)))
+        else:
+            self.state.clear()
+
+    def _after(self, given: pd.DataFrame, now_us: int) -> pd.DataFrame:
+        """Grants for requests newer than the watermark: of a session's older ones only the newest can count."""
+        given = given[given["s"].notna() & (given["us"] + self.ttl_us > now_us)].sort_values("us")
+        past = given["us"] <= now_us
+        return pd.concat([given[past].drop_duplicates("s", keep="last"), given[~past].drop_duplicates(["s", "us"])], ignore_index=True)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        waiting, given = self._held()
+        before = self._due(waiting, given)
+        new = pd.concat([df[["s", "us", "row"]] for df in rows], ignore_index=True)
+        asked = new["row"].notna()
+        given = pd.concat([given, new[~asked]], ignore_index=True).sort_values("us")
+        waiting = pd.concat([waiting, new[asked]], ignore_index=True).sort_values("us", ignore_index=True)
+        # the newest grant up to the request decides
+        last = _latest(waiting, given)
+        hit = (last != _NEVER) & (waiting["us"].to_numpy(np.int64) - last <= self.ttl_us)
+        # without a session or a time no grant ever comes
+        done = hit | waiting["s"].isna().to_numpy() | (waiting["us"].to_numpy(np.int64) == _NEVER)
+        out = pd.DataFrame({"row": waiting["row"][done], "opted_out": hit[done]})
+        waiting = waiting[~done]
+        # requests that wait know the grants there are, so only newer ones count for them
+        given = self._after(given, timerValues.getCurrentWatermarkInMs() * 1000)
+        due = self._due(waiting, given)
+        if due is None:
+            if before is not None:
+                self.handle.deleteTimer(before)
+        else:
+            move_timer(self.handle, before, due)
+        self._keep(waiting, given)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        waiting, given = self._held()
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        past = waiting["us"].to_numpy(np.int64) <= now_us
+        rest, given = waiting[~past], self._after(given, now_us)
+        due = self._due(rest, given)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self._keep(rest, given)
+        yield pd.DataFrame({"row": waiting["row"][past], "opted_out": False})
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(df: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(df, _ROWS, preserve_index=False)
+    with pa.ipc.new_stream(out, _ROWS) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _latest(asked: pd.DataFrame, given: pd.DataFrame) -> np.ndarray:
+    """Time of the session's newest grant up to each request, far in the past if there is none. Both come in order of time."""
+    codes, _ = pd.factorize(pd.concat([asked["s"], given["s"]], ignore_index=True))
+    left = pd.DataFrame({"us": asked["us"].to_numpy(np.int64), "s": codes[:len(asked)]})
+    right = pd.DataFrame({"us": given["us"].to_numpy(np.int64), "s": codes[len(asked):], "last": np.arange(len(given))})
+    at = pd.merge_asof(left, right[right["s"] >= 0], on="us", by="s")["last"].fillna(-1).to_numpy(np.int64)
+    return np.append(right["us"].to_numpy(), _NEVER)[at]
+
+
 def optout_join(
-    requests: DataFrame, grants: DataFrame, session: str, at: str, tie: str, ttl_us: int = GRANT_TTL_US, late: str = "0 seconds"
+    requests: DataFrame, grants: DataFrame, session: str, at: str, tie: str, ttl_us: int = GRANT_TTL_US, late: str = "0 seconds",
+    groups: int = 1024
 ) -> DataFrame:
     """Requests with ``opted_out``: ``with_optout`` over two streams, grants and requests.
 
     ``at`` is a timestamp in both; ``tie`` tells the requests of a session and time apart. A request with a grant
     within ``ttl_us`` before it comes out as soon as both are there, one without when the watermark has passed it. Grants
-    leave the state when the watermark is ``ttl_us`` beyond them. Only a grant's first row per session and time counts, so
-    that repeated grants do not multiply.
+    leave the state when the watermark is ``ttl_us`` beyond them. A request looks up the newest grant up to it and no
+    pairs are built. Sessions are dealt to ``groups`` by their hash, one call of Python a group and micro-batch.
     """
-    asked = requests.withWatermark(at, late).alias("r")
+    asked = requests.withWatermark(at, late).dropDuplicatesWithinWatermark([session, at, tie])
     given = grants.select(F.col(session).alias("__session"), F.col(at).alias("__at")).withWatermark("__at", late)
-    given = given.dropDuplicatesWithinWatermark(["__session", "__at"]).alias("g")
-    near = (F.col("__at") <= F.col(f"r.{at}")) & (F.col("__at") >= F.col(f"r.{at}") - F.expr(f"interval {ttl_us} microseconds"))
-    met = asked.join(given, (F.col(f"r.{session}") == F.col("__session")) & near, "left_outer")
-    flagged = met.withColumn("opted_out", F.col("__at").isNotNull()).drop("__session", "__at")
-    # a request has one row per grant that counts, or one row without any
-    return flagged.dropDuplicatesWithinWatermark([session, at, tie])
+    us = lambda c: F.coalesce(F.unix_micros(c), F.lit(_NEVER))
+    # the request travels as one text: beside missing ones pandas would make whole numbers inexact
+    row = F.to_json(F.struct(*requests.columns), _JSON)
+    both = asked.select(F.col(session).cast("string").alias("s"), us(at).alias("us"), row.alias("row"), F.col(at).alias("__at")).union(
+        given.select(F.col("__session").cast("string"), us("__at"), F.lit(None).cast("string"), "__at"))
+    # no filter on the grants: Spark would push it below the watermark, which rows without a session move, too
+    dealt = both.withColumn("g", F.pmod(F.xxhash64(F.coalesce("s", "row")), F.lit(groups)))
+    out = dealt.groupBy("g").transformWithStateInPandas(_Optout(ttl_us), "row string, opted_out boolean", "Append", "EventTime")
+    return out.select(F.from_json("row", requests.schema, _JSON).alias("r"), "opted_out").select("r.*", "opted_out")
 
 
 def quiet_versions(docs: DataFrame, key: str, version: str, at: str, quiet_ms: int = QUIET_MS, slice_ms: int = 3_600_000) -> DataFrame:

@@ -60,6 +60,24 @@ def test_optout_of_two_streams(spark):
     assert max(held(progress)) > 10 and held(progress)[-1] <= 4  # what is left is the ending rows'
 
 
+def test_optout_keeps_a_group_of_sessions_as_one_row(spark):
+    """Grants of a busy session are no rows of the state; requests keep their values, also beside missing ones."""
+    big, schema = (1 << 53) + 1, "session string, us bigint, tie bigint, n bigint, d double, b binary, s string"
+    rows = [("s", 10_000_000 + i, big + i, None if i % 2 else big, i / 3, b"\xff", 'q"\n\u00e9') for i in range(10)]
+    rows += [("s", 9_000_000 + 10_000_001, 1, 5, None, None, None), (None, 10_000_000, 2, 5, float("nan"), None, "")]
+    given = [("s", 1_000_000 + i * 20_000) for i in range(400)] + [("s", 9_000_000), (None, 9_999_999)]
+    asked = [rows[:6], rows[6:], [(None, END, -1, 0, 0.0, None, None)]]  # without a session, it still moves the watermark
+    given, progress = [given[:200], given[200:], [(None, END)]], []
+    requests = timed_stream(spark, asked, schema)
+    flagged = timed.optout_join(requests, timed_stream(spark, given, "session string, us bigint").drop("us"), "session", "at", "tie", ttl_us=10_000_000)
+    assert flagged.dtypes == [*requests.dtypes, ("opted_out", "boolean")]
+    got = {r.tie: r for r in run_to_table(flagged, "optout", progress).where("tie >= 0").collect()}
+    assert {t: r.opted_out for t, r in got.items()} == {r[2]: r[2] >= big for r in rows}
+    assert [repr(tuple(got[r[2]])[:7]) for r in rows] == [repr(r) for r in rows]
+    assert all(got[r[2]].at.microsecond == r[1] % 1_000_000 for r in rows)
+    assert max(held(progress)) <= len(rows) + 8
+
+
 def test_late_requests_are_dropped_and_counted(spark):
     asked = [[("a", 10_000_000, 1)], [("a", 90_000_000, 2)], [("a", 5_000_000, 3)], [("end", END, -1)]]
     given = [[("a", 9_000_000)], [("a", 90_000_000)], [("b", 91_000_000)], [("end", END)]]

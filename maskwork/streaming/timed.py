@@ -158,51 +158,21 @@ def quiet_versions(docs: DataFrame, key: str, version: str, at: str, quiet_ms: i
     return stepped.where(alone).drop("__back", "__turn", "previous")
 
 
-class _Quiet(StatefulProcessor):
-    def __init__(self, quiet_ms: int, row: str):
-        self.quiet_ms, self.row = quiet_ms, row
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", self.row)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True)
-        before = None
-        if self.newest.exists():
-            kept = self.newest.get()
-            before = int(kept[0]) + self.quiet_ms
-            pdf = pd.concat([pd.DataFrame([kept], columns=["ms", "version", "text"]).assign(k=key[0]), pdf], ignore_index=True)
-        pdf = pdf.sort_values(["ms", "version"], ignore_index=True)
-        ms = pdf["ms"].to_numpy(np.int64)
-        quiet = np.append(np.diff(ms) >= self.quiet_ms, False)
-        last = pdf.iloc[-1]
-        self.newest.update((int(last["ms"]), last["version"].item() if hasattr(last["version"], "item") else last["version"], last["text"]))
-        move_timer(self.handle, before, int(ms[-1]) + self.quiet_ms)
-        yield pdf[quiet][["k", "version", "ms", "text"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms, version, text = self.newest.get()
-        self.newest.clear()
-        yield pd.DataFrame({"k": [key[0]], "version": [version], "ms": [ms], "text": [text]}, dtype=object)
-
-    def close(self) -> None:
-        pass
-
-
 def quiet_stream(docs: DataFrame, key: str, version: str, at: str, text: str, quiet_ms: int = QUIET_MS, late: str = "0 seconds") -> DataFrame:
     """Streaming form of ``quiet_versions``: key, version, ms, text of a version once its document has been quiet for ``quiet_ms``.
 
-    ``at`` is a timestamp. The state holds each document's newest version and one timer, and nothing once the
-    timer has gone off.
+    ``at`` is a timestamp and counts in milliseconds. Versions that follow each other sooner are a session, whose last one comes out
+    when the watermark has passed its end; until then the state holds one row per session. A version is late when the watermark
+    is ``quiet_ms`` beyond it.
     """
-    rows = docs.withWatermark(at, late).select(
-        F.col(key).alias("k"), F.col(version).alias("version"), F.unix_millis(at).alias("ms"), F.col(text).alias("text"), at)
-    types = dict(rows.dtypes)
-    out = rows.groupBy("k").transformWithStateInPandas(
-        _Quiet(quiet_ms, f"ms bigint, version {types['version']}, text string"),
-        f"k {types['k']}, version {types['version']}, ms bigint, text string", "Append", "EventTime")
-    return out.withColumnsRenamed({"k": key, "version": version, "text": text})
+    if quiet_ms < 1:
+        raise ValueError("quiet_ms must be at least 1")
+    rows = docs.select(F.col(key).alias("k"), F.timestamp_millis(F.unix_millis(at)).alias("__at"), F.struct(
+        F.unix_millis(at).alias("ms"), F.col(version).alias("version"), F.col(text).alias("text")).alias("v"))
+    # a session goes on up to its end itself, so it ends one microsecond early
+    session = F.session_window("__at", f"{quiet_ms * 1000 - 1} microseconds")
+    last = rows.withWatermark("__at", late).groupBy("k", session).agg(F.max_by("v", F.struct("v.ms", "v.version")).alias("v"))
+    return last.select(F.col("k").alias(key), F.col("v.version").alias(version), F.col("v.ms").alias("ms"), F.col("v.text").alias(text))
 
 
 def unfinished(text: str) -> int:

@@ -107,6 +107,19 @@ def test_a_document_is_scanned_once_it_is_quiet(spark):
     assert [(r.doc, r.kind) for r in scanned.collect()] == [(1, "ssn")]
 
 
+def test_a_quiet_document_is_one_row_of_the_state(spark):
+    first = [(i, v, 1000 + v, f"{i} {v}") for i in range(40) for v in range(3)]
+    # the row at 2600 is behind the watermark, yet its session is open
+    parts = [first, [(100, 1, 3000, "x")], [(100, 2, 3001, "y")], [(101, 1, 2600, "z")], [(-1, 0, 10**9, "")]]
+    stream = batches(spark, parts, VERSIONS).withColumn("at", F.timestamp_millis("ms")).drop("ms")
+    progress = []
+    got = run_to_table(timed.quiet_stream(stream, "doc", "version", "at", "text"), "quiet", progress).where("doc >= 0").collect()
+    assert sorted((r.doc, r.version, r.ms, r.text) for r in got) == [*[(i, 2, 1002, f"{i} 2") for i in range(40)], (100, 2, 3001, "y"), (101, 1, 2600, "z")]
+    assert held(progress)[0] == 40
+    with pytest.raises(ValueError):
+        timed.quiet_stream(stream, "doc", "version", "at", "text", quiet_ms=0)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_quiet_stream_equals_the_batch_form(spark, seed):
     rng = random.Random(seed)

@@ -659,6 +659,9 @@ def _register_sketches(c: Catalog) -> None:
           f"on x.class = e.class and x.day between e.day - {days - 1} and e.day group by 1, 2")
 
 
+LOGS_PER_TASK = 50_000
+
+
 def _register_typed_logs(c: Catalog) -> None:
     record = (
         "named_struct('ts', '2024-01-01T00:00:00Z', 'level', level, 'msg', 'm', 'n', event_id, 'ok', event_id % 2 = 0, 'share', event_id / 4, "
@@ -667,7 +670,10 @@ def _register_typed_logs(c: Catalog) -> None:
     )
 
     def logs(s, d):
-        return LOGS.df(s, d).withColumn("fields", F.try_parse_json(F.to_json(F.expr(record))))
+        # a log becomes some fifteen rows, so a file of few row groups would be few long tasks
+        rows = events(s, d).select("event_id", "us", "event_type", "props")
+        dealt = rows.repartition(-(-rows.count() // LOGS_PER_TASK) or 1)
+        return dealt.filter(LOGS.where).selectExpr(*LOGS.cols).withColumn("fields", F.try_parse_json(F.to_json(F.expr(record))))
 
     text = "case when schema_of_variant(value) = 'STRING' then variant_get(value, '$', 'string') else to_json(value) end"
     rows = {

@@ -90,6 +90,18 @@ def test_nested_log_fields(spark):
     assert len(rows) == len(got) + 1
 
 
+def test_nested_log_fields_are_parsed_once_and_written_once(spark, monkeypatch):
+    levels, write = [], L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, name: levels.append(df) or write(df, name))
+    record = {"a": [None], "b": {"x": None}, "c": [[], {}], "d": "{}", "e": [], "f": {}, "g": "[]", "h": "xoxb-0123456789 ghp_abcdefghij0123456789_", "token": "t"}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, "null")], "id int, line string").withColumn("v", F.try_parse_json("line"))
+    got = {r.path: json.loads(r.value) for r in L.redact_variant_fields(df, "id", "v").select("path", F.to_json("value").alias("value")).collect()}
+    assert got.pop("token").startswith("<redacted len=1 ")
+    assert got == {"a[0]": None, "b.x": None, "c[0]": [], "c[1]": {}, "d": "{}", "e": [], "f": {}, "g": "[]", "h": "<redacted-secret> <redacted-secret>"}
+    assert levels[0]._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert all((r.x is None) == (r.shown is not None) for r in levels[0].select(F.to_json("x").alias("x"), "shown").collect())
+
+
 # ---- routing
 
 @pytest.mark.parametrize("slice_us", [7, 10**9])
